@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionmill.llm import chunks, decontaminate, langid, records, toxicity
-from captionmill.llm.common import fold_of, scratch, table
+from captionmill.llm import chunks, decontaminate, hostrules, langid, neardup, oracles, records, rollups, toxicity
+from captionmill.llm.common import fold_of, scratch, stored, table
 
 
 def tokenizer_path() -> str:
@@ -21,6 +21,35 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+#: Two counting rules that stand for two tokenizer versions, as expressions over the text.
+COUNTERS = {
+    "words-1": F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")),
+    "words-2": F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")),
+}
+
+
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger of three batches over all documents: inserts under the first
+    version, deletes of documents under ten tokens, and a change of version,
+    which deletes what is left under the first and inserts it under the second
+    with 5 tokens too few, then a revision that puts the counts right. The
+    second batch is committed twice."""
+    path = scratch(spark, "rollup")
+    counts = stored(rollups.counted(table(spark, sf_dir, "documents"), COUNTERS), "token-counts")
+    first, second = counts.where("tokenizer_version = 'words-1'"), counts.where("tokenizer_version = 'words-2'")
+    change = lambda rows, op, n="n_tokens", prev="0": rows.selectExpr(f"'{op}' AS op", "source", "lang", "tokenizer_version", f"cast({n} AS long) AS n_tokens", f"cast({prev} AS long) AS prev_n_tokens")
+    short, long = first.where("n_tokens < 10"), first.where("n_tokens >= 10")
+    rollups.commit(change(first, "insert"), path, "1")
+    for _ in range(2):
+        rollups.commit(change(short, "delete"), path, "2")
+    moved = change(long.where("doc_id % 2 = 0"), "delete").unionByName(change(second, "insert", "n_tokens - 5"))
+    rollups.commit(moved, path, "3")
+    rollups.commit(change(second, "revise", "n_tokens", "n_tokens - 5"), path, "4")
+    rollups.compact(spark, path)
+    rollups.commit(change(second, "revise", "n_tokens", "n_tokens - 5"), path, "4")
+    return rollups.totals(spark, path)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -29,6 +58,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = hostrules.apply_rules(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = langid.predict(docs, langid.train(langid.training_rows(docs)))
@@ -40,6 +74,10 @@ def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     index = toxicity.fit(docs, labels.where(fold_of(labels["doc_id"], 5) != 0))
@@ -48,8 +86,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_records, op5_decontamination, op7_language_id, op8_bpe_chunks, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_records, op3_token_rollup, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_token_rollup": oracles.OP3, "op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9}
