@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionmill.llm import chunks, decontaminate, hostrules, langid, neardup, oracles, records, rollups, toxicity
+from captionmill.llm import chunks, decontaminate, hostrules, langid, linededup, neardup, oracles, records, rollups, toxicity
 from captionmill.llm.common import fold_of, scratch, stored, table
 
 
@@ -21,6 +21,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_copies", "n_near", "n_links", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 #: Two counting rules that stand for two tokenizer versions, as expressions over the text.
 COUNTERS = {
     "words-1": F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")),
@@ -86,7 +91,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_records, op3_token_rollup, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_records, op2_line_dedup, op3_token_rollup, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
