@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionmill.llm import chunks, decontaminate, hostrules, langid, linededup, neardup, oracles, records, rollups, toxicity
+from captionmill.llm import chunks, ctw, decontaminate, hostrules, langid, linededup, neardup, oracles, records, rollups, toxicity
 from captionmill.llm.common import fold_of, scratch, stored, table
 
 
@@ -55,6 +55,11 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.totals(spark, path)
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ctw.score(table(spark, sf_dir, "documents"), lambda doc_id: fold_of(doc_id, 7) != 2)
+    return done.select("doc_id", (fold_of(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -91,7 +96,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_records, op2_line_dedup, op3_token_rollup, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_records, op2_line_dedup, op3_token_rollup, op4_lm_scores, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
