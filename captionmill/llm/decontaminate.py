@@ -115,6 +115,18 @@ def _slices_third(batch: pa.RecordBatch):
         at += part.num_rows
 
 
+def _item_blocks(benchmark: DataFrame, block_chars: int) -> list:
+    """Broadcasts of (id, text) pairs, each of about ``block_chars`` at most."""
+    spark = benchmark.sparkSession
+    items = internal(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    n, out = -(-total // block_chars) or 1, []
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        out.append(spark.sparkContext.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator()))))
+    return out
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 20_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurring
     window), spans (start, end in characters of the original text) and items
@@ -124,18 +136,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     match nothing; repeated items and ids count once. An empty benchmark
     gives no hits. Repeated document rows each give a row.
     """
-    spark = docs.sparkSession
-    items = internal(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = -(-total // block_chars) or 1
+    blocks = _item_blocks(benchmark, block_chars)
     # Without several blocks no row has to be found again, so no key is made.
-    rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if blocks == 1 else F.xxhash64("doc_id", "text")).cast("long").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = []
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        own = spark.sparkContext.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator())))
-        found.append(rows.mapInArrow(_scanner(own, window), FOUND))
-    if blocks == 1:
+    key = F.lit(0) if len(blocks) == 1 else F.xxhash64("doc_id", "text")
+    rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), key.cast("long").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = [rows.mapInArrow(_scanner(own, window), FOUND) for own in blocks]
+    if len(found) == 1:
         n_hit = F.expr("aggregate(hits, 0L, (s, h) -> s + h.last - h.first + 1)")
         return found[0].select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
     return _united(found)
@@ -154,19 +160,21 @@ def _united(found: list[DataFrame]) -> DataFrame:
     return one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without documents that hold a window of an item. The scan
-    decides row by row in one pass, so no join is needed; rows with a null id
-    are scanned as well. The columns stay as they are."""
-    spark = docs.sparkSession
-    items = internal(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    own = spark.sparkContext.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in items.toLocalIterator())))
-    at = docs.columns.index("text")
-
+def _dropper(own, window: int, at: int):
     def run(batches):
         machine = _automaton(own.value, window)
         for batch in batches:
             keep = [not (t and _scan(t, machine)[1]) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 20_000_000) -> DataFrame:
+    """``docs`` without documents that hold a window of an item. Each block of
+    items decides row by row, so no join is needed; rows with a null id are
+    scanned as well. The columns stay as they are."""
+    at, schema = docs.columns.index("text"), docs.schema
+    for own in _item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(_dropper(own, window, at), schema)
+    return docs

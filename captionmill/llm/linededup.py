@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionmill.llm.common import internal, stored
+from captionmill.llm.common import stored
 
 LEAST, PLACES = 5, 1 << 16
 _GAP = r"[\x20\x09-\x0D]+"
@@ -81,7 +81,7 @@ def line_links(rows: DataFrame, reps: DataFrame, num: int = 4, den: int = 5) ->
     return second.where(alike).select("a_doc", "a_line", "b_doc", "b_line")
 
 
-def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, carry: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_lines (lines of LEAST words or more),
     n_copies (of them removed as copies of an earlier line), n_near (removed
     as similar to one), n_links (pairs of classes that its lines stand in) and
@@ -92,8 +92,8 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     they are. Rows that share a doc_id count as one document: a line number
     that stands for a class stays in each of them.
     """
-    spark = docs.sparkSession
-    every = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if carry else F.lit(None)
+    every = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], row.alias("row"))
     rows = every.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "w")).where(F.col("w").rlike(_LONG))
     hashed = lines.select("doc_id", "line", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"))
@@ -115,10 +115,21 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     n_rep, n_near = F.coalesce(F.size("at"), F.lit(0)), F.coalesce(F.size("near"), F.lit(0))
     return long.select(
         "doc_id", n.alias("n_lines"), F.when(in_order, n - n_rep).otherwise(0).cast("long").alias("n_copies"), n_near.cast("long").alias("n_near"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(in_order & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(in_order & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text"), *(["row"] if carry else []),
     )
 
 
+def without_repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """``docs`` with shortened texts, under its own columns. A document whose
+    last word goes with its lines goes as well; one that had no word stays.
+    ``n_chars``, where there is such a column, follows the text."""
+    done = dedup_lines(docs, num, den, carry=True)
+    done = done.where((F.col("n_copies") + F.col("n_near") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    kinds = dict(docs.dtypes)
+    return done.select(*[(new[c].cast(kinds[c]) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether any doc_id stands in several rows."""
     return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()

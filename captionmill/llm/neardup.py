@@ -78,20 +78,22 @@ def sketches(sets: list[np.ndarray], m: int, t: int) -> np.ndarray:
     return out
 
 
-SKETCHED = "doc_id long, n_shingles long, set_key binary, sketch array<long>"
+SKETCHED = "doc_id long, text_hash long, n_shingles long, set_key binary, sketch array<long>"
 
 
 def _sketcher(m: int, t: int):
     def run(batches):
         for batch in batches:
             for part in _slices(batch, 2_000_000):
-                sets = [shingle_set(x) for x in part.column(1).to_pylist()]
+                texts = part.column(1).to_pylist()
+                sets = [shingle_set(x) for x in texts]
+                hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, rows = [None] * len(sets), [None] * len(sets)
                 if full:
                     for i, r in zip(full, sketches([sets[i] for i in full], m, t).view(np.int64).tolist()):
                         keys[i], rows[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), r
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "set_key", "sketch"])
 
     return run
 
@@ -225,8 +227,8 @@ def block_confirmed(blocks: DataFrame, pairs: DataFrame, pool: DataFrame, percen
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, m: int = 10, t: int = 3) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id
-    reachable over links) and kept (doc_id = component_id).
+    """Per row of ``docs``: doc_id, text_hash, n_shingles, component_id (the
+    least doc_id reachable over links) and kept (doc_id = component_id).
 
     Two documents are linked if 100 * intersection >= percent * union of their
     shingle sets. With the defaults a pair at 85 % is missed by all 100 tables
@@ -259,10 +261,32 @@ def _joined_back(sketched: DataFrame, classes: DataFrame, parts: DataFrame) -> D
     total = classes.agg(F.sum("copies")).first()[0] or 0
     by_class = classes.select("set_key", "id", "copies").join(parts.withColumnRenamed("node", "id"), "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component_id"))
     hot = F.broadcast(by_class.where(F.col("copies") * 1000 > total).select("set_key", F.col("component_id").alias("hot_id")))
-    own = sketched.select("doc_id", "n_shingles", "set_key")
-    bare = own.where("set_key IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    told = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(hot, "set_key", "left")
-    large, rest = told.where("hot_id IS NOT NULL"), told.where("hot_id IS NULL").drop("hot_id")
+    told = ["doc_id", "text_hash", "n_shingles"]
+    own = sketched.select(*told, "set_key")
+    bare = own.where("set_key IS NULL OR doc_id IS NULL").select(*told, F.col("doc_id").alias("component_id"))
+    own = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(hot, "set_key", "left")
+    large, rest = own.where("hot_id IS NOT NULL"), own.where("hot_id IS NULL").drop("hot_id")
     rest = rest.join(by_class.where(F.col("copies") * 1000 <= total).select("set_key", "component_id"), "set_key")
-    every = large.select("doc_id", "n_shingles", F.col("hot_id").alias("component_id")).unionByName(rest.select("doc_id", "n_shingles", "component_id")).unionByName(bare)
+    every = large.select(*told, F.col("hot_id").alias("component_id")).unionByName(rest.select(*told, "component_id")).unionByName(bare)
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _hash_text(batches):
+    for batch in batches:
+        own = np.array([xxhash.xxh3_64_intdigest(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own, pa.int64())], names=[*batch.schema.names[:-1], "text_hash"])
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One document of each group of near duplicates, that of the least id,
+    under the columns of ``docs``. Of rows alike in id and text one stays;
+    texts without a word and rows with a null id all stay."""
+    found = near_duplicates(docs, percent)
+    row = F.struct(*[docs[c] for c in docs.columns])
+    keyed = docs.select(row.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.col("text").alias("text_hash"))
+    kinds = keyed.schema
+    hashed = keyed.mapInArrow(_hash_text, kinds[:2].add("text_hash", "long"))
+    kept = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n_shingles"))
+    one = hashed.join(kept, ["doc_id", "text_hash"]).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1))))
+    stay = one.where("nth = 1 OR n_shingles = 0").select("row").unionByName(hashed.where("doc_id IS NULL").select("row"))
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
