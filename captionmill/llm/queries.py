@@ -26,11 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_copies", "n_near", "n_links", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-#: Two counting rules that stand for two tokenizer versions, as expressions over the text.
-COUNTERS = {
-    "words-1": F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")),
-    "words-2": F.size(F.array_remove(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")),
-}
+def counters() -> dict:
+    """Two counting rules that stand for two tokenizer versions."""
+    words = lambda gap: F.size(F.array_remove(F.split("text", gap), ""))
+    return {"words-1": words(r"[\x20\x09-\x0D]+"), "words-2": words(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with 5 tokens too few, then a revision that puts the counts right. The
     second batch is committed twice."""
     path = scratch(spark, "rollup")
-    counts = stored(rollups.counted(table(spark, sf_dir, "documents"), COUNTERS), "token-counts")
+    counts = stored(rollups.counted(table(spark, sf_dir, "documents"), counters()), "token-counts")
     first, second = counts.where("tokenizer_version = 'words-1'"), counts.where("tokenizer_version = 'words-2'")
     change = lambda rows, op, n="n_tokens", prev="0": rows.selectExpr(f"'{op}' AS op", "source", "lang", "tokenizer_version", f"cast({n} AS long) AS n_tokens", f"cast({prev} AS long) AS prev_n_tokens")
     short, long = first.where("n_tokens < 10"), first.where("n_tokens >= 10")

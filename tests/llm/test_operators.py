@@ -1,0 +1,398 @@
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("captionmill.llm")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from captionmill.llm import chunks, components, ctw, decontaminate, hostrules, langid, linededup, neardup, records, rollups, toxicity
+from captionmill.llm.common import fold_of, scratch
+from captionmill.llm.encoding import PieceEncoder
+from captionmill.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, id long"
+WORDS = ["the", "cat", "sat", "on", "a", "mat", "with", "Dog", "and", "häuser", "straße", "run", "blue", "green", "old", "new", "river", "stone"]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(60)) for _ in range(n))
+
+
+def table(spark, rows):
+    """doc rows with columns whose names clash with those used inside."""
+    return spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), 0.5, "x", 7) for i, t, lang, s in rows], SCHEMA)
+
+
+def odd_rows():
+    """Nulls, empty and very long texts, repeated rows."""
+    rng = random.Random(3)
+    long = "\n".join(prose(rng, 30) for _ in range(400))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, "   \n\t", "en", "a"), (4, "One two", "en", None), (5, long, "de", "b"), (6, long, "de", "b"), (6, long, "de", "b"), (None, prose(rng, 20), "en", "a")]
+    return rows + [(10 + i, prose(rng, rng.randrange(5, 60)), "en", "a") for i in range(12)]
+
+
+@pytest.fixture(scope="module")
+def tok():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+ALPHABET = [" ", "\n", "a", "b", "'s", "é", "\t", "\xa0", "中", "<|endoftext|>", "1", ".", "\x00", "  ", "\r\n", "᠎", "\x1c", "\x85", " ", "the ", "word "]
+
+
+def test_piece_and_chunk_encoding_equal_the_library(tok):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["", "x" * 5000, " " * 300]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    pieces = PieceEncoder(tokenizer_path(), limit=500)
+    ids, ends = pieces.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
+    small = chunks.ChunkEncoder(PieceEncoder(tokenizer_path()), bits=3, least=4, most=64, limit=20_000)
+    assert [np.frombuffer(p, "<u2").tolist() for i in range(0, len(texts), 100) for p in small.encode(texts[i : i + 100])] == want
+    assert [small.encoder.vocab.decode(w) for w in want[:500]] == [tok.decode(w, skip_special_tokens=False) for w in want[:500]]
+
+
+def test_chunks_are_shared_between_documents():
+    rng = random.Random(2)
+    passage = prose(rng, 3000)
+    own = chunks.ChunkEncoder(PieceEncoder(tokenizer_path()))
+    own.encode([prose(rng, 200) + " " + passage])
+    before = own.new_bytes
+    own.encode([prose(rng, 150) + " " + passage])
+    assert own.new_bytes - before < 0.3 * len(passage)
+
+
+def test_encode_documents(spark, tok):
+    rows = odd_rows()
+    got = chunks.encode_documents(table(spark, rows), tokenizer_path()).collect()
+    want = collections.Counter((i, hashlib.sha256(",".join(map(str, tok.encode(t or "", add_special_tokens=False).ids)).encode()).hexdigest(), t or "") for i, t, *_ in rows)
+    assert collections.Counter((r["doc_id"], r["ids_sha256"], r["decoded"]) for r in got) == want
+    assert chunks.encode_documents(table(spark, []), tokenizer_path()).count() == 0
+
+
+def test_crc32c_matches_a_bytewise_version():
+    def plain(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            c ^= b
+            for _ in range(8):
+                c = (c >> 1) ^ (records.CRC_POLY if c & 1 else 0)
+        return c ^ 0xFFFFFFFF
+
+    rng = random.Random(4)
+    parts = [b"123456789", b"", *(rng.randbytes(rng.randrange(900)) for _ in range(20))]
+    assert records.crc32c(parts).tolist() == [plain(p) for p in parts]
+    assert records.crc32c([b"123456789"])[0] == 0xE3069283
+
+
+def test_records_round_trip(spark, tok):
+    rows = odd_rows()
+    path = scratch(spark, "test-records")
+    records.write_records(table(spark, rows), path, tokenizer_path(), 2, block_bytes=500)
+    want, start = [], 0
+    for i, t in sorted([(i, t or "") for i, t, *_ in rows], key=lambda r: (r[0] is not None, r)):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in records.read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+    mixed = records.read_shuffled(spark, path, 5).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"], r["n_tokens"]) for r in mixed) == sorted((w[0] is not None, w[0], w[2]) for w in want)
+    empty = scratch(spark, "test-records")
+    records.write_records(table(spark, []), empty, tokenizer_path())
+    assert records.read_records(spark, empty).count() == 0
+
+
+def test_a_damaged_record_is_refused():
+    framed = bytearray(b"".join(records._frame([b"0123456789abcdef" + b"\x01\x00"])))
+    framed[14] ^= 1
+    with pytest.raises(ValueError):
+        list(records._parse(bytes(framed)))
+
+
+def brute_lines(rows, num=4, den=5):
+    """Plain version over rows without null or repeated ids."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    lines, first = [], {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        for k, line in enumerate((t or "").split("\n")):
+            if len(word.findall(line)) >= linededup.LEAST:
+                lines.append((i, k, line))
+                first.setdefault(line, (i, k))
+    reps = [(i, k, set(word.findall(x))) for i, k, x in lines if first[x] == (i, k)]
+    links = [(a[:2], b[:2]) for a, b in itertools.combinations(reps, 2) if den * len(a[2] & b[2]) >= num * len(a[2] | b[2])]
+    near = {b for _, b in links}
+    gone = {(i, k) for i, k, x in lines if first[x] != (i, k)} | near
+    n = collections.Counter(e[0] for pair in links for e in pair)
+    return {i: (n[i], None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t, *_ in rows}
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(6)
+    base = [prose(rng, rng.randrange(3, 14)) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        own = []
+        for _ in range(rng.randrange(0, 8)):
+            words = rng.choice(base).split()
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = "new" + str(rng.randrange(100))
+            own.append(" ".join(words))
+        rows.append((i, "\n".join(own), "en", "a"))
+    rows += [(100, None, "en", "a"), (101, "", "en", "a"), (102, "a b\n\n" + base[0], "en", "a")]
+    got = {r["doc_id"]: (r["n_links"], r["text"]) for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    want = brute_lines(rows)
+    assert got == want
+    assert any(n for n, _ in want.values())
+    assert linededup.dedup_lines(table(spark, [])).count() == 0
+
+
+def test_line_dedup_odd_rows(spark):
+    rows = odd_rows()
+    out = linededup.without_repeated_lines(table(spark, rows))
+    assert out.columns == table(spark, []).columns
+    left = [r["doc_id"] for r in out.collect()]
+    assert 5 in left and 2 in left and 3 in left and None in left and 1 in left
+    assert 6 not in left  # all its lines stand in document 5
+
+
+def test_rollups(spark):
+    path = scratch(spark, "test-rollup")
+    row = "op string, source string, lang string, tokenizer_version string, n_tokens long, prev_n_tokens long"
+    batch = lambda *rows: spark.createDataFrame(list(rows), row)
+    assert rollups.totals(spark, path).count() == 0
+    first = batch(("insert", "a", "en", "v1", 10, None), ("insert", "a", "en", "v1", 5, None), ("insert", None, None, "v1", 7, None))
+    assert rollups.commit(first, path, "b/1") and not rollups.commit(first, path, "b/1")
+    rollups.commit(batch(("delete", "a", "en", "v1", 5, None), ("revise", "a", "en", "v1", 12, 10), ("delete", None, None, "v1", 7, None)), path, "b/2")
+    assert [tuple(r) for r in rollups.totals(spark, path).collect()] == [("a", "en", "v1", 1, 12)]
+    rollups.compact(spark, path)
+    assert not rollups.commit(first, path, "b/1")
+    assert [tuple(r) for r in rollups.totals(spark, path).collect()] == [("a", "en", "v1", 1, 12)]
+    with pytest.raises(Exception, match="unknown op"):
+        rollups.commit(batch(("upsert", "a", "en", "v1", 1, None)), path, "b/3")
+    assert rollups.commit(batch(), path, "b/4")
+
+
+def test_ctw_model_predicts_a_distribution_and_learns():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(30)).encode() for _ in range(50)]
+    key, n = np.unique(ctw.grams(texts)[0], return_counts=True)
+    counts = []
+    for d in range(ctw.DEPTH + 1):
+        own, back = np.unique(key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        counts.append((own, np.bincount(back, n)))
+    model = ctw.Model.unpack(ctw.build(counts).pack()).index()
+    for context in (0, int(key[3]) >> 8, 0x616C70686100):
+        every = np.array([context << 8 | b for b in range(256)], np.uint64)
+        assert abs((10.0 ** model._path(every)).sum() - 1) < 1e-9
+    assert np.allclose(model.log10(key), model._path(key), atol=1e-5)
+    seen, odd = model.scores([b"alpha beta gamma", b"zqxj wvk yyqq zz"])
+    assert seen > -8 and odd < 4 * seen
+    # A root-only sequence is the KT estimate itself, mixed with nothing seen below.
+    assert np.allclose(ctw._log_kt(np.array([2.0]), np.array([1.0])), math.log(0.5 * 0.75 * 0.5 / 3))
+
+
+def test_ctw_base_equals_plain_counts(spark):
+    rows = [r for r in odd_rows() if r[0] != 6] + [(99, "Unseen WORDS unseen", "en", "a")]
+    got = {r["doc_id"]: r for r in ctw.score(table(spark, rows), lambda i: F.coalesce(i != 99, F.lit(True)), block_bytes=3000).collect()}
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {i: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold)), None] for i, t, *_ in rows}
+    count = collections.Counter(w for i, ws in words.items() if i != 99 for w in ws)
+    total, kinds = sum(count.values()), len(count)
+    assert len(got) == len(rows)
+    for i, ws in words.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), total)
+        assert math.isclose(got[i]["base_score"], sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws), rel_tol=1e-9)
+        assert got[i]["score"] < 0
+    assert ctw.score(table(spark, []), lambda i: i >= 0).count() == 0
+
+
+def brute_hits(text, items, window=10):
+    words = decontaminate.words_of(text)
+    hit, found = set(), set()
+    for i, t in items:
+        w = decontaminate.words_of(t)
+        n = min(window, len(w))
+        own = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+        for k in range(len(words) - n + 1):
+            if tuple(words[k : k + n]) in own:
+                hit.update(range(k, k + n))
+                found.add(str(i))
+    return len(words), len(hit), sorted(found)
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, rng.randrange(1, 25))) for i in range(8)] + [(8, "The CAT!"), (9, None), (10, ""), (None, "blue"), (8, "The CAT!")]
+    rows = []
+    for i in range(40):
+        t = rng.choice([x for _, x in items if x]).split()
+        cut = t[rng.randrange(len(t)) // 2 :]
+        rows.append((i, prose(rng, 10) + ", " + " ".join(cut).upper() + "; " + prose(rng, 12), "en", "a"))
+    rows += odd_rows()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = collections.Counter((i, *brute_hits(t or "", [x for x in items if x[0] is not None])[:2], tuple(brute_hits(t or "", [x for x in items if x[0] is not None])[2])) for i, t, *_ in rows)
+    for block in (10**9, 60):  # one automaton, and several
+        got = decontaminate.find_contamination(table(spark, rows), bench, block_chars=block).collect()
+        assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == want
+    kept = decontaminate.drop_contaminated(table(spark, rows), bench)
+    assert kept.count() == sum(v for k, v in want.items() if not k[2])
+    assert decontaminate.find_contamination(table(spark, rows), bench.where("false")).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_spans_lie_in_the_original(spark):
+    bench = spark.createDataFrame([(1, "straße über Grün")], "item_id long, text string")
+    text = "ÄÖ — Straße, über: Grün!"
+    (row,) = decontaminate.find_contamination(table(spark, [(1, text, "de", "a")]), bench).collect()
+    assert [text[s["start"] : s["end"]] for s in row["spans"]] == ["Straße, über: Grün"]
+
+
+def test_host_rules_equal_plain_counts(spark):
+    rng = random.Random(10)
+    rows = odd_rows() + [(200 + i, " ".join(rng.choice("a b c".split()) for _ in range(rng.randrange(40))) + "\n#* <x>\n#* <x>", "en", f"h{i % 4}") for i in range(40)]
+    got = hostrules.base_counts(table(spark, rows)).collect()
+
+    def plain(t):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        n = collections.Counter(grams)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(words), sum(map(len, words)), sum(c in hostrules.SYMBOLS for c in t), len(lines) - len(set(lines)), len({j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 5)})
+
+    want = collections.Counter((i, *plain(t or "")) for i, t, *_ in rows)
+    assert collections.Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    assert hostrules.apply_rules(table(spark, [])).count() == 0
+
+
+def test_host_verdicts_shrink(spark):
+    good, bad = prose(random.Random(1), 30), "x"
+    rows = [(i, bad if i % 10 else good, "en", "junk") for i in range(200)] + [(1000 + i, good, "en", f"h{i % 20}") for i in range(400)] + [(5000, bad, "en", "tiny"), (5001, good, "en", "tiny"), (5002, good, "en", None)]
+    kept = {r["doc_id"]: r["kept"] for r in hostrules.apply_rules(table(spark, rows)).collect()}
+    assert not any(kept[i] for i in range(200))
+    assert all(kept[1000 + i] for i in range(400)) and kept[5001] and kept[5002] and not kept[5000]
+
+
+def test_language_id(spark):
+    rng = random.Random(11)
+    voice = {"en": "the and ing tion ou th wh".split(), "de": "sch ung keit ein ch ü ß".split(), "es": "ción que os ar ñ la el".split()}
+    make = lambda lang: " ".join("".join(rng.choice(voice[lang]) for _ in range(3)) for _ in range(25))
+    rows = [(i, make(lang), lang, "a") for i, lang in enumerate(["en", "de", "es"] * 60)] + [(900, "1234 !!", "en", "a"), (901, None, "en", "a"), (902, make("en"), None, "a"), (903, make("de") * 4000, "de", "a")]
+    docs = table(spark, rows)
+    model = langid.train(langid.training_rows(docs))
+    got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    right = [got[i]["lang_pred"] == lang for i, _, lang, _ in rows if i < 900 and zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(right) > 20 and sum(right) / len(right) > 0.95
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0
+    assert got[903]["lang_pred"] == "de" and all(0 <= r["score"] <= 1 for r in got.values())
+    kept = {r["doc_id"] for r in langid.keep_known(docs, model).collect()}
+    assert not kept & {900, 901} and 902 in kept
+    none = langid.train(docs.where("false"))
+    assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
+
+
+def brute_components(rows, percent):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets = [(i, shingles(t)) for i, t, *_ in rows]
+    up = {i: i for i, _ in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    return {i: (len(s), root(i)) for i, s in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(25):
+        words = prose(rng, rng.randrange(40, 120)).split()
+        for _ in range(rng.randrange(1, 7)):
+            own = list(words)
+            for _ in range(rng.randrange(0, 3)):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(999)}"
+            rows.append((len(rows) + 3, " ".join(own), "en", "a"))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "One TWO", "en", "a"), (903, "one  two", "en", "a")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, rows), percent=85).collect()}
+    want = brute_components(rows, 85)
+    assert got == want and len({c for _, c in want.values()}) < len(want)
+
+
+def test_near_duplicate_stage_and_odd_rows(spark):
+    docs = table(spark, odd_rows())
+    out = neardup.without_near_duplicates(docs)
+    left = sorted((r["doc_id"] for r in out.collect()), key=lambda x: (x is not None, x))
+    assert out.columns == docs.columns
+    assert left.count(5) == 1 and 6 not in left and {1, 2, 3, 4} <= set(left) and None in left
+    assert neardup.without_near_duplicates(table(spark, [])).count() == 0
+
+
+def test_block_overlaps():
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique(rng.integers(0, 300, 40).astype(np.uint64)) for _ in range(n)] for n in (7, 5))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert neardup._overlaps(left, right, columns=32).tolist() == want
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (20, 21), (21, 22), (22, 23), (23, 24), (24, 20)]
+    got = {r["node"]: r["component"] for r in components.connected(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, 20: 20, 21: 20, 22: 20, 23: 20, 24: 20}
+    assert components.connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 5 == 0
+        words = prose(rng, 40).split()
+        if toxic:
+            for w in rng.sample(["idiot", "moron", "trash"], 2):
+                words[rng.randrange(len(words))] = w
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, int(toxic)))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a")]
+    marked = spark.createDataFrame(labels + [(5000, 1), (1, None), (None, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(table(spark, rows), marked.where(fold_of(F.col("doc_id"), 5) != 0))
+    got = {r["doc_id"]: r for r in toxicity.score(table(spark, rows), index).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i]["predicted"] == (i % 5 == 0) for i in held) / len(held) > 0.97
+    assert got[900]["score"] == got[901]["score"] < 0.5 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert all(r["evidence"] for i, r in got.items() if i < 600 and i % 5 == 0)
+    none = toxicity.fit(table(spark, rows), marked.where("false"))
+    assert {round(r["score"], 6) for r in toxicity.score(table(spark, rows), none).collect()} == {0.5}
+
+
+def test_block_index_equals_a_full_comparison():
+    rng = np.random.default_rng(7)
+    rows = np.maximum(rng.normal(size=(500, 30)) - 0.8, 0).astype(np.float32)
+    rows[rows.sum(1) == 0, 0] = 1
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = rows[np.argsort(rows.argmax(1), kind="stable")]
+    index = toxicity.Index([b"w%d" % i for i in range(30)], np.ones(30), np.arange(500), np.zeros(500), rows, 10, 0.5, 0.5)
+    q = rows[::7]
+    top, _ = index.neighbours(q, 10)
+    assert np.allclose(top, -np.sort(-(q @ rows.T), axis=1)[:, :10], atol=1e-5)
+
+
+def test_forest_keeps_what_links_join():
+    linked = np.array([[1, 0, 0], [1, 1, 0], [0, 0, 1]], bool)
+    assert sorted(neardup._forest(linked, np.array([5, 9, 7]), np.array([8, 3, 7]))) == [(5, 3), (8, 3), (9, 3)]
