@@ -4,7 +4,7 @@ Lines of ``LEAST`` words or more are sets of words. Copies of a line become
 one class first, stood for by the first in (doc_id, line number). The words of
 a class are ordered by rarity; two sets that are similar enough share a word
 among their first few, so classes are joined on those prefix words alone,
-under the length filter, the positional filter and a bound by a 64-bit bitmap
+under the length filter, the positional filter and a bound by two 64-bit bitmaps
 of the words. What is left is verified on the words themselves. A line that
 matches an earlier one is removed, whether that one is removed or not.
 
@@ -62,19 +62,20 @@ def line_links(rows: DataFrame, reps: DataFrame, num: int = 4, den: int = 5) ->
     line = held.select("doc_id", F.explode("at").alias("line"), "lines").withColumn("w", F.element_at("lines", F.col("line") + 1)).select("doc_id", "line", _words(F.col("w")).alias("words"))
     key = lambda w: F.shiftleft(F.element_at(rarity, (F.pmod(F.xxhash64(w), F.lit(PLACES)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
     sets = line.select("doc_id", "line", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
-    bits = F.expr("aggregate(keys, 0L, (b, k) -> b | shiftleft(1L, cast(k & 63 AS int)))")
+    bits = lambda shift: F.expr(f"aggregate(keys, 0L, (b, k) -> b | shiftleft(1L, cast(shiftright(k, {shift}) & 63 AS int)))")
     prefix = F.expr(f"slice(keys, 1, n - cast((n * {num} + {den - 1}) div {den} AS int) + 1)")
-    posts = sets.withColumn("bits", bits).select("doc_id", "line", "n", "bits", F.posexplode(prefix).alias("k", "key"))
-    a = _sides(posts, key="key", doc_id="a_doc", line="a_line", n="a_n", bits="a_bits", k="a_k")
-    b = _sides(posts, key="key", doc_id="b_doc", line="b_line", n="b_n", bits="b_bits", k="b_k")
+    posts = sets.withColumn("bits", bits(0)).withColumn("more", bits(6)).select("doc_id", "line", "n", "bits", "more", F.posexplode(prefix).alias("k", "key"))
+    a = _sides(posts, key="key", doc_id="a_doc", line="a_line", n="a_n", bits="a_bits", more="a_more", k="a_k")
+    b = _sides(posts, key="key", doc_id="b_doc", line="b_line", n="b_n", bits="b_bits", more="b_more", k="b_k")
     both = num + den  # J >= num/den is the same as overlap * both >= num * (|a| + |b|)
     near = F.expr(f"""(a_doc < b_doc OR (a_doc = b_doc AND a_line < b_line))
         AND a_n * {den} >= b_n * {num} AND b_n * {den} >= a_n * {num}
         AND least(a_n - a_k, b_n - b_k) * {both} >= {num} * (a_n + b_n)
-        AND (a_n + b_n - bit_count(a_bits ^ b_bits)) * {both} >= {2 * num} * (a_n + b_n)""")
+        AND (a_n + b_n - greatest(bit_count(a_bits ^ b_bits), bit_count(a_more ^ b_more))) * {both} >= {2 * num} * (a_n + b_n)""")
     pairs = a.join(b, "key").where(near).select("a_doc", "a_line", "b_doc", "b_line").distinct()
     # Verification: the words of either side come from the one exchange of the texts.
-    of_line = lambda n: _words(F.element_at(F.split("text", "\n"), F.col(n) + 1))
+    # They travel as 64-bit hashes: two words of one pair would have to collide.
+    of_line = lambda n: F.transform(_words(F.element_at(F.split("text", "\n"), F.col(n) + 1)), lambda w: F.xxhash64(w))
     first = pairs.join(rows, pairs["a_doc"] == rows["doc_id"]).select("a_doc", "a_line", "b_doc", "b_line", of_line("a_line").alias("a_words"))
     second = first.join(rows, first["b_doc"] == rows["doc_id"]).select("a_doc", "a_line", "b_doc", "b_line", "a_words", of_line("b_line").alias("b_words"))
     alike = F.size(F.array_intersect("a_words", "b_words")) * both >= num * (F.size("a_words") + F.size("b_words"))
