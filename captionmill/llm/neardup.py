@@ -9,8 +9,8 @@ Documents with one shingle set are one class, and classes alone are banded.
 Candidates of a table key are confirmed in two rounds, on the full shingle
 sets made again from the texts. First every class is compared with the one it
 meets most often among the least classes of its tables; the links found join
-most of a group to one component. Classes that chose one head are dealt into
-blocks of about ``BLOCK``. Then, for each table key that still holds several
+most of a group to one component. Classes tied together by these choices,
+confirmed or not, are dealt into blocks of about ``BLOCK``. Then, for each table key that still holds several
 components, the blocks of its classes are compared block by block, every class
 of one with every class of the other. So no pair of different components that
 met in a table is left out, no pair of classes is ever a row, and a text
@@ -31,7 +31,7 @@ from captionmill.llm.chunks import _slices
 from captionmill.llm.common import internal, stored
 from captionmill.llm.components import connected
 
-SHINGLE, SPREAD, BLOCK = 5, 200, 200
+SHINGLE, SPREAD, BLOCK = 5, 200, 400
 
 
 # Shingles and sketches -------------------------------------------------------
@@ -199,10 +199,10 @@ def _block_comparer(percent: int):
     return run
 
 
-def _mixed_blocks(met: DataFrame, parts: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed_blocks(met: DataFrame, parts: DataFrame, tied: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(block of each id, block pairs to compare): those whose classes meet in
     a key with several components."""
-    ids = met.select("id").distinct().join(heads.withColumnRenamed("other", "id"), "id", "left").select("id", F.coalesce("head", "id").alias("head"))
+    ids = met.select("id").distinct().join(tied.select(F.col("node").alias("id"), F.col("component").alias("head")), "id", "left").select("id", F.coalesce("head", "id").alias("head"))
     size = ids.groupBy("head").agg(F.count("*").alias("n"))
     blocks = stored(ids.join(size, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK)).cast("int").alias("part")), "blocks")
     own = met.join(blocks, "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, m: int = 10, t: int = 3)
     often = met.withColumn("head", least).where("head <> id").groupBy("id", "head").agg(F.count("*").alias("n"))
     heads = stored(often.groupBy(F.col("id").alias("other")).agg(F.max_by("head", F.struct("n", F.negative("head"))).alias("head")), "heads")
     links = confirmed(heads, pool, percent)
-    blocks, pairs = _mixed_blocks(met, connected(links), heads)
+    blocks, pairs = _mixed_blocks(met, connected(links), connected(heads.select(F.col("other").alias("u"), F.col("head").alias("v"))))
     parts = connected(links.unionByName(block_confirmed(blocks, pairs, pool, percent)))
     return _joined_back(sketched, classes, parts)
 
