@@ -178,8 +178,23 @@ def _block_links(members: list[tuple[int, int, str]], percent: int) -> list[tupl
     both = _overlaps(*([s for _, s in side] for side in sides))
     a, b = (np.array([len(s) for _, s in side]) for side in sides)
     ids = [np.array([i for i, _ in side]) for side in sides]
-    x, y = np.nonzero(both * 100 >= percent * (a[:, None] + b[None, :] - both))
-    return [(u, v) for u, v in zip(ids[0][x].tolist(), ids[1][y].tolist()) if u != v]
+    return _forest(both * 100 >= percent * (a[:, None] + b[None, :] - both), *ids)
+
+
+def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(id, least id that it reaches) over the links of two sides: what the
+    links join stays joined, without a row for each link."""
+    least = {i: i for i in [*left.tolist(), *right.tolist()]}
+    top = np.iinfo(np.int64).max
+    while True:
+        own_l, own_r = (np.array([least[i] for i in side.tolist()]) for side in (left, right))
+        new_l = np.minimum(own_l, np.where(linked, own_r[None, :], top).min(1))
+        new_r = np.minimum(own_r, np.where(linked, new_l[:, None], top).min(0))
+        before = dict(least)
+        for i, x in zip([*left.tolist(), *right.tolist()], [*new_l.tolist(), *new_r.tolist()]):
+            least[i] = min(least[i], x)
+        if least == before:
+            return [(i, x) for i, x in least.items() if i != x]
 
 
 def _block_comparer(percent: int):
