@@ -216,11 +216,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, .
     return rows.mapInArrow(run, ENCODED)
 
 
-def _slices(batch: pa.RecordBatch, most: int):
-    """Parts of a batch of about ``most`` bytes of text, a row at least."""
+def _slices(batch: pa.RecordBatch, most: int, at: int = 1):
+    """Parts of a batch of about ``most`` bytes of text, a row at least; the
+    text is column ``at``."""
     import pyarrow.compute as pc
 
-    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most)))

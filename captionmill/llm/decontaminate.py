@@ -90,7 +90,7 @@ def _scanner(items, window):
         own = items.value
         machine = _automaton(own, window)
         for batch in batches:
-            for part in _slices_third(batch):
+            for part in _slices(batch, 4_000_000, 2):
                 out = {k: [] for k in ("n_words", "hits", "spans", "items")}
                 for text in part.column(2).to_pylist():
                     n, hits, spans, found = _scan(text, machine)
@@ -107,14 +107,6 @@ def _scanner(items, window):
     return run
 
 
-def _slices_third(batch: pa.RecordBatch):
-    two = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"])
-    at = 0
-    for part in _slices(two, 4_000_000):
-        yield batch.slice(at, part.num_rows)
-        at += part.num_rows
-
-
 def _item_blocks(benchmark: DataFrame, block_chars: int) -> list:
     """Broadcasts of (id, text) pairs, each of about ``block_chars`` at most."""
     spark = benchmark.sparkSession
@@ -164,8 +156,9 @@ def _dropper(own, window: int, at: int):
     def run(batches):
         machine = _automaton(own.value, window)
         for batch in batches:
-            keep = [not (t and _scan(t, machine)[1]) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in _slices(batch, 4_000_000, at):
+                keep = [not (t and _scan(t, machine)[1]) for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return run
 

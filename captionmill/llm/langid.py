@@ -115,7 +115,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         own = told.value
         for batch in batches:
-            for part in _slices(batch, 4_000_000):
+            for part in _slices(batch, 2_000_000):
                 best, top = own.scores(part.column(1).to_pylist())
                 names = pa.array([own.langs[b] if b >= 0 else UNKNOWN for b in best.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), names, pa.array(top)], names=["doc_id", "lang_pred", "score"])
@@ -131,8 +131,9 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            best, top = told.value.scores([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array((best >= 0) & (top >= least)))
+            for part in _slices(batch, 2_000_000, at):
+                best, top = told.value.scores([t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array((best >= 0) & (top >= least)))
 
     return docs.mapInArrow(run, docs.schema)
 
