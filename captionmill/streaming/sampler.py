@@ -24,7 +24,9 @@ from captionmill.operators.frames import Selector, downscale, max_gap
 def scene_change_stream(frames: DataFrame, threshold: float = 0.05, fps: float = 1.0, idle_ms: int = 60_000) -> DataFrame:
     """(video_id, frame_idx) of the frames to read, as they come. Frames of a
     video must arrive in order. A video without frames for ``idle_ms`` is over:
-    its last frame follows if it was held back and differs."""
+    its last frame follows if it was held back and differs. The timer runs on
+    processing time, so the query wants a continuing trigger (or one batch):
+    ``availableNow`` would wait for timers without end."""
     gap = max_gap(fps)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -312,9 +312,32 @@ def test_streams(spark, tmp_path):
     rows = [("v", i, 1.0, 2, 2, grey(v)) for i, v in enumerate([0, 0, 200, 200, 255])]
     spark.createDataFrame(rows, schema.FRAME).coalesce(1).write.parquet(str(tmp_path / "frames"))
     stream = spark.readStream.schema(schema.FRAME).parquet(str(tmp_path / "frames"))
-    q = sampler.scene_change_stream(stream).writeStream.format("memory").queryName("chosen").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = sampler.scene_change_stream(stream).writeStream.format("memory").queryName("chosen").outputMode("append").trigger(once=True).start()
+    assert q.awaitTermination(120)
     assert sorted(r["frame_idx"] for r in spark.table("chosen").collect()) == [0, 2, 4]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+
+
+def test_dedup_stream(spark, tmp_path):
+    from captionmill.streaming import sampler
+
+    rows = [("v", 0, 100.0, 100.0, "Hi"), ("v", 1, 101.0, 101.0, "hi"), ("v", 2, 109.0, 109.0, "hi"), ("v", 3, 130.0, 130.0, "other")]
+    data = spark.createDataFrame(rows, "video_id string, seq long, start double, end double, text string")
+    data.coalesce(1).write.parquet(str(tmp_path / "points"))
+    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "points")).withColumn("at", F.timestamp_seconds("start")).withWatermark("at", "0 seconds")
+    q = sampler.dedup_stream(stream).writeStream.format("memory").queryName("clusters").outputMode("append").trigger(once=True).start()
+    assert q.awaitTermination(120)
+    # The last cluster of a stream stays open until a later row moves the watermark.
+    assert (100.0, 101.0, "Hi", 2) in {(r["start"], r["end"], r["text"], r["n"]) for r in spark.table("clusters").collect()}
+
+
+def test_resume(spark, tmp_path):
+    from captionmill.streaming import sampler
+
+    seen = []
+    spark.createDataFrame([(0, "a"), (1, "b")], "seq long, source string").coalesce(1).write.json(str(tmp_path / "items"))
+    for _ in range(2):
+        sampler.resume_items(spark, str(tmp_path / "items"), str(tmp_path / "done"), lambda df, _: seen.extend(r["source"] for r in df.orderBy("seq").collect()))
+    assert seen == ["a", "b"]
