@@ -8,20 +8,22 @@ Trofimov estimate of its two counts; its weighted probability is half its own
 estimate and half the product of its children's, and prediction mixes the
 estimates along the path by the resulting posterior weights.
 
-Counts of (DEPTH + 1)-byte grams over all training texts are summed in Spark,
-as are their prefixes' for each smaller depth. A depth keeps at most
-``max_grams`` grams, the most frequent, so the model that is broadcast has a
-proven bound; a context that was not kept ends the path, as an unseen one does.
+Every gram of DEPTH + 1 bytes takes part. Documents are dealt into blocks by a
+hash of the id, and each block sends its distinct grams once, packed, with
+their counts in training texts. They go to buckets by their nearest ``SPLIT``
+context bytes, so that a bucket holds whole subtrees below that depth. A first
+pass over the buckets sums what the nodes above need, which the byte alphabet
+bounds (256 contexts at SPLIT = 2) and which is broadcast; a second one gives
+each block the log10 probabilities of its grams back.
 
 The word-unigram base needs each word's training count in every document.
-Documents are dealt into blocks by a hash of the id; each block sends its
-distinct words once, gets their counts over the corpus back, and is scored.
+Each block sends its distinct words along with its grams, gets their counts
+over the corpus back, and is scored.
 """
 
 from __future__ import annotations
 
 import dataclasses
-import functools
 import math
 import pickle
 
@@ -34,9 +36,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
-from captionmill.llm.common import internal, remove, scratch
+from captionmill.llm.common import internal, stored
 
-DEPTH, MARK, END_WORD = 5, 0xFF, b" "
+DEPTH, SPLIT, MARK, END_WORD = 5, 2, 0xFF, b" "
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAPS = bytes(32 if 9 <= b <= 13 else b for b in _FOLD)
@@ -56,38 +58,43 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[take], np.cumsum(size) - size
 
 
-def _count(batches):
-    for batch in batches:
-        for part in _slices(batch, 8_000_000):
-            keys, n = np.unique(grams([t.encode() for t in part.column(1).to_pylist()])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-
-def gram_counts(docs: DataFrame, max_grams: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth the kept grams of depth + 1 bytes, in order, and their counts."""
-    rows = internal(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    full = rows.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    path, out = scratch(docs.sparkSession, "grams"), []
-    full.write.parquet(path)
-    full = docs.sparkSession.read.schema(full.schema).parquet(path)
-    for d in range(DEPTH + 1):
-        own = full if d == DEPTH else full.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if d >= 2 and own.count() > max_grams:
-            # The least count above which the grams fit; counts are few, grams are many.
-            level = own.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-            total, least = 0, 1 << 12
-            for r in level:
-                total += r["k"]
-                if total > max_grams:
-                    break
-                least = r["n"]
-            own = own.where(F.col("n") >= least)
-        kept = own.toArrow()
-        key, n = kept["gram"].to_numpy().astype(np.uint64), kept["n"].to_numpy()
-        order = np.argsort(key)
-        out.append((key[order], n[order].astype(np.float64)))
-    remove(docs.sparkSession, path)
-    return out
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in order, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys))
+
+
+def _distinct(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a block and their counts in its training texts."""
+    parts = []
+    for batch in block.select(["learn", "text"]).to_batches():
+        for part in _slices(batch, 2_000_000):
+            rows = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+            for flag in (True, False):
+                keys, n = np.unique(grams([t.encode() for y, t in rows if y == flag])[0], return_counts=True) if any(y == flag for y, _ in rows) else (np.zeros(0, np.uint64), np.zeros(0))
+                parts.append((keys, n * flag))
+    return _summed(parts)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * SPLIT) - 1)
+    return (near * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 3)
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _prefixes(keys: np.ndarray, n: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of the grams of each depth up to ``depth``, from those of the last."""
+    return [_summed([(keys & np.uint64((1 << 8 * (d + 1)) - 1), n)]) for d in range(depth + 1)]
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -107,11 +114,8 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclasses.dataclass
 class Model:
     """Nodes of each depth: key (context << 8 | bits so far, with a leading
-    one), the log-odds of a 1 and the weight of stopping there; and the kept
-    grams with their log10 probabilities, found through a hash table.
-
-    Log-odds and weights are rounded to half precision, which leaves every
-    prediction a proper distribution and the model small to send."""
+    one), the log-odds of a 1 and the weight of stopping there; and grams with
+    their log10 probabilities, found through a hash table."""
 
     nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     grams: np.ndarray
@@ -196,10 +200,10 @@ class Model:
         return out
 
 
-def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Weights from the deepest contexts up, then the table of kept grams."""
-    nodes, below = [None] * (DEPTH + 1), None
-    for d in range(DEPTH, -1, -1):
+def _grow(counts: list, depths: range, below: tuple[np.ndarray, np.ndarray] | None, nodes: list) -> tuple[np.ndarray, np.ndarray]:
+    """Set the nodes of ``depths``, deepest first; ``below`` and what is given
+    back are node keys and log weighted probabilities of the depth below."""
+    for d in depths:
         gram, n = counts[d]
         keys, ones, alls = [], [], []
         for i in range(8):
@@ -216,26 +220,69 @@ def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Model:
         stop, weighted = np.ones(len(key)), estimate
         if below is not None:
             child, value = below  # node key of a child without its farthest byte is the parent's
-            mask = np.uint64((1 << 8 * (d + 1)) - 1)
-            product = np.zeros(len(key))
-            at = np.searchsorted(key, child & mask)
-            has = at < len(key)
-            has[has] = key[at[has]] == (child & mask)[has]
-            product = np.bincount(at[has], value[has], len(key))
+            at = np.searchsorted(key, child & np.uint64((1 << 8 * (d + 1)) - 1))
+            product = np.bincount(at, value, len(key))
             weighted = np.logaddexp(estimate, product) - math.log(2)
             stop = np.exp(estimate - math.log(2) - weighted)
-        nodes[d] = (key, np.log((one + 0.5) / (total - one + 0.5)).astype(np.float16), stop.astype(np.float16))
+        nodes[d] = (key, np.log((one + 0.5) / (total - one + 0.5)), stop)
         below = (key, weighted)
-    gram = counts[DEPTH][0]
+    return below
+
+
+def build(counts: list[tuple[np.ndarray, np.ndarray]], top: Model | None = None, asked: np.ndarray | None = None) -> Model:
+    """Weights from the deepest contexts up, then the table of ``asked`` grams
+    (default: those counted). With ``top``, the nodes above SPLIT are its own."""
+    nodes = [None] * (DEPTH + 1) if top is None else top.nodes[:SPLIT] + [None] * (DEPTH + 1 - SPLIT)
+    _grow(counts, range(DEPTH, -1 if top is None else SPLIT - 1, -1), None, nodes)
+    gram = counts[DEPTH][0] if asked is None else asked
     model = Model(nodes, gram, np.zeros(0, np.float32))
     model.values = np.concatenate([np.zeros(0), *[model._path(gram[i : i + 200_000]) for i in range(0, len(gram), 200_000)]]).astype(np.float32)
     return model
 
 
-@functools.lru_cache(maxsize=1)
-def _unpacked(data: bytes) -> Model:
-    """One model for each Python worker."""
-    return Model.unpack(data).index()
+def _bucket_grams(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The grams that the blocks sent to a bucket and their training counts."""
+    parts, size = [], 0
+    for keys, n in zip(bucket["grams"], bucket["counts"]):
+        parts.append((np.cumsum(_unpack(keys.as_py(), np.uint64), dtype=np.uint64), _unpack(n.as_py(), np.int64)))
+        size += len(parts[-1][0])
+        if size > 4_000_000:  # what is held follows the distinct grams, not the blocks
+            parts = [_summed(parts)]
+            size = 0
+    return _summed(parts)
+
+
+def _learnt(keys: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return _prefixes(keys[n > 0], n[n > 0])
+
+
+def _bucket_top(bucket: pa.Table) -> pa.Table:
+    """Counts of the grams just above SPLIT and, for their nodes, the log
+    product over the children that lie in this bucket."""
+    counts = _learnt(*_bucket_grams(bucket))
+    key, weighted = _grow(counts, range(DEPTH, SPLIT - 1, -1), None, [None] * (DEPTH + 1))
+    node, product = _summed([(key & np.uint64((1 << 8 * SPLIT) - 1), weighted)])
+    gram, n = counts[SPLIT - 1]
+    return pa.table({"product": pa.array([False] * len(gram) + [True] * len(node), pa.bool_()), "key": np.concatenate([gram, node]).astype(np.int64), "value": np.concatenate([n, product]).astype(float)})
+
+
+def _top(sums: pa.Table) -> Model:
+    """The nodes above SPLIT, from what all buckets told."""
+    product, key, value = sums["product"].to_numpy(), sums["key"].to_numpy().astype(np.uint64), sums["value"].to_numpy()
+    none = np.zeros(0, np.uint64)
+    nodes = [(none, np.zeros(0), np.zeros(0)) for _ in range(DEPTH + 1)]
+    _grow(_prefixes(key[~product], value[~product], SPLIT - 1), range(SPLIT - 1, -1, -1), (key[product], value[product]), nodes)
+    return Model(nodes, none, np.zeros(0, np.float32))
+
+
+def _bucket_values(top):
+    def run(bucket: pa.Table) -> pa.Table:
+        keys, n = _bucket_grams(bucket)
+        model = build(_learnt(keys, n), Model.unpack(top.value), keys)
+        back = [_pack(model.values[np.searchsorted(keys, np.cumsum(_unpack(k.as_py(), np.uint64), dtype=np.uint64))]) for k in bucket["grams"]]
+        return pa.table({"block": bucket["block"].cast(pa.int32()), "bucket": bucket["bucket"].cast(pa.int32()), "scores": pa.array(back, pa.binary())})
+
+    return run
 
 
 # The word base ----------------------------------------------------------------
@@ -260,20 +307,35 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 END_HASH = np.array([xxhash.xxh3_64_intdigest(END_WORD)], np.uint64).view(np.int64)[0]
 
 
-def _block_words(block: pa.Table) -> pa.Table:
-    which, ends, hashes = _words(block["text"])
-    size = np.diff(np.concatenate([[0], ends]))
-    learn = block["learn"].to_numpy()
-    n = np.bincount(which, np.repeat(learn, size).astype(float), len(hashes)).astype(np.int64)
-    seen = np.bincount(which, minlength=len(hashes)) > 0
-    h, n = np.append(hashes[seen], END_HASH), np.append(n[seen], int(learn.sum()))
-    own = block["block"][0].as_py()
-    return pa.table({"block": pa.array(np.full(len(h), own), pa.int32()), "word": pa.array(h, pa.int64()), "n": pa.array(n, pa.int64())})
+def _block_asks(buckets: int):
+    """A block's distinct words with their training counts, and a row for each
+    bucket with the block's grams there and their training counts."""
+
+    def run(block: pa.Table) -> pa.Table:
+        which, ends, hashes = _words(block["text"])
+        size = np.diff(np.concatenate([[0], ends]))
+        learn = block["learn"].to_numpy()
+        n = np.bincount(which, np.repeat(learn, size).astype(float), len(hashes)).astype(np.int64)
+        seen = np.bincount(which, minlength=len(hashes)) > 0
+        h, n = np.append(hashes[seen], END_HASH), np.append(n[seen], int(learn.sum()))
+        keys, counts = _distinct(block)
+        counts, at = counts.astype(np.int64), _bucket(keys, buckets)
+        own = np.unique(at)
+        packed = [_pack(np.diff(keys[at == b], prepend=np.uint64(0))) for b in own]
+        told = [_pack(counts[at == b]) for b in own]
+        none = lambda k: [None] * k
+        return pa.table({
+            "block": pa.array(np.full(len(h) + len(own), block["block"][0].as_py()), pa.int32()), "word": pa.array([*h.tolist(), *none(len(own))], pa.int64()), "n": pa.array([*n.tolist(), *none(len(own))], pa.int64()),
+            "bucket": pa.array([*none(len(h)), *own.tolist()], pa.int32()), "grams": pa.array([*none(len(h)), *packed], pa.binary()), "counts": pa.array([*none(len(h)), *told], pa.binary()),
+        })
+
+    return run
 
 
-def _block_scorer(model):
-    def run(block: pa.Table, vocabulary: pa.Table) -> pa.Table:
+def _block_scorer(buckets: int):
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
         which, ends, hashes = _words(block["text"])
+        vocabulary, values = told.filter(pc.is_null(told["bucket"])), told.filter(pc.is_valid(told["bucket"]))
         word, count = vocabulary["word"].to_numpy(), vocabulary["c"].to_numpy()
         order = np.argsort(word)
         word, count = word[order], count[order]
@@ -283,10 +345,14 @@ def _block_scorer(model):
         start = np.concatenate([[0], ends[:-1]])
         total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.stack([start, ends])], axis=0)[0]
         logs = total(np.log10(known + 1.0)[which]) + math.log10(end + 1.0)
-        scores = []
+        keys, _ = _distinct(block)
+        where, value = _bucket(keys, buckets), np.zeros(len(keys), np.float32)
+        for b, v in zip(values["bucket"].to_pylist(), values["scores"]):
+            value[where == b] = _unpack(v.as_py(), np.float32)
+        model, scores = Model([], keys, value).index(), []
         for batch in block.select(["block", "text"]).to_batches():
-            for part in _slices(batch, 1_000_000):  # bounds what scoring holds beside the model
-                scores.append(_unpacked(model.value).scores([t.encode() for t in part.column(1).to_pylist()]))
+            for part in _slices(batch, 1_000_000):  # bounds what scoring holds
+                scores.append(model.scores([t.encode() for t in part.column(1).to_pylist()]))
         return pa.table({
             "block": block["block"].cast(pa.int32()), "doc_id": block["doc_id"].cast(pa.int64()), "n_tokens": pa.array(ends - start + 1, pa.int64()),
             "n_known": pa.array(total((known > 0).astype(np.int64)[which]) + int(end > 0), pa.int64()), "n_bytes": pc.add(pc.binary_length(block["text"]), 1).cast(pa.int64()), "log_counts": pa.array(logs, pa.float64()), "score": pa.array(np.concatenate(scores), pa.float64()),
@@ -295,7 +361,7 @@ def _block_scorer(model):
     return run
 
 
-def score(docs: DataFrame, learn, max_grams: int = 1 << 19, block_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, learn, block_bytes: int = 8_000_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score,
     n_bytes (with the end byte), code length per byte in bits, and score (log10 probability of the folded text with its end). ``learn`` is a condition on doc_id for training rows.
 
@@ -306,14 +372,19 @@ def score(docs: DataFrame, learn, max_grams: int = 1 << 19, block_bytes: int = 8
     spark = docs.sparkSession
     rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(learn(F.col("doc_id")), F.lit(False)))
-    model = spark.sparkContext.broadcast(build(gram_counts(rows.where("learn"), max_grams)).pack())
     blocks = -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 1) // block_bytes)
+    buckets = -(-blocks // 4)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    words = dealt.groupBy("block").applyInArrow(_block_words, "block int, word long, n long")
+    asks = stored(dealt.groupBy("block").applyInArrow(_block_asks(buckets), "block int, word long, n long, bucket int, grams binary, counts binary"), "lm-asks")
+    asked = asks.where("bucket IS NOT NULL").select("block", "bucket", "grams", "counts").groupBy("bucket")
+    sums = asked.applyInArrow(_bucket_top, "product boolean, key long, value double").groupBy("product", "key").agg(F.sum("value").alias("value"))
+    top = spark.sparkContext.broadcast(_top(sums.toArrow()).pack())
+    values = asked.applyInArrow(_bucket_values(top), "block int, bucket int, scores binary")
     whole = Window.partitionBy("word")
-    vocabulary = words.withColumn("c", F.sum("n").over(whole)).select("block", "word", "n", "c", (F.min("block").over(whole) == F.col("block")).alias("first"))
+    vocabulary = asks.where("bucket IS NULL").select("block", "word", "n").withColumn("c", F.sum("n").over(whole)).select("block", "word", "n", "c", (F.min("block").over(whole) == F.col("block")).alias("first"))
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v"))
     totals = sums.select("train_tokens", "v", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).alias("block"))
-    scored = dealt.groupBy("block").cogroup(vocabulary.select("block", "word", "c").groupBy("block")).applyInArrow(_block_scorer(model), "block int, doc_id long, n_tokens long, n_known long, n_bytes long, log_counts double, score double")
+    told = vocabulary.select("block", "word", "c").unionByName(values, allowMissingColumns=True)
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_block_scorer(buckets), "block int, doc_id long, n_tokens long, n_known long, n_bytes long, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("v") + 1)
     return scored.join(totals, "block").select("doc_id", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", "n_bytes", (-F.col("score") / (F.col("n_bytes") * math.log10(2))).alias("bits_per_byte"))

@@ -216,6 +216,21 @@ def test_ctw_base_equals_plain_counts(spark):
     assert ctw.score(table(spark, []), lambda i: i >= 0).count() == 0
 
 
+def test_ctw_learns_every_gram_of_a_large_text(spark):
+    """More distinct grams (about 700,000) than any earlier bound on them."""
+    rng = random.Random(22)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=7000)), "en", "a") for i in range(100)]
+    key, n = np.unique(ctw.grams([t.encode() for _, t, *_ in rows])[0], return_counts=True)
+    assert len(key) > 1 << 19
+    counts = []
+    for d in range(ctw.DEPTH + 1):
+        own, back = np.unique(key & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        counts.append((own, np.bincount(back, n)))
+    want = ctw.build(counts).index().scores([t.encode() for _, t, *_ in rows])
+    got = {r["doc_id"]: r["score"] for r in ctw.score(table(spark, rows), lambda i: i >= 0, block_bytes=100_000).collect()}
+    assert np.allclose([got[i] for i in range(100)], want, rtol=1e-4)
+
+
 def brute_hits(text, items, window=10):
     words = decontaminate.words_of(text)
     hit, found = set(), set()
