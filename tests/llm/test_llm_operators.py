@@ -216,6 +216,56 @@ def test_ctw_base_equals_plain_counts(spark):
     assert ctw.score(table(spark, []), lambda i: i >= 0).count() == 0
 
 
+def brute_ctw(texts, asked):
+    """log10 probabilities by a context tree over plain dictionaries."""
+    fold = lambda t: bytes(b + 32 if 65 <= b <= 90 else b for b in t) + b"\xff"
+    counts, kids = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+
+    def decisions(text):
+        data = b"\xff" * ctw.DEPTH + fold(text)
+        for k in range(ctw.DEPTH, len(data)):
+            for i in range(8):
+                yield data[k - ctw.DEPTH : k], (1 << i) | (data[k] >> (8 - i)), (data[k] >> (7 - i)) & 1
+
+    for text in texts:
+        for context, bits, bit in decisions(text):
+            for d in range(ctw.DEPTH + 1):
+                counts[context[ctw.DEPTH - d :], bits][bit] += 1
+                if d:
+                    kids[context[ctw.DEPTH - d + 1 :], bits].add(context[ctw.DEPTH - d :])
+    log_kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    stop, weighted = {}, {}
+    for context, bits in sorted(counts, key=lambda k: -len(k[0])):
+        own = log_kt(*counts[context, bits])
+        stop[context, bits], weighted[context, bits] = 1.0, own
+        if len(context) < ctw.DEPTH:
+            both = np.logaddexp(own, sum(weighted[k, bits] for k in kids[context, bits])) - math.log(2)
+            stop[context, bits], weighted[context, bits] = math.exp(own - math.log(2) - both), both
+
+    def log10(text):
+        out = 0.0
+        for context, bits, bit in decisions(text):
+            p = 0.5
+            for d in range(ctw.DEPTH, -1, -1):
+                node = context[ctw.DEPTH - d :], bits
+                if node in counts:
+                    p = stop[node] * (counts[node][bit] + 0.5) / (sum(counts[node]) + 1) + (1 - stop[node]) * p
+            out += math.log10(p)
+        return out
+
+    return [log10(t) for t in asked]
+
+
+def test_ctw_scores_equal_brute_force_over_several_buckets(spark):
+    rng = random.Random(21)
+    rows = [(i, None if i == 3 else prose(rng, rng.randrange(0, 40)) + rng.choice(["", "é ß", "\n中"]), "en", "a") for i in range(40)]
+    want = brute_ctw([(t or "").encode() for i, t, *_ in rows if i % 5], [(t or "").encode() for _, t, *_ in rows])
+    got = {r["doc_id"]: r["score"] for r in ctw.score(table(spark, rows), lambda i: i % 5 != 0, block_bytes=800).collect()}
+    assert np.allclose([got[i] for i in range(40)], want, rtol=1e-5)
+    none = {r["doc_id"]: r["score"] for r in ctw.score(table(spark, rows), lambda i: i < 0).collect()}
+    assert all(math.isclose(none[i], -8 * (len((t or "").encode()) + 1) * math.log10(2), rel_tol=1e-5) for i, t, *_ in rows)
+
+
 def test_ctw_learns_every_gram_of_a_large_text(spark):
     """More distinct grams (about 700,000) than any earlier bound on them."""
     rng = random.Random(22)
