@@ -15,7 +15,7 @@ VIEWS = {
         CASE WHEN event_id % 3 = 0 THEN upper(event_type) WHEN event_id % 7 = 0 THEN concat(' ', event_type) WHEN event_id % 11 = 0 THEN concat('@', event_type) WHEN event_id % 13 = 0 THEN '  ' ELSE event_type END AS text,
         CASE WHEN event_id % 6 = 0 THEN 'SPEECH' WHEN event_id % 6 = 5 THEN 'BOTH' ELSE 'ON-SCREEN' END AS source,
         CAST(NULL AS DOUBLE) AS asr_logprob, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(event_id % 10 AS DOUBLE) / 10 END AS ocr_confidence, 'en' AS language FROM {events}""",
-    "turns": """SELECT CAST(conv_id AS VARCHAR(20)) AS video_id, turn AS seq, CAST(turn * 10 AS DOUBLE) AS "start", CAST(turn * 10 + 12 AS DOUBLE) AS "end", substr(text, 1, 30) AS text,
+    "turns": """SELECT CAST(conv_id AS VARCHAR(20)) AS video_id, turn AS seq, CAST(turn * 10 AS DOUBLE) AS "start", CAST(turn * 10 + 12 AS DOUBLE) AS "end", text,
         CASE WHEN role = 'user' THEN 'SPEECH' ELSE 'ON-SCREEN' END AS source, CAST(NULL AS DOUBLE) AS asr_logprob, CAST(NULL AS DOUBLE) AS ocr_confidence, 'en' AS language FROM {conversations}""",
     "captions": """SELECT video_id, seq + 1000 AS seq, "start" + 1 AS "start", "end" - 1 AS "end", CASE WHEN seq % 6 = 0 THEN concat(text, '!') WHEN seq % 6 = 2 THEN upper(text) ELSE repeat('#', 40) END AS text,
         'ON-SCREEN' AS source, asr_logprob, CAST(0.9 AS DOUBLE) AS ocr_confidence, 'de' AS language FROM {turns} WHERE source = 'SPEECH'""",

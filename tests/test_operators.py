@@ -341,3 +341,15 @@ def test_resume(spark, tmp_path):
     for _ in range(2):
         sampler.resume_items(spark, str(tmp_path / "items"), str(tmp_path / "done"), lambda df, _: seen.extend(r["source"] for r in df.orderBy("seq").collect()))
     assert seen == ["a", "b"]
+
+
+def test_views_hold_whole_texts(spark, tmp_path):
+    from captionmill.plans import catalog
+    from captionmill.sources.derived import load
+
+    long = " ".join(f"word{i}" for i in range(300))
+    spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "no " + long), (1, 2, "user", "and " + long)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert sorted(r["text"] for r in load(spark, str(tmp_path), "turns").collect()) == sorted([long, "no " + long, "and " + long])
+    assert {r["text"] for r in load(spark, str(tmp_path), "captions").collect()} == {long + "!", ("and " + long).upper()}
+    got = {r["gt_seq"]: r["similarity"] for r in catalog.per_text_results(spark, str(tmp_path)).collect()}
+    assert got == {0: round(2 * len(long) / (2 * len(long) + 1), 6), 2: 0.0}
