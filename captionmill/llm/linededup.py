@@ -1,6 +1,6 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame operations.
 
-Lines of ``LEAST`` words or more are sets of words. Copies of a line become
+Lines with a word (``LEAST`` words or more) are sets of words. Copies of a line become
 one class first, stood for by the first in (doc_id, line number). The words of
 a class are ordered by rarity; two sets that are similar enough share a word
 among their first few, so classes are joined on those prefix words alone,
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from captionmill.llm.common import stored
 
-LEAST, PLACES = 5, 1 << 16
+LEAST, PLACES = 1, 1 << 16
 _GAP = r"[\x20\x09-\x0D]+"
 #: A line with LEAST words, distinct or not.
 _LONG = rf"(?:[^\x20\x09-\x0D]+{_GAP}){{{LEAST - 1}}}[^\x20\x09-\x0D]"
@@ -83,12 +83,12 @@ def line_links(rows: DataFrame, reps: DataFrame, num: int = 4, den: int = 5) ->
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, carry: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines (lines of LEAST words or more),
+    """Per row of ``docs``: doc_id, n_lines (lines with a word),
     n_copies (of them removed as copies of an earlier line), n_near (removed
     as similar to one), n_links (pairs of classes that its lines stand in) and
     text, without the removed lines.
 
-    Shorter lines stay and match nothing. A null text counts as empty and
+    Lines without a word stay and match nothing. A null text counts as empty and
     stays null. Rows with a null doc_id have no place in the order and stay as
     they are. Rows that share a doc_id count as one document: a line number
     that stands for a class stays in each of them.

@@ -156,6 +156,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_short_lines_take_part_in_line_dedup(spark):
+    rows = [(1, "Share this\nHome\n\na b c d", "en", "a"), (2, "Home\n\nthis Share\nd c b a\nown", "en", "a"), (3, "a b c\nHome", "en", "a"), (4, "Home", "en", "a")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in linededup.dedup_lines(table(spark, rows)).select("doc_id", "n_lines", "n_copies", "n_near", "text").collect()}
+    assert got == {1: (3, 0, 0, rows[0][1]), 2: (4, 1, 2, "\nown"), 3: (2, 1, 0, "a b c"), 4: (1, 1, 0, "")}
+    assert {r["doc_id"] for r in linededup.without_repeated_lines(table(spark, rows)).collect()} == {1, 2, 3}
+
+
 def test_line_dedup_odd_rows(spark):
     rows = odd_rows()
     out = linededup.without_repeated_lines(table(spark, rows))
