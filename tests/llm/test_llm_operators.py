@@ -407,6 +407,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == want and len({c for _, c in want.values()}) < len(want)
 
 
+def test_bands_find_pairs_at_the_threshold():
+    assert neardup.bands(85) == 10 and neardup.bands(80) == 14
+    rng = np.random.default_rng(14)
+    pairs = [rng.integers(0, 1 << 63, 100).astype(np.uint64) for _ in range(4000)]
+    missed = lambda m: int((~neardup_met(pairs, m)).sum())
+    assert missed(10) > 1 >= missed(neardup.bands(80))
+
+
+def neardup_met(pairs, m):
+    """Whether the first and the last 90 of 100 shingles (Jaccard 0.8) meet in a table."""
+    a, b = (neardup.sketches([p[cut] for p in pairs], m, 3) for cut in (slice(0, 90), slice(10, 100)))
+    same = a == b
+    return same[:, :m].any(1) & same[:, m:].any(1)
+
+
 def test_near_duplicate_stage_and_odd_rows(spark):
     docs = table(spark, odd_rows())
     out = neardup.without_near_duplicates(docs)
