@@ -483,3 +483,28 @@ def test_block_index_equals_a_full_comparison():
 def test_forest_keeps_what_links_join():
     linked = np.array([[1, 0, 0], [1, 1, 0], [0, 0, 1]], bool)
     assert sorted(neardup._forest(linked, np.array([5, 9, 7]), np.array([8, 3, 7]))) == [(5, 3), (8, 3), (9, 3)]
+
+
+def test_pipeline_equals_a_plain_version(spark, tok, tmp_path):
+    """All five stages, over null, empty and repeated rows and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    body, item = prose(rng, 80).split(), prose(rng, 12)
+    broken = lambda words, at: "\n".join(" ".join(words[max(k, 0) : k + 10]) for k in range(at, len(words), 10))
+    rows = odd_rows() + [(50, broken(body, 0), "en", "a"), (51, broken([*body[:40], "edited", *body[41:]], -5), "en", "a"), (55, "1234 !!", "en", "a")]
+    rows += [(52, "Menu\n" + prose(rng, 15), "en", "a"), (53, "Menu\n" + prose(rng, 15), "de", "a"), (54, "Menu", "en", "a"), (56, f"{prose(rng, 9)} {item.upper()} {prose(rng, 9)}", "en", "a"), (None, f"x {item} y", "en", "a")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    # Of two languages one has half of the posterior, so a letter is enough to stay.
+    known = [r for r in rows if re.search(r"[a-z]", r[1] or "")]
+    loose = [(i, t) for i, t, *_ in known if i is None]
+    own = {r[0]: r for r in known if r[0] is not None}  # rows alike in id are alike in text here
+    texts = {i: t for i, (_, t) in brute_lines(own.values()).items()}
+    left = [(i, t) for i, t in texts.items() if t == own[i][1] or t.strip()]
+    stay = [(i, t) for i, t in left if brute_components(left, 80)[i][1] == i]
+    clean = [(i, t) for i, t in stay + loose if not brute_hits(t, [(1, item)])[1]]
+    assert len(known) < len(rows) and 54 not in dict(left) and 51 in dict(left) and 51 not in dict(stay) and len(clean) == len(stay + loose) - 2
+    want = collections.Counter((i, hashlib.sha256(",".join(map(str, tok.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()) for i, t in clean)
+    assert collections.Counter((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
