@@ -35,7 +35,7 @@ def counters() -> dict:
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger of three batches over all documents: inserts under the first
     version, deletes of documents under ten tokens, and a change of version,
-    which deletes what is left under the first and inserts it under the second
+    which deletes even doc_ids under the first and inserts all under the second
     with 5 tokens too few, then a revision that puts the counts right. The
     second batch is committed twice."""
     path = scratch(spark, "rollup")
