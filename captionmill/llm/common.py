@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words in most operators here.
 SPACE = " \t\n\x0b\x0c\r"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder is made and
-    registered as the checkpoint folder, so that both roads end in one place.
+    Where it is unset and the master is local (tests on one machine) a temporary
+    folder is made and registered as the checkpoint folder, so that both roads
+    end in one place. On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     set_dir = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not set_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="captionmill-")
         sc.setCheckpointDir(set_dir)
     return set_dir.rstrip("/")
@@ -37,9 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage at a place that outlives any executor. The schema
     is handed over, so that an empty table reads back as well.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")  # what the plan has shuffled goes when the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

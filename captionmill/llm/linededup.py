@@ -1,129 +1,173 @@
 """Line dedup: an exact set-similarity join over lines, in DataFrame operations.
 
-Lines with a word (``LEAST`` words or more) are sets of words. Copies of a line become
-one class first, stood for by the first in (doc_id, line number). The words of
-a class are ordered by rarity; two sets that are similar enough share a word
-among their first few, so classes are joined on those prefix words alone,
-under the length filter, the positional filter and a bound by two 64-bit bitmaps
-of the words. What is left is verified on the words themselves. A line that
-matches an earlier one is removed, whether that one is removed or not.
-
-Rarity comes from the counts of all words, kept in 65,536 places by hash and
+Lines with a word are sets of words. Copies of a line become one class first,
+stood for by the earliest line in (doc_id, line number). The words of a class
+are ordered by rarity; two sets that are similar enough share a word among
+their first few, so classes meet on those prefix words alone, under the length
+filter, the positional filter and a bound from parity sketches: bit i of a
+sketch tells whether an odd number of words hash to i, so sketches differ in no
+more bits than the sets do in words.
+
+The join runs in three steps, so that a family of near copies never becomes
+all its pairs:
+
+1. A semi-join leaves the prefix words (of a line) under which some other line
+   passes all filters; lines without any are done.
+2. Each line left is verified against one head, the earliest line that it meets
+   under most of its words.
+3. Lines that no head has removed are verified against every earlier line that
+   they meet.
+
+Verification compares the words themselves. A line that matches an earlier one
+is removed, whether that one is removed or not, and any earlier match will do,
+so the steps give what a comparison of all pairs gives.
+
+Rarity comes from the counts of all words, kept in ``PLACES`` places by hash and
 brought to the join as one array of that fixed size. Any order of words gives
 the same result; rarity makes it fast.
-
-The text moves once, by doc_id: the same exchange serves the words of the
-classes, the verification and the final texts.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionmill.llm.common import stored
+from captionmill.llm.common import SPACE, stored
+
+PLACES, WIDE = 1 << 16, 80
+#: What names a line: its document, a hash of the text where an id repeats, its number.
+_LINE = ["doc_id", "tag", "line"]
+_EARLIER, _LATER = [f"a_{c}" for c in _LINE], [f"b_{c}" for c in _LINE]
+
 
-LEAST, PLACES = 1, 1 << 16
-_GAP = r"[\x20\x09-\x0D]+"
-#: A line with LEAST words, distinct or not.
-_LONG = rf"(?:[^\x20\x09-\x0D]+{_GAP}){{{LEAST - 1}}}[^\x20\x09-\x0D]"
+def _split(text: Column) -> Column:
+    """Words, and empty strings where gaps meet. A split at one character
+    spares the regular expression."""
+    for c in SPACE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, " ")
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(line, _GAP), ""))
+def _has_word(line: Column) -> Column:
+    return F.ltrim(line, F.lit(SPACE)) != ""
 
 
 def _rarity(rows: DataFrame) -> Column:
-    """An array literal: for each place, twice the binary logarithm of the
-    number of words there, over all rows."""
-    word = rows.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
-    counted = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(PLACES)).alias("place")).agg(F.count("*").alias("n")).collect()
-    step = [0] * PLACES
-    for r in counted:
-        step[r["place"]] = int(2 * math.log2(r["n"]))
-    return F.split(F.lit(",".join(map(str, step))), ",").cast("array<tinyint>")
+    """An array: for each place, twice the binary logarithm of the number of
+    words there, over all rows."""
+    word = rows.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    counted = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(PLACES - 1)).alias("id")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(PLACES).join(counted, "id", "left").select("id", F.coalesce(F.floor(2 * F.log2("n")), F.lit(0)).alias("r"))
+    line = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "r"))), lambda x: x["r"]), ",")).first()[0]
+    return F.split(F.lit(line), ",").cast("array<tinyint>")
+
+
+def line_classes(rows: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """Classes of equal lines of ``rows`` (doc_id, tag, text): the line that
+    stands for each, its number of words ``n``, parity sketches and prefix."""
+    rarity = _rarity(rows)
+    lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line", "w")).where(_has_word(F.col("w")))
+    distinct = F.array_remove(F.array_distinct(F.transform(_split(F.col("w")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(PLACES - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    sets = lines.select(*_LINE, F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.sort_array(F.transform(distinct, key)).alias("keys"))
+    parity = lambda keys: F.expr(f"aggregate({keys}, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63 AS int)))")
+    sketched = sets.select(
+        *_LINE, "h", "g", F.size("keys").alias("n"), parity("keys").alias("bits"),
+        F.when(F.size("keys") > WIDE, parity("filter(keys, k -> k & 64 <> 0)")).otherwise(F.lit(0)).alias("more"),
+        F.expr(f"slice(keys, 1, size(keys) - cast((size(keys) * {num}L + {den - 1}) div {den} AS int) + 1)").alias("prefix"),
+    )
+    told = [F.first(c).alias(c) for c in ("n", "bits", "more", "prefix")]
+    return sketched.groupBy("h", "g").agg(F.min(F.struct(*_LINE)).alias("at"), *told).select("at.*", "n", "bits", "more", "prefix")
 
 
-def _sides(rows: DataFrame, **names: str) -> DataFrame:
-    return rows.select(*[F.col(old).alias(new) for old, new in names.items()])
+def _near(num: int, den: int) -> str:
+    """The filters on two prefix words of lines a and b; J >= num/den is the
+    same as overlap * (num + den) >= num * (|a| + |b|)."""
+    return f"""a_n * {den} >= b_n * {num} AND b_n * {den} >= a_n * {num}
+        AND least(a_n - a_k, b_n - b_k) * {num + den}L >= {num}L * (a_n + b_n)
+        AND CASE WHEN a_n > {WIDE} AND b_n > {WIDE} THEN bit_count(a_bits ^ a_more ^ b_bits ^ b_more) + bit_count(a_more ^ b_more)
+            ELSE bit_count(a_bits ^ b_bits) END * {num + den}L <= {den - num}L * (a_n + b_n)"""
 
 
-def line_links(rows: DataFrame, reps: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """Pairs of different classes with a Jaccard similarity of num/den or
-    more: (a_doc, a_line, b_doc, b_line), a before b.
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "key"])
 
-    ``rows`` has doc_id and text, ``reps`` doc_id and the numbers (``at``) of
-    the lines that stand for a class.
-    """
-    rarity = _rarity(rows)
-    held = rows.join(reps, "doc_id").withColumn("lines", F.split("text", "\n"))
-    line = held.select("doc_id", F.explode("at").alias("line"), "lines").withColumn("w", F.element_at("lines", F.col("line") + 1)).select("doc_id", "line", _words(F.col("w")).alias("words"))
-    key = lambda w: F.shiftleft(F.element_at(rarity, (F.pmod(F.xxhash64(w), F.lit(PLACES)) + 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
-    sets = line.select("doc_id", "line", F.size("words").alias("n"), F.sort_array(F.transform("words", key)).alias("keys"))
-    bits = lambda shift: F.expr(f"aggregate(keys, 0L, (b, k) -> b | shiftleft(1L, cast(shiftright(k, {shift}) & 63 AS int)))")
-    prefix = F.expr(f"slice(keys, 1, n - cast((n * {num} + {den - 1}) div {den} AS int) + 1)")
-    posts = sets.withColumn("bits", bits(0)).withColumn("more", bits(6)).select("doc_id", "line", "n", "bits", "more", F.posexplode(prefix).alias("k", "key"))
-    a = _sides(posts, key="key", doc_id="a_doc", line="a_line", n="a_n", bits="a_bits", more="a_more", k="a_k")
-    b = _sides(posts, key="key", doc_id="b_doc", line="b_line", n="b_n", bits="b_bits", more="b_more", k="b_k")
-    both = num + den  # J >= num/den is the same as overlap * both >= num * (|a| + |b|)
-    near = F.expr(f"""(a_doc < b_doc OR (a_doc = b_doc AND a_line < b_line))
-        AND a_n * {den} >= b_n * {num} AND b_n * {den} >= a_n * {num}
-        AND least(a_n - a_k, b_n - b_k) * {both} >= {num} * (a_n + b_n)
-        AND (a_n + b_n - greatest(bit_count(a_bits ^ b_bits), bit_count(a_more ^ b_more))) * {both} >= {2 * num} * (a_n + b_n)""")
-    pairs = a.join(b, "key").where(near).select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    # Verification: the words of either side come from the one exchange of the texts.
-    # They travel as 64-bit hashes: two words of one pair would have to collide.
-    of_line = lambda n: F.transform(_words(F.element_at(F.split("text", "\n"), F.col(n) + 1)), lambda w: F.xxhash64(w))
-    first = pairs.join(rows, pairs["a_doc"] == rows["doc_id"]).select("a_doc", "a_line", "b_doc", "b_line", of_line("a_line").alias("a_words"))
-    second = first.join(rows, first["b_doc"] == rows["doc_id"]).select("a_doc", "a_line", "b_doc", "b_line", "a_words", of_line("b_line").alias("b_words"))
-    alike = F.size(F.array_intersect("a_words", "b_words")) * both >= num * (F.size("a_words") + F.size("b_words"))
-    return second.where(alike).select("a_doc", "a_line", "b_doc", "b_line")
+
+def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` whose words are that similar."""
+    side = lambda s: words.select(*[F.col(c).alias(f"{s}_{c}") for c in (*_LINE, "words")])
+    both = pairs.join(side("a"), _EARLIER).join(side("b"), _LATER)
+    alike = F.size(F.array_intersect("a_words", "b_words")) * (num + den) >= num * (F.size("a_words") + F.size("b_words"))
+    return both.where(alike).select(*_EARLIER, *_LATER)
+
+
+def line_matches(rows: DataFrame, classes: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """For each line of ``classes`` (see ``line_classes``) with a Jaccard
+    similarity of num/den or more to an earlier one, such lines: a_doc_id,
+    a_tag and a_line of the earlier, b_doc_id, b_tag and b_line of the later.
+    At least one match is told of each line that has any, not all."""
+    near, before = F.expr(_near(num, den)), F.expr("struct(a_doc_id, a_tag, a_line) < struct(b_doc_id, b_tag, b_line)")
+    posts = classes.select(*_LINE, "n", "bits", "more", F.posexplode("prefix").alias("k", "key"))
+    other = F.expr("a_line <> b_line OR a_doc_id <> b_doc_id OR a_tag <> b_tag")
+    a, b = _side(posts, "a"), _side(posts, "b").withColumnRenamed("key", "b_key")
+    met = stored(a.join(b, (a["key"] == b["b_key"]) & near & other, "left_semi"), "line-met")
+
+    inner = [F.col(f"a_{c}").alias(c) for c in _LINE]
+    lines = met.select(*inner).groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at"))
+    held = rows.join(lines, ["doc_id", "tag"]).select("doc_id", "tag", "at", F.split("text", "\n").alias("lines")).dropDuplicates(["doc_id", "tag"])
+    word_list = F.array_distinct(F.array_remove(_split(F.get("lines", F.col("line"))), ""))
+    words = stored(held.select("doc_id", "tag", F.explode("at").alias("line"), "lines").select(*_LINE, word_list.alias("words")), "line-words")
+
+    later = met.select("key", *[F.col(f"a_{c}").alias(f"b_{c}") for c in (*_LINE, "n", "k", "bits", "more")])
+    heads = stored(met.groupBy("key").agg(F.min(F.struct(*_EARLIER)).alias("head")), "line-heads")
+    often = later.join(heads, "key").where(F.col("head") != F.struct(*[F.col(b).alias(a) for a, b in zip(_EARLIER, _LATER)])).groupBy(*_LATER, "head").agg(F.count("*").alias("n"))
+    best = often.groupBy(*_LATER).agg(F.max(F.struct("n", "head")).alias("x")).select("x.head.*", *_LATER)
+    first = stored(_verified(best, words, num, den), "line-matches")
+
+    left = later.join(first.select(*_LATER).distinct(), _LATER, "left_anti")
+    pairs = met.join(left, "key").where(near & before).select(*_EARLIER, *_LATER).distinct()
+    return first.unionByName(stored(_verified(pairs, words, num, den), "line-matches"))
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, carry: bool = False) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_lines (lines with a word),
-    n_copies (of them removed as copies of an earlier line), n_near (removed
-    as similar to one), n_links (pairs of classes that its lines stand in) and
-    text, without the removed lines.
+    """Per row of ``docs``: doc_id, n_lines (lines with a word), n_copies (of
+    them removed as copies of an earlier line), n_near (removed as similar to
+    one) and text, without the removed lines.
 
     Lines without a word stay and match nothing. A null text counts as empty and
     stays null. Rows with a null doc_id have no place in the order and stay as
-    they are. Rows that share a doc_id count as one document: a line number
-    that stands for a class stays in each of them.
+    they are. Rows alike in doc_id and text count once and come out alike;
+    rows that share a doc_id but not the text are documents of their own,
+    ordered by a hash of the text. An empty table gives an empty result.
     """
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if carry else F.lit(None)
     every = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], row.alias("row"))
-    rows = every.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "w")).where(F.col("w").rlike(_LONG))
-    hashed = lines.select("doc_id", "line", F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"))
-    reps = hashed.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line")).alias("at")).select("at.*")
-    reps = stored(reps.groupBy("doc_id").agg(F.collect_set("line").alias("at")), "line-classes")
-    one = rows.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(rows) else rows
-    links = stored(line_links(one, reps, num, den), "line-links")
-    near = links.groupBy("b_doc").agg(F.collect_set("b_line").alias("near")).withColumnRenamed("b_doc", "doc_id")
-    ends = links.select(F.col("a_doc").alias("doc_id")).unionByName(links.select(F.col("b_doc").alias("doc_id")))
-    told = reps.join(near, "doc_id", "left").join(ends.groupBy("doc_id").agg(F.count("*").alias("n_links")), "doc_id", "left")
-    # Two tables with a row for each document: no key is large.
-    own = every.join(told, "doc_id", "left").withColumn("lines", F.expr(r"transform(split(coalesce(text, ''), '\n'), (x, i) -> struct(i AS i, x AS x))"))
-    long = own.withColumn("is_long", F.filter("lines", lambda s: s["x"].rlike(_LONG)))
-    none = F.expr("cast(array() AS array<int>)")
-    long = long.withColumn("stay", F.array_except(F.coalesce("at", none), F.coalesce("near", none)))
-    kept = F.expr("concat(filter(lines, s -> NOT s.x RLIKE '" + _LONG.replace("\\", "\\\\") + "'), transform(stay, i -> element_at(lines, i + 1)))")
-    text = F.array_join(F.transform(F.array_sort(kept), lambda s: s["x"]), "\n")
-    n, in_order = F.size("is_long").cast("long"), F.col("doc_id").isNotNull()
-    n_rep, n_near = F.coalesce(F.size("at"), F.lit(0)), F.coalesce(F.size("near"), F.lit(0))
-    return long.select(
-        "doc_id", n.alias("n_lines"), F.when(in_order, n - n_rep).otherwise(0).cast("long").alias("n_copies"), n_near.cast("long").alias("n_near"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(in_order & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text"), *(["row"] if carry else []),
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))) if _repeats(every) else F.lit(0).cast("long")
+    every = every.withColumn("tag", tag)
+    rows = every.where("doc_id IS NOT NULL").select("doc_id", "tag", F.coalesce("text", F.lit("")).alias("text"))
+    classes = stored(line_classes(rows, num, den), "line-classes")
+    matches = line_matches(rows, classes, num, den)
+    near = matches.select(*[F.col(b).alias(c) for b, c in zip(_LATER, _LINE)]).distinct().withColumn("near", F.lit(True))
+    by_doc = classes.select(*_LINE).join(near, _LINE, "left").groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
+    told = stored(by_doc.select("doc_id", "tag", F.size("at").alias("n_rep"), F.size("near").alias("n_near"), F.array_except("at", "near").alias("stay")), "line-told")
+    # Two tables with a row for each document: no key is large but that of copies of one row.
+    own = every.join(told, ["doc_id", "tag"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    long = own.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.when(_has_word(x), i)), lambda i: i.isNotNull()))
+    gone = long.withColumn("gone", F.array_except("worded", F.coalesce("stay", F.expr("cast(array() AS array<int>)"))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone")), lambda i: F.get("lines", i))
+    n, in_order = F.size("worded").cast("long"), F.col("doc_id").isNotNull()
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return gone.select(
+        "doc_id", n.alias("n_lines"), F.when(in_order, n - count("n_rep")).otherwise(0).alias("n_copies"), count("n_near").alias("n_near"),
+        F.when(in_order & F.col("text").isNotNull() & (F.size("gone") > 0), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"), *(["row"] if carry else []),
     )
 
 
 def without_repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``docs`` with shortened texts, under its own columns. A document whose
     last word goes with its lines goes as well; one that had no word stays.
-    ``n_chars``, where there is such a column, follows the text."""
+    ``n_chars``, where there is such a column, follows the text. Nulls, empty
+    texts and repeated rows are held as in ``dedup_lines``."""
     done = dedup_lines(docs, num, den, carry=True)
     done = done.where((F.col("n_copies") + F.col("n_near") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.length("text")}
@@ -133,4 +177,4 @@ def without_repeated_lines(docs: DataFrame, num: int = 4, den: int = 5) -> DataF
 
 def _repeats(rows: DataFrame) -> bool:
     """Whether any doc_id stands in several rows."""
-    return not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return not rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()

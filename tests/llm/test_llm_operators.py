@@ -125,14 +125,14 @@ def brute_lines(rows, num=4, den=5):
     lines, first = [], {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         for k, line in enumerate((t or "").split("\n")):
-            if len(word.findall(line)) >= linededup.LEAST:
+            if word.search(line):
                 lines.append((i, k, line))
                 first.setdefault(line, (i, k))
     reps = [(i, k, set(word.findall(x))) for i, k, x in lines if first[x] == (i, k)]
     links = [(a[:2], b[:2]) for a, b in itertools.combinations(reps, 2) if den * len(a[2] & b[2]) >= num * len(a[2] | b[2])]
     near = {b for _, b in links}
     gone = {(i, k) for i, k, x in lines if first[x] != (i, k)} | near
-    n = collections.Counter(e[0] for pair in links for e in pair)
+    n = collections.Counter(i for i, _ in near)
     return {i: (n[i], None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t, *_ in rows}
 
 
@@ -149,13 +149,32 @@ def test_line_dedup_equals_brute_force(spark):
             own.append(" ".join(words))
         rows.append((i, "\n".join(own), "en", "a"))
     rows += [(100, None, "en", "a"), (101, "", "en", "a"), (102, "a b\n\n" + base[0], "en", "a")]
-    got = {r["doc_id"]: (r["n_links"], r["text"]) for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    got = {r["doc_id"]: (r["n_near"], r["text"]) for r in linededup.dedup_lines(table(spark, rows)).collect()}
     want = brute_lines(rows)
     assert got == want
     assert any(n for n, _ in want.values())
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_lines_of_texts_that_share_an_id(spark):
+    rows = [(1, "a b c d e", "en", "a"), (1, "zz\nb c d e f g\na b c d e", "en", "a"), (2, "zz\nown words", "en", "a"), (2, "zz\nown words", "en", "a"), (3, None, "en", "a"), (3, "", "en", "a")]
+    got = sorted((r["doc_id"], r["text"] or "") for r in linededup.dedup_lines(table(spark, rows)).collect())
+    assert got[2:] == [(2, "own words"), (2, "own words"), (3, ""), (3, "")]
+    # The two texts of document 1 keep one copy of the shared line between them.
+    assert sorted(x for _, t in got[:2] for x in t.split("\n") if x) == ["a b c d e", "b c d e f g", "zz"]
+
+
+def test_a_family_of_near_lines_leaves_its_first(spark):
+    """Heads, and lines that differ from their heads but match another line."""
+    rng = random.Random(41)
+    words = [f"w{i}" for i in range(100)]
+    chain = [" ".join([*words[:100 - k], *(f"v{j}" for j in range(k))]) for k in range(0, 40, 4)]
+    rows = [(i, t, "en", "a") for i, t in enumerate(rng.sample(chain, len(chain)))]
+    rows += [(100 + i, " ".join(rng.sample([*words[:95], f"x{i}"], 96)), "en", "a") for i in range(60)]
+    got = {r["doc_id"]: (r["n_near"], r["text"]) for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+
+
 def test_short_lines_take_part_in_line_dedup(spark):
     rows = [(1, "Share this\nHome\n\na b c d", "en", "a"), (2, "Home\n\nthis Share\nd c b a\nown", "en", "a"), (3, "a b c\nHome", "en", "a"), (4, "Home", "en", "a")]
     got = {r["doc_id"]: tuple(r)[1:] for r in linededup.dedup_lines(table(spark, rows)).select("doc_id", "n_lines", "n_copies", "n_near", "text").collect()}
