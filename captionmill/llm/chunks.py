@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from captionmill.llm.common import internal
+from captionmill.llm.common import held, internal, make_room
 from captionmill.llm.encoding import PieceEncoder, piece_encoder
 
 
@@ -79,6 +79,10 @@ class _Chunk:
         self.head, self.body, self.tail = data[: cut[0]].decode(), data[cut[0] : cut[-1]].decode(), data[cut[-1] :].decode()
         self.first, self.last = data[cut[0] : cut[1]].decode(), data[cut[-2] : cut[-1]].decode()
 
+    def all_head(self) -> None:
+        """Become a chunk without a body of its own."""
+        self.thin, self.head, self.tail, self.ids, self.n_first, self.n_last = True, self.head + self.body + self.tail, "", b"", 0, 0
+
 
 class ChunkEncoder:
     def __init__(self, encoder: PieceEncoder, bits: int = 10, least: int = 256, most: int = 16384, limit: int = 48_000_000):
@@ -98,10 +102,11 @@ class ChunkEncoder:
         done = self._many([x for c in made for x in (c.body, c.first, c.last)])
         for c, ids, first, last in zip(made, done[0::3], done[1::3], done[2::3]):
             self.new_bytes += len(c.body)
-            c.ids, c.n_first, c.n_last, c.body = ids, len(first), len(last), ""
-            c.thin = ids[: len(first)] != first or ids[len(ids) - len(last) :] != last
-            assert not c.thin, "a word's ids differ from those in its chunk"
-        size = sum(len(c.ids) + 300 for c in new.values())
+            c.ids, c.n_first, c.n_last = ids, len(first), len(last)
+            if ids[: len(first)] != first or ids[len(ids) - len(last) :] != last:
+                c.all_head()  # its words do not stand for themselves: the joins encode it whole
+            c.body = ""
+        size = sum(len(c.ids) + len(c.head) + 300 for c in new.values())
         out = [[new[k] if k in new else self.kept[k] for k in ks] for ks in keys]
         if self.held + size > self.limit:
             self.kept.clear()
@@ -171,7 +176,7 @@ class ChunkEncoder:
         return b"".join(parts)
 
 
-@functools.lru_cache(maxsize=1)
+@held
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(piece_encoder(path))
 
@@ -190,6 +195,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, outputs: tuple[str, .
     """
 
     def run(batches):
+        make_room(piece_encoder, chunk_encoder)
         encoder = chunk_encoder(tokenizer_path)
         vocab = encoder.encoder.vocab
         number = [str(i) for i in range(len(vocab.bytes))]

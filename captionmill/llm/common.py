@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +54,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later step reads."""
+    for t in tables:
+        remove(t.sparkSession, t._scratch)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -58,6 +72,26 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_HELD: list = []
+
+
+def held(maker):
+    """An ``lru_cache`` for something large that a Python worker keeps between
+    tasks, which ``make_room`` lets go of."""
+    cached = functools.lru_cache(maxsize=1)(maker)
+    _HELD.append(cached)
+    return cached
+
+
+def make_room(*keep) -> None:
+    """Called as a task begins: what other operators have left in this Python
+    worker goes, so that a worker never holds the memories of several."""
+    for cached in _HELD:
+        if cached not in keep and cached.cache_info().currsize:
+            cached.cache_clear()
+            gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,3 +104,20 @@ def fold_of(doc_id: Column, n: int) -> Column:
 def internal(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; whatever else the table carries cannot clash."""
     return docs.select(*[docs[n] for n in names])
+
+
+def word_numbers(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number of each word, where each text's words end, 64-bit hash of
+    each word number) after a byte-wise translation by ``table``, which leaves
+    words between blanks. Texts are large strings without nulls."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    plain = pa.concat_arrays([texts.cast(pa.large_string())])  # offsets from 0
+    folded = pa.LargeStringArray.from_buffers(len(plain), plain.buffers()[1], pa.py_buffer((plain.buffers()[2].to_pybytes() if plain.buffers()[2] else b"").translate(table)))
+    lists = pc.split_pattern(folded, " ")
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    full = np.array([len(n) > 0 for n in names], bool)[which] if len(which) else np.zeros(0, bool)
+    ends = np.concatenate([[0], np.cumsum(full)])[ends]
+    return which[full], ends, np.array([xxhash.xxh3_64_intdigest(n) for n in names], np.uint64).view(np.int64)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
-from captionmill.llm.common import internal, stored
+from captionmill.llm.common import internal, stored, word_numbers
 
 DEPTH, SPLIT, MARK, END_WORD = 5, 2, 0xFF, b" "
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -289,19 +289,8 @@ def _bucket_values(top):
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number of each word, where each text's words end, 64-bit hash of
-    each word number); words are runs without ASCII white space, A-Z folded."""
-    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
-    plain = pa.concat_arrays([texts.cast(pa.large_string())])  # offsets from 0
-    folded = pa.LargeStringArray.from_buffers(len(plain), plain.buffers()[1], pa.py_buffer((plain.buffers()[2].to_pybytes() if plain.buffers()[2] else b"").translate(_GAPS)))
-    lists = pc.split_pattern(folded, " ")
-    coded = lists.flatten().dictionary_encode()
-    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    full = np.array([len(n) > 0 for n in names], bool)[which] if len(which) else np.zeros(0, bool)
-    ends = np.concatenate([[0], np.cumsum(full)])[ends]
-    return which[full], ends, np.array([xxhash.xxh3_64_intdigest(n) for n in names], np.uint64).view(np.int64)
+    """Words are runs without ASCII white space, A-Z folded."""
+    return word_numbers(texts, _GAPS)
 
 
 END_HASH = np.array([xxhash.xxh3_64_intdigest(END_WORD)], np.uint64).view(np.int64)[0]

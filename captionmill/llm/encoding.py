@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from captionmill.llm.common import held
+
 #: White space before U+0020 or U+000A, where a cut would not be safe.
 _ODD = r"\x00|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][ \n]"
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n])")
@@ -157,7 +159,56 @@ class PieceEncoder:
         return np.concatenate(parts), np.concatenate(ends)
 
 
-@functools.lru_cache(maxsize=1)
+class PieceCounter:
+    """Numbers of tokens under several byte-level tokenizers at once: (version,
+    file, pattern) each, the pattern being that of a .tiktoken file.
+
+    Texts are cut into pieces once, and each distinct piece is counted once
+    under every tokenizer while a bounded memory of ``limit`` pieces holds it.
+    """
+
+    def __init__(self, tokenizers: tuple[tuple[str, str, str | None], ...], limit: int = 700_000):
+        self.count = [self._tiktoken(path, pattern) if pattern else self._tokenizers(path) for _, path, pattern in tokenizers]
+        self.limit, self.seen = limit, {}
+
+    @staticmethod
+    def _tokenizers(path: str):
+        own = PieceEncoder(path, 0).tokenizer
+        return lambda pieces: [len(e.ids) for e in own.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    @staticmethod
+    def _tiktoken(path: str, pattern: str):
+        import base64
+
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        own = tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda pieces: list(map(len, map(own.encode_ordinary, pieces)))
+
+    def _known(self, pieces: list[str]) -> np.ndarray:
+        """A row of counts for each piece."""
+        fresh = [p for p in pieces if p not in self.seen]
+        if len(self.seen) + len(fresh) > self.limit:
+            self.seen.clear()
+            fresh = pieces
+        self.seen.update(zip(fresh, zip(*(count(fresh) for count in self.count)) if fresh else ()))
+        return np.array([self.seen[p] for p in pieces], np.int64).reshape(len(pieces), len(self.count))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text (columns) under each tokenizer (rows)."""
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), "\n", "\x00\n"), " ", "\x00 "), "\x00")
+        coded = lists.flatten().dictionary_encode()
+        n = self._known(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        out = np.stack([np.bincount(row, n[:, k], len(texts)) for k in range(len(self.count))]).astype(np.int64)
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[:, i] = self._known(list(dict.fromkeys(cut := _CUT.split(texts[i].as_py()))))[[*map({p: k for k, p in enumerate(dict.fromkeys(cut))}.get, cut)]].sum(0)
+        return out
+
+
+@held
 def piece_encoder(path: str) -> PieceEncoder:
     """One encoder for each Python worker, kept while the worker is reused."""
     return PieceEncoder(path)

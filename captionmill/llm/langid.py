@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
-from captionmill.llm.common import fold_of, internal
+from captionmill.llm.common import fold_of, internal, make_room
 
-BUCKETS, MAX_LANGUAGES, UNKNOWN = 1 << 16, 512, "und"
+BUCKETS, MAX_LANGUAGES, UNKNOWN = 1 << 16, 512, "und"  # beyond that many languages training refuses
 _LETTER = re.compile(r"[^\W\d_]")
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -47,6 +47,7 @@ def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counter(batches):
+    make_room()
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
@@ -88,15 +89,18 @@ class Model:
 
 def train(docs: DataFrame, max_train: int = 12_000) -> Model:
     """Fit on the rows of ``docs`` (doc_id, text, lang); rows with a null
-    text or lang are left out. Without rows the model knows no language."""
+    text or lang are left out, repeated rows count each. Without rows the model
+    knows no language. Every language of the sample is learnt; more than
+    ``MAX_LANGUAGES`` are an error, as the matrix has a column for each."""
     rows = internal(docs, "doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     n = rows.count()
     if n > max_train:
         share = int(max_train / n * (1 << 30))
         rows = rows.where(F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30)) < share)
     counted = rows.select("lang", "text").mapInArrow(_counter, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    by_lang = counted.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable")
-    langs = sorted(by_lang.index[:MAX_LANGUAGES])
+    langs = sorted(counted["lang"].unique())
+    if len(langs) > MAX_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are more than the broadcast matrix may hold ({MAX_LANGUAGES})")
     counts = np.zeros((len(langs), BUCKETS))
     for i, lang in enumerate(langs):
         own = counted[counted["lang"] == lang]
@@ -113,6 +117,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        make_room()
         own = told.value
         for batch in batches:
             for part in _slices(batch, 2_000_000):
@@ -126,10 +131,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """``docs`` without rows whose language is ``und`` or whose posterior is
-    below ``least``; the columns stay as they are."""
+    below ``least``; the columns stay as they are. Null texts and texts without
+    a letter go; repeated rows are judged each and alike."""
     told, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        make_room()
         for batch in batches:
             for part in _slices(batch, 2_000_000, at):
                 best, top = told.value.scores([t or "" for t in part.column(at).to_pylist()])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
-from captionmill.llm.common import internal, stored
+from captionmill.llm.common import internal, make_room, release, stored
 from captionmill.llm.components import connected
 
 SHINGLE, SPREAD, BLOCK = 5, 200, 400
@@ -84,6 +84,7 @@ SKETCHED = "doc_id long, text_hash long, n_shingles long, set_key binary, sketch
 
 def _sketcher(m: int, t: int):
     def run(batches):
+        make_room()
         for batch in batches:
             for part in _slices(batch, 2_000_000):
                 texts = part.column(1).to_pylist()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionmill.llm.common import internal
+from captionmill.llm.common import internal, make_room
 from captionmill.llm.encoding import piece_encoder
 
 #: Fixed values of the format.
@@ -112,6 +112,7 @@ def _frame(payloads: list[bytes]) -> list[bytes]:
 
 def _writer(path: str, tokenizer_path: str, end_id: int | None, block_bytes: int):
     def write(batches):
+        make_room(piece_encoder)
         encoder = piece_encoder(tokenizer_path)
         wide, dtype = encoder.vocab.dtype.itemsize == 4, encoder.vocab.dtype
         tail = b"" if end_id is None else np.asarray([end_id], dtype).tobytes()
