@@ -8,9 +8,11 @@ words, but not none, is one window. Windows carry a space at either end, so
 only whole words match. Matches are mapped back to character offsets of the
 original text.
 
-The automaton is broadcast only behind a check of its size: items are dealt
-into blocks of at most about ``block_chars`` characters, each block has an
-automaton of its own, and the blocks' findings are united by document.
+Items are broadcast only behind a check of their size: they are dealt into
+blocks of about ``block_chars`` = 500,000 characters. An automaton takes some 340
+bytes for each character of its items, so a worker holds about 170 MB. With
+several blocks each is scanned for in a pass of its own, one after another, and
+the blocks' findings are united by document.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
-from captionmill.llm.common import internal
+from captionmill.llm.common import held, internal, make_room, stored
 
 _FOLD = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -42,7 +44,7 @@ def windows_of(text: str | None, window: int) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + n]) + b" " for i in range(len(words) - n + 1)} if n else set()
 
 
-@functools.lru_cache(maxsize=1)
+@held
 def _automaton(items: tuple[tuple[str, str], ...], window: int):
     """The automaton, whose values are (words in the window, indices of items)."""
     import ahocorasick
@@ -87,6 +89,7 @@ def _scan(text: str, machine):
 
 def _scanner(items, window):
     def run(batches):
+        make_room(_automaton)
         own = items.value
         machine = _automaton(own, window)
         for batch in batches:
@@ -107,19 +110,27 @@ def _scanner(items, window):
     return run
 
 
-def _item_blocks(benchmark: DataFrame, block_chars: int) -> list:
-    """Broadcasts of (id, text) pairs, each of about ``block_chars`` at most."""
-    spark = benchmark.sparkSession
+def _item_blocks(benchmark: DataFrame, block_chars: int) -> tuple[int, DataFrame]:
+    """The number of blocks, and items by block."""
     items = internal(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    n, out = -(-total // block_chars) or 1, []
+    n = -(-total // block_chars) or 1
+    return n, items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+
+
+def _passes(benchmark: DataFrame, block_chars: int):
+    """(number of blocks, broadcast of the (id, text) pairs of one block), block
+    by block. A block's broadcast goes when the next one is asked for."""
+    n, items = _item_blocks(benchmark, block_chars)
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator()))))
-    return out
+        part = items.where(F.col("block") == k).drop("block").toLocalIterator()
+        own = benchmark.sparkSession.sparkContext.broadcast(tuple(sorted((r["item_id"], r["text"]) for r in part)))
+        yield n, own
+        if n > 1:
+            own.unpersist()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 20_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 500_000) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurring
     window), spans (start, end in characters of the original text) and items
     (ids, as sorted strings, of items with an occurring window).
@@ -128,11 +139,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     match nothing; repeated items and ids count once. An empty benchmark
     gives no hits. Repeated document rows each give a row.
     """
-    blocks = _item_blocks(benchmark, block_chars)
-    # Without several blocks no row has to be found again, so no key is made.
-    key = F.lit(0) if len(blocks) == 1 else F.xxhash64("doc_id", "text")
-    rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), key.cast("long").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = [rows.mapInArrow(_scanner(own, window), FOUND) for own in blocks]
+    text, found = F.coalesce("text", F.lit("")).alias("text"), []
+    for n, own in _passes(benchmark, block_chars):
+        # Without several blocks no row has to be found again, so no key is made.
+        key = F.lit(0) if n == 1 else F.xxhash64("doc_id", "text")
+        rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), key.cast("long").alias("row_key"), text)
+        told = rows.mapInArrow(_scanner(own, window), FOUND)
+        found.append(told if n == 1 else stored(told, "items-found"))
     if len(found) == 1:
         n_hit = F.expr("aggregate(hits, 0L, (s, h) -> s + h.last - h.first + 1)")
         return found[0].select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
@@ -154,6 +167,7 @@ def _united(found: list[DataFrame]) -> DataFrame:
 
 def _dropper(own, window: int, at: int):
     def run(batches):
+        make_room(_automaton)
         machine = _automaton(own.value, window)
         for batch in batches:
             for part in _slices(batch, 4_000_000, at):
@@ -163,11 +177,13 @@ def _dropper(own, window: int, at: int):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 20_000_000) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 500_000) -> DataFrame:
     """``docs`` without documents that hold a window of an item. Each block of
     items decides row by row, so no join is needed; rows with a null id are
-    scanned as well. The columns stay as they are."""
+    scanned as well. Null and empty texts and texts without a word stay, repeated
+    rows are judged each and alike. The columns stay as they are."""
     at, schema = docs.columns.index("text"), docs.schema
-    for own in _item_blocks(benchmark, block_chars):
+    for n, own in _passes(benchmark, block_chars):
         docs = docs.mapInArrow(_dropper(own, window, at), schema)
+        docs = docs if n == 1 else stored(docs, "items-dropped")
     return docs
