@@ -2,18 +2,6 @@
 
 from __future__ import annotations
 
-OP3 = r"""
-WITH c AS (
-  SELECT source, lang, doc_id,
-    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n1,
-    len(list_filter(string_split_regex(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS n2
-  FROM documents)
-SELECT source, lang, tokenizer_version, cast(count(*) AS BIGINT) AS n_docs, cast(sum(n) AS BIGINT) AS n_tokens FROM (
-  SELECT source, lang, 'words-1' AS tokenizer_version, n1 AS n FROM c WHERE n1 >= 10 AND doc_id % 2 <> 0
-  UNION ALL SELECT source, lang, 'words-2', n2 FROM c)
-GROUP BY ALL
-"""
-
 OP5 = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

@@ -26,31 +26,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_copies", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
-def counters() -> dict:
-    """Two counting rules that stand for two tokenizer versions."""
-    words = lambda gap: F.size(F.array_remove(F.split("text", gap), ""))
-    return {"words-1": words(r"[\x20\x09-\x0D]+"), "words-2": words(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")}
+def tokenizer_versions() -> dict:
+    """Two tokenizer versions: file, and split pattern where the file has none."""
+    import public_tokenizers as own
+
+    return {"byte_bpe_50k": (own.path("byte_bpe_50k.json"), None), "byte_bpe_multi_50k": (own.path("byte_bpe_multi_50k.tiktoken"), own.PATTERN)}
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger of three batches over all documents: inserts under the first
-    version, deletes of documents under ten tokens, and a change of version,
-    which deletes even doc_ids under the first and inserts all under the second
-    with 5 tokens too few, then a revision that puts the counts right. The
-    second batch is committed twice."""
+    """A ledger of batches over all documents: inserts under the first
+    tokenizer; deletes of documents under ten tokens, committed twice; a change
+    to the second tokenizer, which deletes what is left under the first and
+    inserts all documents with the first one's counts for the time being; and a
+    revision that puts in the second one's counts, replayed after compaction."""
     path = scratch(spark, "rollup")
-    counts = stored(rollups.counted(table(spark, sf_dir, "documents"), counters()), "token-counts")
-    first, second = counts.where("tokenizer_version = 'words-1'"), counts.where("tokenizer_version = 'words-2'")
-    change = lambda rows, op, n="n_tokens", prev="0": rows.selectExpr(f"'{op}' AS op", "source", "lang", "tokenizer_version", f"cast({n} AS long) AS n_tokens", f"cast({prev} AS long) AS prev_n_tokens")
-    short, long = first.where("n_tokens < 10"), first.where("n_tokens >= 10")
-    rollups.commit(change(first, "insert"), path, "1")
+    old, new = sorted(tokenizer_versions())
+    counts = stored(rollups.counted(table(spark, sf_dir, "documents"), tokenizer_versions()), "token-counts")
+    n_old, n_new = F.col("counts")[old], F.col("counts")[new]
+    change = lambda op, version, n, prev=F.lit(None).cast("long"), rows=counts: rows.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), n.alias("n_tokens"), prev.alias("prev_n_tokens"))
+    rollups.commit(change("insert", old, n_old), path, "1")
     for _ in range(2):
-        rollups.commit(change(short, "delete"), path, "2")
-    moved = change(long.where("doc_id % 2 = 0"), "delete").unionByName(change(second, "insert", "n_tokens - 5"))
-    rollups.commit(moved, path, "3")
-    rollups.commit(change(second, "revise", "n_tokens", "n_tokens - 5"), path, "4")
+        rollups.commit(change("delete", old, n_old, rows=counts.where(n_old < 10)), path, "2")
+    rollups.commit(change("delete", old, n_old, rows=counts.where(n_old >= 10)).unionByName(change("insert", new, n_old)), path, "3")
+    revised = change("revise", new, n_new, n_old)
+    rollups.commit(revised, path, "4")
     rollups.compact(spark, path)
-    rollups.commit(change(second, "revise", "n_tokens", "n_tokens - 5"), path, "4")
+    rollups.commit(revised, path, "4")
     return rollups.totals(spark, path)
 
 
@@ -105,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_token_rollup": oracles.OP3, "op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9}
+    return {"op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9}
