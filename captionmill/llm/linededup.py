@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from captionmill.llm.common import SPACE, stored
+from captionmill.llm.common import SPACE, release, stored
 
 PLACES, WIDE = 1 << 16, 80
 #: What names a line: its document, a hash of the text where an id repeats, its number.
@@ -40,22 +40,28 @@ _LINE = ["doc_id", "tag", "line"]
 _EARLIER, _LATER = [f"a_{c}" for c in _LINE], [f"b_{c}" for c in _LINE]
 
 
-def _split(text: Column) -> Column:
-    """Words, and empty strings where gaps meet. A split at one character
-    spares the regular expression."""
-    for c in SPACE[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.split(text, " ")
+def _plain(text: Column) -> Column:
+    """``text`` with a blank for every other white space within a line, so that
+    it can be split at one character."""
+    out = text
+    for c in "\t\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), out).otherwise(text)
 
 
 def _has_word(line: Column) -> Column:
     return F.ltrim(line, F.lit(SPACE)) != ""
 
 
+def _lines(rows: DataFrame) -> DataFrame:
+    """Lines with a word: doc_id, tag, number and text."""
+    return rows.select("doc_id", "tag", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "w")).where(_has_word(F.col("w")))
+
+
 def _rarity(rows: DataFrame) -> Column:
     """An array: for each place, twice the binary logarithm of the number of
     words there, over all rows."""
-    word = rows.select(F.explode(_split(F.col("text"))).alias("w")).where("w <> ''")
+    word = _lines(rows).select(F.explode(F.split("w", " ")).alias("w")).where("w <> ''")
     counted = word.groupBy(F.xxhash64("w").bitwiseAND(F.lit(PLACES - 1)).alias("id")).agg(F.count("*").alias("n"))
     every = rows.sparkSession.range(PLACES).join(counted, "id", "left").select("id", F.coalesce(F.floor(2 * F.log2("n")), F.lit(0)).alias("r"))
     line = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "r"))), lambda x: x["r"]), ",")).first()[0]
@@ -63,11 +69,12 @@ def _rarity(rows: DataFrame) -> Column:
 
 
 def line_classes(rows: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """Classes of equal lines of ``rows`` (doc_id, tag, text): the line that
+    """Classes of equal lines, whatever the kind of their white space, of
+    ``rows`` (doc_id, tag, text; no row twice): the line that
     stands for each, its number of words ``n``, parity sketches and prefix."""
     rarity = _rarity(rows)
-    lines = rows.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line", "w")).where(_has_word(F.col("w")))
-    distinct = F.array_remove(F.array_distinct(F.transform(_split(F.col("w")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    lines = _lines(rows)
+    distinct = F.array_remove(F.array_distinct(F.transform(F.split("w", " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
     key = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(PLACES - 1)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = lines.select(*_LINE, F.xxhash64("w").alias("h"), F.xxhash64(F.lit(1), "w").alias("g"), F.sort_array(F.transform(distinct, key)).alias("keys"))
     parity = lambda keys: F.expr(f"aggregate({keys}, 0L, (b, k) -> b ^ shiftleft(1L, cast(k & 63 AS int)))")
@@ -80,17 +87,13 @@ def line_classes(rows: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     return sketched.groupBy("h", "g").agg(F.min(F.struct(*_LINE)).alias("at"), *told).select("at.*", "n", "bits", "more", "prefix")
 
 
-def _near(num: int, den: int) -> str:
+def _near(num: int, den: int) -> Column:
     """The filters on two prefix words of lines a and b; J >= num/den is the
     same as overlap * (num + den) >= num * (|a| + |b|)."""
-    return f"""a_n * {den} >= b_n * {num} AND b_n * {den} >= a_n * {num}
-        AND least(a_n - a_k, b_n - b_k) * {num + den}L >= {num}L * (a_n + b_n)
-        AND CASE WHEN a_n > {WIDE} AND b_n > {WIDE} THEN bit_count(a_bits ^ a_more ^ b_bits ^ b_more) + bit_count(a_more ^ b_more)
-            ELSE bit_count(a_bits ^ b_bits) END * {num + den}L <= {den - num}L * (a_n + b_n)"""
-
-
-def _side(rows: DataFrame, side: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "key"])
+    return F.expr(f"""a.key = b.key AND a.n * {den} >= b.n * {num} AND b.n * {den} >= a.n * {num}
+        AND least(a.n - a.k, b.n - b.k) * {num + den}L >= {num}L * (a.n + b.n)
+        AND CASE WHEN a.n > {WIDE} AND b.n > {WIDE} THEN bit_count(a.bits ^ a.more ^ b.bits ^ b.more) + bit_count(a.more ^ b.more)
+            ELSE bit_count(a.bits ^ b.bits) END * {num + den}L <= {den - num}L * (a.n + b.n)""")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, num: int, den: int) -> DataFrame:
@@ -106,27 +109,28 @@ def line_matches(rows: DataFrame, classes: DataFrame, num: int = 4, den: int = 5
     similarity of num/den or more to an earlier one, such lines: a_doc_id,
     a_tag and a_line of the earlier, b_doc_id, b_tag and b_line of the later.
     At least one match is told of each line that has any, not all."""
-    near, before = F.expr(_near(num, den)), F.expr("struct(a_doc_id, a_tag, a_line) < struct(b_doc_id, b_tag, b_line)")
     posts = classes.select(*_LINE, "n", "bits", "more", F.posexplode("prefix").alias("k", "key"))
-    other = F.expr("a_line <> b_line OR a_doc_id <> b_doc_id OR a_tag <> b_tag")
-    a, b = _side(posts, "a"), _side(posts, "b").withColumnRenamed("key", "b_key")
-    met = stored(a.join(b, (a["key"] == b["b_key"]) & near & other, "left_semi"), "line-met")
-
-    inner = [F.col(f"a_{c}").alias(c) for c in _LINE]
-    lines = met.select(*inner).groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at"))
-    held = rows.join(lines, ["doc_id", "tag"]).select("doc_id", "tag", "at", F.split("text", "\n").alias("lines")).dropDuplicates(["doc_id", "tag"])
-    word_list = F.array_distinct(F.array_remove(_split(F.get("lines", F.col("line"))), ""))
-    words = stored(held.select("doc_id", "tag", F.explode("at").alias("line"), "lines").select(*_LINE, word_list.alias("words")), "line-words")
-
-    later = met.select("key", *[F.col(f"a_{c}").alias(f"b_{c}") for c in (*_LINE, "n", "k", "bits", "more")])
-    heads = stored(met.groupBy("key").agg(F.min(F.struct(*_EARLIER)).alias("head")), "line-heads")
-    often = later.join(heads, "key").where(F.col("head") != F.struct(*[F.col(b).alias(a) for a, b in zip(_EARLIER, _LATER)])).groupBy(*_LATER, "head").agg(F.count("*").alias("n"))
+    other = F.expr("a.line <> b.line OR a.doc_id <> b.doc_id OR a.tag <> b.tag")
+    met = stored(posts.alias("a").join(posts.alias("b"), _near(num, den) & other, "left_semi"), "line-met")
+
+    lines = met.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at"))
+    held = rows.join(lines, ["doc_id", "tag"]).select("doc_id", "tag", F.explode("at").alias("line"), F.split(_plain(F.col("text")), "\n").alias("lines"))
+    word_list = F.array_distinct(F.array_remove(F.split(F.get("lines", F.col("line")), " "), ""))
+    words = stored(held.select(*_LINE, word_list.alias("words")), "line-words")
+
+    own, later = F.struct(*[F.col(c).alias(a) for a, c in zip(_EARLIER, _LINE)]), [F.col(c).alias(b) for b, c in zip(_LATER, _LINE)]
+    heads = stored(met.groupBy("key").agg(F.min(own).alias("head")), "line-heads")
+    often = met.join(heads, "key").where(F.col("head") != own).groupBy(*later, "head").agg(F.count("*").alias("n"))
     best = often.groupBy(*_LATER).agg(F.max(F.struct("n", "head")).alias("x")).select("x.head.*", *_LATER)
     first = stored(_verified(best, words, num, den), "line-matches")
 
-    left = later.join(first.select(*_LATER).distinct(), _LATER, "left_anti")
-    pairs = met.join(left, "key").where(near & before).select(*_EARLIER, *_LATER).distinct()
-    return first.unionByName(stored(_verified(pairs, words, num, den), "line-matches"))
+    left = met.join(first.select(*[F.col(b).alias(c) for b, c in zip(_LATER, _LINE)]).distinct(), _LINE, "left_anti").select(*met.columns)
+    before = F.expr("struct(a.doc_id, a.tag, a.line) < struct(b.doc_id, b.tag, b.line)")
+    both = met.alias("a").join(left.alias("b"), _near(num, den) & before)
+    pairs = both.select(*[F.col(f"a.{c}").alias(x) for x, c in zip(_EARLIER, _LINE)], *[F.col(f"b.{c}").alias(x) for x, c in zip(_LATER, _LINE)]).distinct()
+    second = stored(_verified(pairs, words, num, den), "line-matches")
+    release(met, words, heads)
+    return first.unionByName(second)
 
 
 def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, carry: bool = False) -> DataFrame:
@@ -142,13 +146,16 @@ def dedup_lines(docs: DataFrame, num: int = 4, den: int = 5, carry: bool = False
     """
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]) if carry else F.lit(None)
     every = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], row.alias("row"))
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))) if _repeats(every) else F.lit(0).cast("long")
-    every = every.withColumn("tag", tag)
+    repeats = _repeats(every)
+    every = every.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))) if repeats else F.lit(0).cast("long"))
     rows = every.where("doc_id IS NOT NULL").select("doc_id", "tag", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.dropDuplicates(["doc_id", "tag"]) if repeats else rows
     classes = stored(line_classes(rows, num, den), "line-classes")
+    reps = stored(classes.groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at")), "line-reps")
     matches = line_matches(rows, classes, num, den)
-    near = matches.select(*[F.col(b).alias(c) for b, c in zip(_LATER, _LINE)]).distinct().withColumn("near", F.lit(True))
-    by_doc = classes.select(*_LINE).join(near, _LINE, "left").groupBy("doc_id", "tag").agg(F.collect_set("line").alias("at"), F.collect_set(F.when(F.col("near"), F.col("line"))).alias("near"))
+    release(classes)
+    near = matches.groupBy(F.col("b_doc_id").alias("doc_id"), F.col("b_tag").alias("tag")).agg(F.collect_set("b_line").alias("near"))
+    by_doc = reps.join(near, ["doc_id", "tag"], "left").withColumn("near", F.coalesce("near", F.expr("cast(array() AS array<int>)")))
     told = stored(by_doc.select("doc_id", "tag", F.size("at").alias("n_rep"), F.size("near").alias("n_near"), F.array_except("at", "near").alias("stay")), "line-told")
     # Two tables with a row for each document: no key is large but that of copies of one row.
     own = every.join(told, ["doc_id", "tag"], "left").withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))

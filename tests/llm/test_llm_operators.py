@@ -126,6 +126,7 @@ def brute_lines(rows, num=4, den=5):
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         for k, line in enumerate((t or "").split("\n")):
             if word.search(line):
+                line = re.sub(r"[\x09\x0B-\x0D]", " ", line)
                 lines.append((i, k, line))
                 first.setdefault(line, (i, k))
     reps = [(i, k, set(word.findall(x))) for i, k, x in lines if first[x] == (i, k)]
@@ -208,6 +209,68 @@ def test_rollups(spark):
     assert rollups.commit(batch(), path, "b/4")
 
 
+def test_rollup_races_and_stops(spark, monkeypatch):
+    """Two writers of one batch, a writer that stops, and a compaction that
+    stops before or after its snapshot: every state gives the same totals."""
+    path = scratch(spark, "test-rollup")
+    row = "op string, source string, lang string, tokenizer_version string, n_tokens long, prev_n_tokens long"
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], row)
+    sums = lambda: [(r["n_docs"], r["n_tokens"]) for r in rollups.totals(spark, path).collect()]
+    assert rollups.commit(batch(10), path, "1")
+    publish = rollups._publish
+
+    def late(spark, marker, text):
+        """Another writer of the same batch is just before this one."""
+        assert publish(spark, marker, open_folder)
+        return publish(spark, marker, text)
+
+    open_folder = "other"
+    rollups.signed(batch(5)).write.parquet(f"{path}/data/other")
+    monkeypatch.setattr(rollups, "_publish", late)
+    assert not rollups.commit(batch(5), path, "2")
+    assert sums() == [(2, 15)]
+
+    def stop(*_):
+        raise OSError("stopped")
+
+    monkeypatch.setattr(rollups, "_publish", stop)
+    for step in (lambda: rollups.commit(batch(7), path, "3"), lambda: rollups.compact(spark, path)):
+        with pytest.raises(OSError):
+            step()
+        assert sums() == [(2, 15)]
+    monkeypatch.setattr(rollups, "_publish", publish)
+    with monkeypatch.context() as m:  # the snapshot stands, nothing is cleared away
+        m.setattr(rollups, "remove", stop)
+        with pytest.raises(OSError):
+            rollups.compact(spark, path)
+    assert sums() == [(2, 15)] and not rollups.commit(batch(5), path, "2")
+    assert rollups.commit(batch(7), path, "3")
+    rollups.compact(spark, path)
+    assert sums() == [(3, 22)] and not rollups.commit(batch(10), path, "1")
+
+
+def test_op3_counts_tokens_like_the_libraries(spark, tok, tmp_path):
+    import base64
+
+    import tiktoken
+
+    from captionmill.llm import queries
+
+    rng = random.Random(51)
+    rows = odd_rows() + [(500 + i, "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(80))), rng.choice(["en", None]), rng.choice("ab")) for i in range(200)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    each = {i: r["counts"] for i, r in enumerate(rollups.counted(table(spark, rows).coalesce(1), queries.tokenizer_versions()).collect())}
+    assert [(c["byte_bpe_50k"], c["byte_bpe_multi_50k"]) for c in each.values()] == [(len(tok.encode(t or "", add_special_tokens=False).ids), len(multi.encode_ordinary(t or ""))) for _, t, *_ in rows]
+    n, docs = collections.Counter(), collections.Counter()
+    for _, t, lang, source in rows:
+        n[source, lang] += len(multi.encode_ordinary(t or ""))
+        docs[source, lang] += 1
+    got = {(r["source"], r["lang"]): (r["tokenizer_version"], r["n_docs"], r["n_tokens"]) for r in queries.op3_token_rollup(spark, str(tmp_path)).collect()}
+    assert got == {k: ("byte_bpe_multi_50k", docs[k], n[k]) for k in docs}
+
+
 def test_ctw_model_predicts_a_distribution_and_learns():
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(30)).encode() for _ in range(50)]
@@ -487,16 +550,77 @@ def test_toxicity(spark):
     assert {round(r["score"], 6) for r in toxicity.score(table(spark, rows), none).collect()} == {0.5}
 
 
-def test_block_index_equals_a_full_comparison():
+def plain_toxicity(rows, labels, asked, k=25):
+    """Scores by a comparison with all examples, over plain dictionaries."""
+    texts = {i: t for i, t, *_ in rows}
+    own = sorted(i for i, y in labels.items() if texts.get(i) is not None)
+    bags = {i: collections.Counter(decontaminate.words_of(texts[i])) for i in own}
+    n1 = sum(labels[i] for i in own)
+    n0 = len(own) - n1
+    df = collections.Counter(w for t in texts.values() for w in set(decontaminate.words_of(t)))
+    weight = {}
+    for w in {w for b in bags.values() for w in b}:
+        a, b = (sum(labels[i] == y for i in own if w in bags[i]) for y in (1, 0))
+        z = (math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        weight[w] = (math.log((len(texts) + 1) / (df[w] + 1)) + 1e-3) * max(0.05, min(abs(z) / 4, 1) ** 2)
+
+    def unit(bag):
+        v = {w: math.log1p(n) * weight[w] for w, n in bag.items() if w in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    units = {i: unit(b) for i, b in bags.items()}
+    prior = (n1 + 0.5) / (n1 + n0 + 1)
+
+    def vote(v, without=None):
+        near = sorted(((sum(x * u.get(w, 0) for w, x in v.items()), i) for i, u in units.items() if i != without), reverse=True)[:k]
+        w = [1 / (1.1 - min(c, 1)) for c, _ in near if c > 0]
+        return (sum(x * labels[i] for x, (_, i) in zip(w, near)) + prior) / (sum(w) + 1)
+
+    odds = lambda p: math.log(p / (1 - p))
+    slope, offset = toxicity._logistic(np.array([odds(vote(units[i], i)) for i in own]), np.array([float(labels[i]) for i in own]))
+    return {i: 1 / (1 + math.exp(-(slope * odds(vote(unit(collections.Counter(decontaminate.words_of(texts[i]))))) + offset))) for i in asked}
+
+
+def test_toxicity_equals_a_full_comparison(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, rng.randrange(5, 60)) + (" vile scum" if i % 7 == 0 else ""), "en", "a") for i in range(260)]
+    labels = {i: int(i % 7 == 0) for i in range(200)}
+    marked = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    index = toxicity.fit(table(spark, rows), marked)
+    assert len(index.words) > toxicity.BLOCK and len(index.ids) == 200
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, rows), index).collect()}
+    want = plain_toxicity(rows, labels, range(200, 260))
+    assert np.allclose([got[i] for i in want], list(want.values()), atol=1e-4)
+
+
+def test_toxicity_odd_rows(spark):
+    """Very long texts, repeated rows and ids with several texts, ties, clashing columns, empty tables."""
+    rows = odd_rows() + [(10, "another text of ten", "en", "a")] + [(300 + i, "same words here", "en", "a") for i in range(40)]
+    marked = spark.createDataFrame([(i, int(i % 2)) for i in [1, 2, 5, 6, *range(10, 20), *range(300, 330)]] + [(5, 0)], "doc_id long, toxic int")
+    index = toxicity.fit(table(spark, rows), marked)
+    assert len(set(index.ids.tolist())) == len(index.ids)
+    got = toxicity.score(table(spark, rows), index).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert len({round(r["score"], 6) for r in got if r["doc_id"] and r["doc_id"] >= 300}) == 1
+    assert toxicity.score(table(spark, []), index).count() == 0
+    none = toxicity.fit(table(spark, []), marked)
+    assert {r["score"] for r in toxicity.score(table(spark, rows), none).collect()} == {0.5}
+
+
+def test_block_index_equals_a_full_comparison(monkeypatch):
+    monkeypatch.setattr(toxicity, "LONG", 12)  # long lists, short lists and blocks that are skipped
     rng = np.random.default_rng(7)
-    rows = np.maximum(rng.normal(size=(500, 30)) - 0.8, 0).astype(np.float32)
-    rows[rows.sum(1) == 0, 0] = 1
+    rows = np.where(rng.random((500, 60)) < 0.15, rng.random((500, 60)), 0).astype(np.float32)
+    rows[np.arange(500), np.arange(500) // 20] += 4
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
-    rows = rows[np.argsort(rows.argmax(1), kind="stable")]
-    index = toxicity.Index([b"w%d" % i for i in range(30)], np.ones(30), np.arange(500), np.zeros(500), rows, 10, 0.5, 0.5)
+    index = toxicity.Index(np.arange(60, dtype=np.uint64), np.ones(60), np.arange(500), np.zeros(500), (rows > 0).sum(1), np.nonzero(rows)[1], rows[rows > 0], 10, 0.5, 0.5)
     q = rows[::7]
-    top, _ = index.neighbours(q, 10)
+    reads, read = [], toxicity.Index._read
+    monkeypatch.setattr(toxicity.Index, "_read", lambda self, which, *x: reads.append(which.mean()) or read(self, which, *x))
+    top, who = index.neighbours(*np.nonzero(q), q[q > 0], len(q), 10)
     assert np.allclose(top, -np.sort(-(q @ rows.T), axis=1)[:, :10], atol=1e-5)
+    assert np.allclose(np.take_along_axis(q @ rows.T, who, 1), top, atol=1e-5) and sum(reads) < 0.7
 
 
 def test_forest_keeps_what_links_join():
