@@ -11,6 +11,7 @@ Latin or number box.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Scripts written from right to left, for the test that spares other lines the Python worker.
+#: Scripts written from right to left, for the test that sends no other line's texts to Python.
 RTL_RANGES = "[֐-ࣿיִ-﷿ﹰ-﻿\U00010800-\U00010fff\U0001e800-\U0001efff]"
 
 
@@ -61,18 +62,15 @@ def _turned_stretches(kinds: list[set[str]]) -> list[int]:
 
 
 def _turned_line(kinds: list[set[str]]) -> list[int]:
-    out, run = [], []
-    for i in [*range(len(kinds) - 1, -1, -1), None]:
-        if i is not None and not kinds[i] & {"R", "AN"}:
-            run.append(i)
-            continue
-        edges = [k for k, j in enumerate(run) if kinds[j] & {"L", "EN"}]
-        if any("L" in kinds[j] for j in run):
-            a, b = edges[0], edges[-1] + 1
-            run[a:b] = run[a:b][::-1]
-        out += run + ([] if i is None else [i])
-        run = []
-    return out
+    """Last box first; then the Latin stretches are put back into screen order."""
+    line = list(range(len(kinds)))[::-1]
+    fixed = [bool(kinds[i] & {"R", "AN"}) for i in line]
+    for is_fixed, places in itertools.groupby(range(len(line)), fixed.__getitem__):
+        between = [] if is_fixed else list(places)
+        if any("L" in kinds[line[p]] for p in between):
+            ends = [p for p in between if kinds[line[p]] & {"L", "EN"}]
+            line[ends[0] : ends[-1] + 1] = sorted(line[ends[0] : ends[-1] + 1])
+    return line
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -81,5 +79,6 @@ def reading_order(texts: pd.Series) -> pd.Series:
 
 
 def in_reading_order(texts: Column) -> Column:
-    """The texts of a line in reading order; lines in other scripts stay in the JVM."""
-    return F.when(F.array_join(texts, "").rlike(RTL_RANGES), reading_order(texts)).otherwise(texts)
+    """The texts of a line in reading order. Lines in other scripts reach the
+    Python worker as nulls, whatever they hold."""
+    return F.coalesce(reading_order(F.when(F.array_join(texts, "").rlike(RTL_RANGES), texts)), texts)

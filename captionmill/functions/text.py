@@ -24,7 +24,7 @@ def _col(x) -> Column:
 
 
 def strip(text) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(text), f"^{WS_CLASS}+", ""), f"{WS_CLASS}+$", "")
+    return F.btrim(_col(text), F.lit(WS))
 
 
 def fold(text) -> Column:
@@ -37,12 +37,22 @@ def canonical_key(text) -> Column:
     return strip(fold(text))
 
 
+#: Characters whose case folding the two functions above do not know.
+BEYOND_LATIN = "[^\x00-\xFF]|\xB5"
+
+
 @F.pandas_udf(T.StringType())
 def canonical_key_unicode(text):  # noqa: ANN001
     """The same by full Unicode case folding, for scripts beyond Latin."""
     return text.map(lambda t: None if t is None else t.casefold().strip())
 
 
+def full_key(text) -> Column:
+    """``canonical_key`` by full case folding; only texts with characters
+    beyond Latin-1 are sent to Python, the others go there as nulls."""
+    return F.coalesce(canonical_key_unicode(F.when(_col(text).rlike(BEYOND_LATIN), _col(text))), canonical_key(text))
+
+
 def cue(text) -> Column:
     """One line: runs of white space become one space, ends are stripped."""
     return F.trim(F.regexp_replace(_col(text), f"{WS_CLASS}+", " "))
@@ -125,6 +135,6 @@ def retry_delay(attempt, retry_after, jitter=0.0, base: float = 1.0, cap: float
 
 
 def output_format(flag, env, path, default: str = "json") -> Column:
-    """The flag, else a non-empty setting, else a known suffix, else JSON."""
-    suffix = F.lower(F.regexp_extract(_col(path), r"\.(json|txt|srt|md|JSON|TXT|SRT|MD)$", 1))
+    """The flag, else a non-empty setting, else a known suffix in any case, else JSON."""
+    suffix = F.regexp_extract(F.lower(_col(path)), r"[^/\\]\.(json|txt|srt|md)$", 1)
     return F.coalesce(_col(flag), F.nullif(_col(env), F.lit("")), F.nullif(suffix, F.lit("")), F.lit(default))

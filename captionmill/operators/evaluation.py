@@ -21,6 +21,10 @@ from captionmill.schema import BOTH, ON_SCREEN
 NEAR_MISS, MAX_SPAN, JUNK_SECONDS, MARGIN, EPS, LANGUAGES = 0.50, 2.0, 1.5, 0.02, 1e-9, ("en", "de", "fr", "es", "pt")
 
 
+#: Seconds of a stretch of time in which segments and expected texts are paired.
+BUCKET = 60.0
+
+
 def share(part, whole, empty: float) -> Column:
     p, w = (F.col(x) if isinstance(x, str) else x for x in (part, whole))
     return F.when(w > 0, p / F.greatest(w, F.lit(1))).otherwise(F.lit(empty))
@@ -30,7 +34,13 @@ def candidates(segments: DataFrame, expected: DataFrame) -> DataFrame:
     """Segments within the window of each expected text."""
     s = segments.select("video_id", F.col("seq"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("text").alias("s_text"), "source")
     e = expected.select("video_id", "gt_seq", F.col("text").alias("gt_text"), F.col("start").alias("gt_start"), F.col("end").alias("gt_end"), "required")
-    return s.join(e, "video_id").where(in_window("s_start", "s_end", "gt_start", "gt_end"))
+    # Closed windows meet segments in a common stretch of time; open ones meet the whole video.
+    closed = F.col("gt_start").isNotNull() & F.col("gt_end").isNotNull() & (F.col("gt_start") <= F.col("gt_end"))
+    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.greatest(a, b) / BUCKET)))
+    once = F.floor(F.greatest("s_start", "gt_start") / BUCKET) == F.col("bucket")
+    met = s.withColumn("bucket", cut("s_start", "s_end")).join(e.where(closed).withColumn("bucket", cut("gt_start", "gt_end")), ["video_id", "bucket"]).where(once).drop("bucket")
+    every = met.unionByName(s.join(e.where(~closed), "video_id"))
+    return every.where(in_window("s_start", "s_end", "gt_start", "gt_end"))
 
 
 def matches(segments: DataFrame, expected: DataFrame, threshold: float = 0.85, ratio=similarity.ratio) -> DataFrame:
@@ -53,9 +63,10 @@ def junk(segments: DataFrame, expected: DataFrame, threshold: float = 0.85, rati
 def pair_matches(near: DataFrame, ratio=similarity.ratio) -> DataFrame:
     """Best two segments for each expected text, in either order, that start
     at most MAX_SPAN apart: the first of the best in order of the pair."""
-    a = near.select("video_id", "gt_seq", "gt_text", F.col("seq").alias("i"), F.col("s_start").alias("a_start"), F.col("s_text").alias("a_text"))
-    b = near.select("video_id", "gt_seq", F.col("seq").alias("j"), F.col("s_start").alias("b_start"), F.col("s_text").alias("b_text"))
-    pairs = a.join(b, ["video_id", "gt_seq"]).where((F.col("i") < F.col("j")) & (F.abs(F.col("b_start") - F.col("a_start")) <= MAX_SPAN))
+    slot = F.floor(F.col("s_start") / MAX_SPAN)  # partners start in the same slot or a neighbouring one
+    a = near.select("video_id", "gt_seq", "gt_text", F.col("seq").alias("i"), F.col("s_start").alias("a_start"), F.col("s_text").alias("a_text"), slot.alias("slot"))
+    b = near.select("video_id", "gt_seq", F.col("seq").alias("j"), F.col("s_start").alias("b_start"), F.col("s_text").alias("b_text"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
+    pairs = a.join(b, ["video_id", "gt_seq", "slot"]).drop("slot").where((F.col("i") < F.col("j")) & (F.abs(F.col("b_start") - F.col("a_start")) <= MAX_SPAN))
     both = pairs.withColumn("ab", F.concat_ws(" ", "a_text", "b_text")).withColumn("ba", F.concat_ws(" ", "b_text", "a_text"))
     told = both.withColumn("x", ratio(F.col("ab"), F.col("gt_text"))).withColumn("y", ratio(F.col("ba"), F.col("gt_text")))
     sim = F.greatest("x", "y")
@@ -187,6 +198,34 @@ def eval_records(raw: DataFrame) -> DataFrame:
     return raw.select("clip", "language", "ocr_model_set", F.size(need).cast("long").alias("expected"), F.size(F.filter(need, lambda e: e["matched"])).cast("long").alias("matched"), F.col("junk.post_dedup.total_segments").alias("segments"), F.col("junk.post_dedup.unmatched_count").alias("unmatched"), F.col("junk.raw.retained_overlay_recall").alias("raw_recall"))
 
 
+def _figures() -> list[Column]:
+    three = lambda c: F.format_string("%.3f", F.bround(c, 3))
+    return [F.format_string("%d/%d = %s", F.col("matched"), F.col("expected"), three("recall")), three("raw_recall"), three("unmatched_rate"), F.col("segments").cast("string")]
+
+
+def _table(rows: DataFrame, columns: list[str], *order: str) -> DataFrame:
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns]
+    return rows.select(*order, F.concat(F.lit("| "), F.concat_ws(" | ", *cells, *_figures()), F.lit(" |")).alias("line"))
+
+
+def clip_table(records: DataFrame) -> DataFrame:
+    """Report lines, one for each record: (language, clip, ocr_model_set, line),
+    to be read in the order of these columns."""
+    one = records.withColumn("recall", share("matched", "expected", 1.0)).withColumn("unmatched_rate", share("unmatched", "segments", 0.0)).withColumn("raw_recall", F.when(F.col("expected") > 0, F.col("raw_recall")).otherwise(1.0))
+    return _table(one, ["clip", "language", "ocr_model_set"], "language", "clip", "ocr_model_set")
+
+
+def language_table(summaries: DataFrame) -> DataFrame:
+    """Report lines, one for each language and model set, to be read in the
+    order of these columns."""
+    return _table(summaries, ["language", "ocr_model_set", "clips"], "language", "ocr_model_set")
+
+
+def by_frequency(stats: DataFrame) -> DataFrame:
+    """Spatial statistics in report order: the most frequent first, then by text."""
+    return stats.orderBy("video_id", F.desc("occurrence_count"), "canonical_text")
+
+
 def verdict(summaries: DataFrame, baseline: str, candidate: str, languages=LANGUAGES, margin: float = MARGIN) -> DataFrame:
     """(scope, reason) rows why the candidate does not replace the baseline;
     none if it does. A language lacking a set, or with different clips, is not

@@ -91,12 +91,19 @@ def scene_changes(frames: DataFrame, threshold: float = 0.05, fps: float = 1.0)
         pdf = pdf.sort_values("frame_idx", kind="stable")
         own, chosen = Selector(threshold, gap), []
         for i, h, w, g in zip(pdf["frame_idx"], pdf["height"], pdf["width"], pdf["gray"]):
-            if own.offer(i, downscale(np.frombuffer(g, np.uint8).reshape(h, w))):
+            if own.offer(i, np.frombuffer(g, np.uint8).reshape(h, w)):
                 chosen.append(i)
         last = own.finish()
         return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame_idx": chosen + ([] if last is None else [last])})
 
-    return frames.select("video_id", "frame_idx", "height", "width", "gray").groupBy("video_id").applyInPandas(choose, "video_id string, frame_idx long")
+    def shrink(batches):
+        for pdf in batches:
+            small = [downscale(np.frombuffer(g, np.uint8).reshape(h, w)) for h, w, g in zip(pdf["height"], pdf["width"], pdf["gray"])]
+            yield pdf.assign(height=[a.shape[0] for a in small], width=[a.shape[1] for a in small], gray=[np.ascontiguousarray(a).tobytes() for a in small])
+
+    # Frames are shrunk where they lie; a video's small frames are what is gathered.
+    own = frames.select("video_id", "frame_idx", "height", "width", "gray")
+    return own.mapInPandas(shrink, own.schema).groupBy("video_id").applyInPandas(choose, "video_id string, frame_idx long")
 
 
 def frame_counts(chosen: DataFrame) -> DataFrame:

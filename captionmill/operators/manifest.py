@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,27 +34,53 @@ def playlist(kind: Column, entries: Column, source: Column) -> Column:
 def expand(sources: DataFrame) -> DataFrame:
     """Playlists (column ``expanded``, null for single items) put in place of
     their line, one level deep; order kept, ``seq`` renumbered."""
-    each = sources.select("line_no", F.posexplode(F.coalesce("expanded", F.array("source"))).alias("pos", "source"))
-    order = F.row_number().over(Window.orderBy("line_no", "pos")) - 1
-    return each.select(order.cast("long").alias("seq"), "source")
+    n = F.size(F.coalesce("expanded", F.array("source")))
+    dealt = sources.withColumn("n", n).repartitionByRange("line_no").withColumn("part", F.spark_partition_id()).persist()
+    # One row a partition: the running total goes over partitions, not over rows.
+    before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(before, F.lit(0)).alias("offset"))
+    ahead = F.sum("n").over(Window.partitionBy("part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    placed = dealt.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(F.broadcast(offsets), "part")
+    each = placed.select("offset", "ahead", F.posexplode(F.coalesce("expanded", F.array("source"))).alias("pos", "source"))
+    return each.select((F.col("offset") + F.col("ahead") + F.col("pos")).cast("long").alias("seq"), "source")
+
+
+def _fs(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _exists(spark, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
 
 
 def read_manifest(spark, path: str, version: int = 1) -> DataFrame:
     """The manifest at ``path`` (JSON lines with a version), or an empty one if
-    it is missing, broken or of another version: a run then starts afresh."""
+    it is missing, broken or of another version: a run then starts afresh. After
+    a stop within ``write_manifest`` the new manifest is read where it lies."""
+    path = path if _exists(spark, path) or not _exists(spark, f"{path}.new/_SUCCESS") else f"{path}.new"
     empty = spark.createDataFrame([], MANIFEST)
-    try:
-        raw = spark.read.schema(f"version int, {MANIFEST}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
-        fine = raw.where(f"_bad IS NOT NULL OR version IS NULL OR version <> {version} OR source IS NULL OR status IS NULL").isEmpty()
-    except Exception as e:  # Spark has no test for a path across file systems
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not _exists(spark, path):
         return empty
+    raw = spark.read.schema(f"version int, {MANIFEST}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    fine = raw.where(f"_bad IS NOT NULL OR version IS NULL OR version <> {version} OR source IS NULL OR status IS NULL").isEmpty()
     return raw.select("seq", "source", "status", "output_path", "error") if fine else empty
 
 
 def write_manifest(manifest: DataFrame, path: str, version: int = 1) -> None:
-    manifest.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(path)
+    """Write the manifest aside, then put it in place by renames; at every
+    moment either the old or the new one can be read."""
+    spark = manifest.sparkSession
+    (fs, at), new, old = _fs(spark, path), _fs(spark, f"{path}.new")[1], _fs(spark, f"{path}.old")[1]
+    if not fs.exists(at) and fs.exists(_fs(spark, f"{path}.new/_SUCCESS")[1]):
+        fs.rename(new, at)  # an earlier stop
+    manifest.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(at):
+        fs.rename(at, old)
+    fs.rename(new, at)
+    fs.delete(old, True)
 
 
 def reconcile(urls: DataFrame, state: DataFrame) -> DataFrame:
@@ -73,17 +100,41 @@ def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("status").agg(F.count("*").alias("n"))
 
 
-def output_paths(items: DataFrame, folder: str, suffix: str) -> DataFrame:
-    """A path for each item (seq, source, video_id), unique in the run: the
-    second item of one stem gets ``(2)``, and so on. An item whose own stem
-    equals such a numbered one moves on to the next free number."""
-    stems = items.withColumn("stem", output_stem("source", "video_id"))
-    nth = F.row_number().over(Window.partitionBy("stem").orderBy("seq"))
-    first = stems.withColumn("nth", nth)
-    made = first.withColumn("name", F.when(F.col("nth") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("("), F.col("nth"), F.lit(")"))))
-    taken = first.where("nth = 1").select(F.col("stem").alias("name"), F.lit(1).alias("own"))
-    clash = made.join(taken, "name", "left").withColumn("shift", F.when((F.col("nth") > 1) & F.col("own").isNotNull(), 1).otherwise(0))
-    moved = F.sum("shift").over(Window.partitionBy("stem").orderBy("seq"))
-    named = clash.withColumn("n", F.col("nth") + moved)
-    name = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("("), F.col("n"), F.lit(")")))
-    return named.select("seq", "source", F.concat(F.lit(folder + "/"), name, F.lit(suffix)).alias("output_path"))
+def output_paths(items: DataFrame, folder: str, suffix: str, taken: DataFrame | None = None) -> DataFrame:
+    """A path for each item (seq, source, video_id), unique in the run and
+    against ``taken`` (output_path): in the order of ``seq``, an item whose stem
+    is taken gets the first free of ``(2)`` to ``(999)``.
+
+    Only stems alike but for such numbers can meet, so each family of them is
+    numbered by itself; a family of one needs no numbering. Over 999 alike are
+    an error, which bounds a family.
+    """
+    root = lambda c: F.regexp_replace(c, r"(\(\d+\))+$", "")
+    stems = items.withColumn("stem", output_stem("source", "video_id")).withColumn("root", root("stem")).select("seq", "source", "stem", "root")
+    gone = None
+    if taken is not None:
+        ours = taken.where(F.startswith("output_path", F.lit(folder + "/")) & F.endswith("output_path", F.lit(suffix)))
+        gone = ours.select(F.expr(f"substring(output_path, {len(folder) + 2}, length(output_path) - {len(folder) + 1 + len(suffix)})").alias("stem")).withColumn("root", root("stem"))
+    every = stems if gone is None else stems.unionByName(gone, allowMissingColumns=True)
+    family = every.groupBy("root").agg(F.count("*").alias("n"))
+    told = every.join(family, "root")
+    alone = told.where("n = 1 AND seq IS NOT NULL").select("seq", "source", F.col("stem").alias("name"))
+    named = told.where("n > 1").groupBy("root").applyInPandas(_numbered, "seq long, source string, name string")
+    return alone.withColumn("seq", F.col("seq").cast("long")).unionByName(named).select("seq", "source", F.concat(F.lit(folder + "/"), "name", F.lit(suffix)).alias("output_path"))
+
+
+def _numbered(family):
+    """Names of one family; rows without ``seq`` are names taken before the run."""
+    used, out = set(family.loc[family["seq"].isna(), "stem"]), []
+    free: dict[str, int] = {}  # the next number to try for a stem
+    for seq, source, stem in family.loc[family["seq"].notna(), ["seq", "source", "stem"]].sort_values("seq").itertuples(index=False):
+        name, n = stem, free.get(stem, 1)
+        while name in used:
+            n += 1
+            if n > 999:
+                raise ValueError(f"more than 999 items share the name {stem}")
+            name = f"{stem}({n})"
+        free[stem] = n
+        used.add(name)
+        out.append((int(seq), source, name))
+    return pd.DataFrame(out, columns=["seq", "source", "name"])

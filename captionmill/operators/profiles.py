@@ -56,3 +56,14 @@ def resolve(videos: DataFrame) -> DataFrame:
     table has a fixed number of rows, so it is broadcast."""
     named = videos.withColumn("platform", profile_name("requested", "source"))
     return named.join(F.broadcast(profiles(videos.sparkSession)), "platform")
+
+
+def recogniser_models(log: DataFrame) -> DataFrame:
+    """(run, det, rec): the last detection and recognition model that each run
+    says it uses. ``log`` has run, seq and message; other messages are passed over."""
+    name = F.element_at(F.split(F.regexp_extract("message", r"^Using (.+\.onnx)$", 1), r"[/\\\\]"), -1)
+    said = log.select("run", "seq", name.alias("name"))
+    det = F.col("name").rlike(r"[_-]det[_.-]")
+    rec = ~det & F.col("name").rlike(r"[_-]rec[_.-]")
+    last = lambda kind: F.max_by(F.when(kind, F.col("name")), F.when(kind, F.col("seq")))
+    return said.groupBy("run").agg(last(det).alias("det"), last(rec).alias("rec"))

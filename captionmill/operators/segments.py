@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionmill.functions import similarity
-from captionmill.functions.text import canonical_key, cue, overlaps
+from captionmill.functions.text import cue, full_key, overlaps
 from captionmill.schema import BOTH, ON_SCREEN, SPEECH
 
 COLUMNS = ["video_id", "seq", "start", "end", "text", "source", "asr_logprob", "ocr_confidence", "language"]
@@ -42,7 +42,7 @@ def drop_confidence(boxes: DataFrame, least: float = 0.6) -> DataFrame:
 def key_counts(segments: DataFrame) -> DataFrame:
     """Rows per canonical key of the on-screen rows of each video, with the
     first row's seq; empty keys are left out."""
-    keyed = segments.where(F.col("source") == ON_SCREEN).withColumn("key", canonical_key("text"))
+    keyed = segments.where(F.col("source") == ON_SCREEN).withColumn("key", full_key("text"))
     return keyed.where("key <> ''").groupBy("video_id", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
@@ -83,7 +83,7 @@ def drop_recurring(segments: DataFrame, frames: DataFrame, threshold: float = 0.
     total = F.sum("n").over(Window.partitionBy("video_id", "cluster"))
     often = clustered.withColumn("total", total).join(frames, "video_id").where((F.col("frame_count") > 0) & (F.col("frame_count") >= least_frames))
     often = often.where(F.col("total") / F.col("frame_count") >= threshold).select("video_id", "key")
-    keyed = segments.withColumn("key", F.when(F.col("source") == ON_SCREEN, canonical_key("text")))
+    keyed = segments.withColumn("key", F.when(F.col("source") == ON_SCREEN, full_key("text")))
     kept = keyed.join(often, ["video_id", "key"], "left_anti")
     # Rows without any letter share the empty key, which counts on its own.
     blank = keyed.where("key = ''").groupBy("video_id").agg(F.count("*").alias("n")).join(frames, "video_id")
@@ -91,6 +91,12 @@ def drop_recurring(segments: DataFrame, frames: DataFrame, threshold: float = 0.
     return kept.join(blank, ["video_id", "key"], "left_anti").select(*segments.columns)
 
 
+def of_closed_videos(segments: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of the videos that ``ends`` (video_id) names as complete: shares of
+    a video's frames mean nothing before its last frame is in."""
+    return segments.join(ends.select("video_id"), "video_id", "left_semi")
+
+
 # Dedup as gaps and islands ----------------------------------------------------
 
 
@@ -100,10 +106,14 @@ def dedup(segments: DataFrame, threshold: float = 0.85, min_duration: float = 0.
     ``gap`` after that row's end. A cluster has the first row's start, text and
     language, the last row's end and the mean of the known confidences;
     shorter ones than ``min_duration`` go. Speech passes; merged rows do not."""
-    keyed = segments.where(F.col("source") == ON_SCREEN).withColumn("key", canonical_key("text")).where("key <> ''")
+    keyed = segments.where(F.col("source") == ON_SCREEN).withColumn("key", full_key("text")).where("key <> ''")
     run = Window.partitionBy("video_id", "key").orderBy("start", "seq")
     lagged = keyed.withColumn("before", F.lag("text").over(run)).withColumn("before_end", F.lag("end").over(run))
-    same = (ratio(F.col("text"), F.col("before")) >= threshold) & (F.col("start") - F.col("before_end") <= gap)
+    near = F.col("start") - F.col("before_end") <= gap
+    # Equal texts, far ones and those whose lengths rule it out are not compared.
+    open_ = near & (F.col("text") != F.col("before")) & (similarity.ratio_bound("text", "before") >= threshold)
+    alike = ratio(F.when(open_, F.col("text")), F.when(open_, F.col("before"))) >= threshold
+    same = F.coalesce(near & ((F.col("text") == F.col("before")) | (open_ & alike)), F.lit(False))
     broken = F.when(F.col("before").isNull() | ~same, 1).otherwise(0)
     islands = lagged.withColumn("broken", broken).withColumn("island", F.sum("broken").over(run))
     at = F.struct("start", "seq")

@@ -171,17 +171,23 @@ def pattern_filter(spark, d):
     return segments.drop_patterns(load(spark, d, "points"), _profiles_of(spark, d)).select("video_id", "seq", "text")
 
 
+def _frames_read(points) -> DataFrame:
+    """Frames read per video, with text or without: one a second up to its end."""
+    last = points.groupBy("video_id").agg(F.floor(F.max("end")).alias("last"))
+    return frames.frame_counts(last.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame_idx")))
+
+
 _FREQ = f"""k AS (SELECT *, CASE WHEN source = 'ON-SCREEN' THEN {_KEY.format('text')} END AS key FROM {{points}}),
-f AS (SELECT video_id, count(DISTINCT "start") AS frame_count FROM {{points}} GROUP BY 1),
+f AS (SELECT video_id, CAST(floor(max("end")) AS BIGINT) + 1 AS frame_count FROM {{points}} GROUP BY 1),
 c AS (SELECT video_id, CASE WHEN key LIKE '@%' AND length(key) >= 6 THEN substr(key, 2) ELSE key END AS c, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"""WITH {_FREQ} SELECT k.video_id, k.seq, k.text FROM k JOIN f USING (video_id)
-LEFT JOIN c ON c.video_id = k.video_id AND c.c = CASE WHEN key LIKE '@%' AND length(key) >= 6 THEN substr(key, 2) ELSE key END WHERE key IS NULL OR frame_count < 10 OR n / frame_count < 0.2""")
+LEFT JOIN c ON c.video_id = k.video_id AND c.c = CASE WHEN key LIKE '@%' AND length(key) >= 6 THEN substr(key, 2) ELSE key END WHERE key IS NULL OR frame_count < 10 OR n / frame_count < 0.1""")
 def recurrence_filter(spark, d):
     points = load(spark, d, "points")
-    counts = points.groupBy("video_id").agg(F.countDistinct("start").alias("frame_count"))
-    return segments.drop_recurring(points, counts, threshold=0.2, least_frames=10).select("video_id", "seq", "text")
+    counts = _frames_read(points)
+    return segments.drop_recurring(points, counts, threshold=0.1, least_frames=10).select("video_id", "seq", "text")
 
 
 #: Keys are equal, so texts differ in case or by a leading space: their common subsequence is the shorter one.
@@ -350,6 +356,27 @@ def pooled_summary(spark, d):
     return s.withColumns({c: F.round(c, 6) for c in ("recall", "unmatched_rate", "raw_recall")})
 
 
+_LINE = "matched::BIGINT || '/' || expected::BIGINT || ' = ' || printf('%.3f', recall) || ' | ' || printf('%.3f', raw_recall) || ' | ' || printf('%.3f', unmatched_rate) || ' | ' || segments::BIGINT || ' |'"
+
+
+@query(f"""SELECT language, clip, ocr_model_set, '| ' || clip || ' | ' || language || ' | ' || ocr_model_set || ' | ' || {_LINE} AS line FROM (
+  SELECT * REPLACE (CASE WHEN expected > 0 THEN raw_recall ELSE 1.0 END AS raw_recall), CASE WHEN expected > 0 THEN matched / expected ELSE 1.0 END AS recall, unmatched / segments AS unmatched_rate FROM {{records}})""")
+def clip_table(spark, d):
+    return evaluation.clip_table(load(spark, d, "records"))
+
+
+@query(f"WITH {_SUM} SELECT language, ocr_model_set, '| ' || language || ' | ' || ocr_model_set || ' | ' || clips || ' | ' || {_LINE} AS line FROM r")
+def language_table(spark, d):
+    return evaluation.language_table(evaluation.summarize(load(spark, d, "records")))
+
+
+@query("""WITH l AS (SELECT user_id % 20 AS run, event_id AS seq, CASE event_id % 5 WHEN 0 THEN concat('Using /m/', event_type, '_det_v', event_id % 7, '.onnx') WHEN 1 THEN concat('Using /m/x/', event_type, '-rec.', event_id % 9, '.onnx') WHEN 2 THEN concat('loading /m/', event_type, '_det_1.onnx') WHEN 3 THEN 'Using cls.onnx' END AS m FROM events)
+SELECT run, arg_max(regexp_extract(m, '([^/]+)$', 1), seq) FILTER (m LIKE 'Using%' AND m LIKE '%_det_%') AS det, arg_max(regexp_extract(m, '([^/]+)$', 1), seq) FILTER (m LIKE 'Using%' AND m LIKE '%-rec.%') AS rec FROM l GROUP BY run""")
+def recogniser_models(spark, d):
+    log = load(spark, d, "events").selectExpr("user_id % 20 AS run", "event_id AS seq", "CASE event_id % 5 WHEN 0 THEN concat('Using /m/', event_type, '_det_v', event_id % 7, '.onnx') WHEN 1 THEN concat('Using /m/x/', event_type, '-rec.', event_id % 9, '.onnx') WHEN 2 THEN concat('loading /m/', event_type, '_det_1.onnx') WHEN 3 THEN 'Using cls.onnx' END AS message")
+    return profiles.recogniser_models(log)
+
+
 @query("""SELECT ocr_model_set, round(sum(matched) / sum(expected), 6) AS recall FROM {records} GROUP BY 1 HAVING sum(expected) > 0""")
 def overall_recall(spark, d):
     return evaluation.overall_recall(evaluation.summarize(load(spark, d, "records"))).withColumn("recall", F.round("recall", 6))
@@ -421,7 +448,7 @@ def list_lines(spark, d):
 def transcript_chain(spark, d):
     """Pattern filter, recurrence filter, dedup and merge, in this order."""
     points = load(spark, d, "points")
-    counts = points.groupBy("video_id").agg(F.countDistinct("start").alias("frame_count"))
+    counts = _frames_read(points)
     shown = segments.drop_recurring(segments.drop_patterns(points, _profiles_of(spark, d)), counts)
     told = segments.dedup(shown.where(F.col("source") == "ON-SCREEN"))
     return segments.merge(points.where("source = 'SPEECH'").select(*segments.COLUMNS), told)

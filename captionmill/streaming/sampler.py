@@ -14,10 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from captionmill.functions.similarity import indel
-from captionmill.functions.text import canonical_key
+from captionmill.functions.text import full_key
 from captionmill.operators.frames import Selector, downscale, max_gap
 
 
@@ -48,34 +49,66 @@ def scene_change_stream(frames: DataFrame, threshold: float = 0.05, fps: float =
     return frames.groupBy("video_id").applyInPandasWithState(step, "video_id string, frame_idx long", "own binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def dedup_stream(points: DataFrame, threshold: float = 0.85, gap: float = 2.0) -> DataFrame:
-    """Clusters of on-screen rows (video_id, seq, start, end, text, at), closed
+CLUSTER = "video_id string, seq long, start double, end double, text string, ocr_confidence double, language string, n long"
+_OPEN = "seq long, start double, end double, text string, known double, n_known long, language string, n long, last string"
+
+
+def dedup_stream(points: DataFrame, threshold: float = 0.85, gap: float = 2.0, min_duration: float = 0.0) -> DataFrame:
+    """Clusters of on-screen rows (seq, start, text and language of the first
+    row, end of the last, mean of the known confidences, number of rows), closed
     as soon as a row breaks them or the watermark on ``at`` (a timestamp of
-    ``start``) passes their end by more than ``gap`` seconds."""
+    ``start``) passes their end by more than ``gap`` seconds. Clusters shorter
+    than ``min_duration`` go. ``points`` has video_id, seq, start, end, text,
+    ocr_confidence, language and ``at``; the last clusters of a video follow
+    when rows of any video move the watermark beyond them."""
 
-    def closed(key: tuple, c: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *c[:3], c[3])], columns=["video_id", "start", "end", "text", "n"])
+    def closed(key: tuple, open_: list) -> pd.DataFrame:
+        rows = [(key[0], *c[:4], c[4] / c[5] if c[5] else None, *c[6:8]) for c in open_ if c[2] - c[1] >= min_duration]
+        out = pd.DataFrame(rows, columns=["video_id", "seq", "start", "end", "text", "ocr_confidence", "language", "n"])
+        return out.astype({"ocr_confidence": "float64"})
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             c = state.get
             state.remove()
-            yield closed(key, c)
+            yield closed(key, [c])
             return
-        c = state.get if state.exists else None
+        c, done = (state.get if state.exists else None), []
         rows = pd.concat(list(batches)).sort_values(["start", "seq"], kind="stable")
-        for start, end, text in zip(rows["start"], rows["end"], rows["text"]):
-            if c is not None and start - c[1] <= gap and indel(text.lower(), c[4].lower()) >= threshold:
-                c = (c[0], float(end), c[2], c[3] + 1, text)
+        for seq, start, end, text, own, language in zip(rows["seq"], rows["start"], rows["end"], rows["text"], rows["ocr_confidence"], rows["language"]):
+            known = 0 if own is None or own != own else 1
+            if c is not None and start - c[2] <= gap and indel(text.lower(), c[8].lower()) >= threshold:
+                c = (*c[:2], float(end), c[3], c[4] + (own if known else 0.0), c[5] + known, c[6], c[7] + 1, text)
                 continue
-            if c is not None:
-                yield closed(key, c)
-            c = (float(start), float(end), text, 1, text)
+            done += [] if c is None else [c]
+            c = (int(seq), float(start), float(end), text, float(own) if known else 0.0, known, language, 1, text)
         state.update(c)
-        state.setTimeoutTimestamp(max(int((c[1] + gap) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int((c[2] + gap) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield closed(key, done)
+
+    keyed = points.withColumn("key", full_key("text")).where("key <> ''")
+    return keyed.groupBy("video_id", "key").applyInPandasWithState(step, CLUSTER, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def closed_video_stream(points: DataFrame) -> DataFrame:
+    """Rows of a video, held until its row with ``is_end`` (which carries no
+    text of its own) is in, and given on together with ``frame_count``, the
+    number of its frames: the whole video that a recurrence filter needs."""
+    kept = T.StructType([f for f in points.schema if f.name not in ("is_end", "frame_count")])
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([*(pickle.loads(state.get[0]) if state.exists else []), *batches])
+        over = rows[rows["is_end"].fillna(False).astype(bool)]
+        if not len(over):
+            state.update((pickle.dumps([rows]),))
+            return
+        if state.exists:
+            state.remove()
+        own = rows[~rows["is_end"].fillna(False).astype(bool)]
+        yield own.drop(columns="is_end").assign(frame_count=int(over["frame_count"].iloc[-1]))
 
-    keyed = points.withColumn("key", canonical_key("text")).where("key <> ''")
-    return keyed.groupBy("video_id", "key").applyInPandasWithState(step, "video_id string, start double, end double, text string, n long", "start double, end double, text string, n long, last string", "append", GroupStateTimeout.EventTimeTimeout)
+    schema = T.StructType([*kept, T.StructField("frame_count", T.LongType())])
+    return points.groupBy("video_id").applyInPandasWithState(step, schema, "own binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def resume_items(spark, folder: str, checkpoint: str, handle) -> None:

@@ -264,11 +264,21 @@ def test_manifest(spark, tmp_path):
     state = spark.createDataFrame([(0, "a", "done", "o/a", None), (1, "a", "failed", None, "x"), (2, "gone", "done", None, None)], schema.MANIFEST)
     manifest.write_manifest(state, path)
     assert manifest.read_manifest(spark, path).count() == 3 and manifest.read_manifest(spark, path, version=2).count() == 0
+    import os
+
+    os.rename(path, f"{path}.new")  # a stop between the two renames
+    assert manifest.read_manifest(spark, path).count() == 3
+    manifest.write_manifest(state.limit(2), path)
+    assert manifest.read_manifest(spark, path).count() == 2
+    manifest.write_manifest(state, path)
     urls = spark.createDataFrame([(0, "b"), (1, "a")], "seq long, source string")
     rows = manifest.reconcile(urls, manifest.read_manifest(spark, path)).orderBy("seq").collect()
     assert [(r["source"], r["status"]) for r in rows] == [("b", "pending"), ("a", "done")]
     items = spark.createDataFrame([(i, s, None) for i, s in enumerate(["x.mp4", "d/x.mkv", "x(2).mp4", "e/x.avi"])], "seq long, source string, video_id string")
-    assert [r["output_path"] for r in manifest.output_paths(items, "o", ".md").orderBy("seq").collect()] == ["o/x.md", "o/x(3).md", "o/x(2).md", "o/x(4).md"]
+    assert [r["output_path"] for r in manifest.output_paths(items, "o", ".md").orderBy("seq").collect()] == ["o/x.md", "o/x(2).md", "o/x(2)(2).md", "o/x(3).md"]
+    taken = spark.createDataFrame([("o/x.md",), ("o/x(3).md",), ("p/x(4).md",), ("o/y.txt",)], "output_path string")
+    more = items.unionByName(spark.createDataFrame([(4, "y.mp4", None)], items.schema))
+    assert [r["output_path"] for r in manifest.output_paths(more, "o", ".md", taken).orderBy("seq").collect()] == ["o/x(2).md", "o/x(4).md", "o/x(2)(2).md", "o/x(5).md", "o/y.md"]
     lists = spark.createDataFrame([("l", "﻿http://a\r\n\n  b  c\x1d")], "path string, value string")
     assert [r["source"] for r in manifest.parse_list(lists).orderBy("line_no").collect()] == ["http://a", "b", "c"]
 
@@ -323,14 +333,45 @@ def test_streams(spark, tmp_path):
 def test_dedup_stream(spark, tmp_path):
     from captionmill.streaming import sampler
 
-    rows = [("v", 0, 100.0, 100.0, "Hi"), ("v", 1, 101.0, 101.0, "hi"), ("v", 2, 109.0, 109.0, "hi"), ("v", 3, 130.0, 130.0, "other")]
-    data = spark.createDataFrame(rows, "video_id string, seq long, start double, end double, text string")
-    data.coalesce(1).write.parquet(str(tmp_path / "points"))
-    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "points")).withColumn("at", F.timestamp_seconds("start")).withWatermark("at", "0 seconds")
-    q = sampler.dedup_stream(stream).writeStream.format("memory").queryName("clusters").outputMode("append").trigger(once=True).start()
+    rows = [("v", 0, 100.0, 100.0, "Hi", 0.5, "en"), ("v", 1, 101.0, 101.0, "hi", None, "de"), ("v", 2, 109.0, 109.0, "hi", None, None), ("v", 3, 130.0, 130.0, "other", 0.9, "en")]
+    later = [("w", 0, 900.0, 900.0, "late", None, None)]
+    kinds = "video_id string, seq long, start double, end double, text string, ocr_confidence double, language string"
+    for i, part in enumerate((rows, later)):
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(str(tmp_path / "points" / f"n={i}"))
+    for name, shortest in (("clusters", 0.0), ("long_clusters", 0.5)):
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "points" / "*")).withColumn("at", F.timestamp_seconds("start")).withWatermark("at", "0 seconds")
+        q = sampler.dedup_stream(stream, min_duration=shortest).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    told = lambda name: sorted((r["seq"], r["start"], r["end"], r["text"], r["ocr_confidence"], r["language"], r["n"]) for r in spark.table(name).where("video_id = 'v'").collect())
+    # The later row moves the watermark, so the last clusters of the first video follow.
+    assert told("clusters") == [(0, 100.0, 101.0, "Hi", 0.5, "en", 2), (2, 109.0, 109.0, "hi", None, None, 1), (3, 130.0, 130.0, "other", 0.9, "en", 1)]
+    assert told("long_clusters") == [(0, 100.0, 101.0, "Hi", 0.5, "en", 2)]
+
+
+def test_closed_videos(spark, tmp_path):
+    from captionmill.streaming import sampler
+
+    kinds = "video_id string, seq long, text string, is_end boolean, frame_count long"
+    for i, part in enumerate(([("v", 0, "a", False, None), ("w", 0, "b", False, None)], [("v", 1, "c", None, None), ("v", 2, None, True, 7)])):
+        spark.createDataFrame(part, kinds).coalesce(1).write.parquet(str(tmp_path / "points" / f"n={i}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "points" / "*"))
+    q = sampler.closed_video_stream(stream).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
-    # The last cluster of a stream stays open until a later row moves the watermark.
-    assert (100.0, 101.0, "Hi", 2) in {(r["start"], r["end"], r["text"], r["n"]) for r in spark.table("clusters").collect()}
+    assert sorted(map(tuple, spark.table("closed").collect())) == [("v", 0, "a", 7), ("v", 1, "c", 7)]
+    rows = spark.createDataFrame([("v", 1), ("w", 1)], "video_id string, seq long")
+    assert [r["video_id"] for r in segments.of_closed_videos(rows, spark.createDataFrame([("v",)], "video_id string")).collect()] == ["v"]
+
+
+def test_report_tables_and_models(spark):
+    records = spark.createDataFrame([("c", "en", "a", 3, 2, 8, 1, 0.5), ("d", "en", "a", 0, 0, 0, 0, 0.0)], "clip string, language string, ocr_model_set string, expected long, matched long, segments long, unmatched long, raw_recall double")
+    lines = [r["line"] for r in evaluation.clip_table(records).orderBy("language", "clip", "ocr_model_set").collect()]
+    assert lines == ["| c | en | a | 2/3 = 0.667 | 0.500 | 0.125 | 8 |", "| d | en | a | 0/0 = 1.000 | 1.000 | 0.000 | 0 |"]
+    assert [r["line"] for r in evaluation.language_table(evaluation.summarize(records)).collect()] == ["| en | a | 2 | 2/3 = 0.667 | 0.500 | 0.125 | 8 |"]
+    stats = spark.createDataFrame([("v", "b", 2), ("v", "a", 2), ("v", "c", 5)], "video_id string, canonical_text string, occurrence_count long")
+    assert [r["canonical_text"] for r in evaluation.by_frequency(stats).collect()] == ["c", "a", "b"]
+    log = [(1, 0, "Using /m/a_det_1.onnx"), (1, 1, "Using C:\\m\\b-rec.2.onnx"), (1, 2, "using /m/z_det_.onnx"), (1, 3, "Using /m/c_det_3.onnx"), (2, 0, "hello")]
+    got = {r["run"]: (r["det"], r["rec"]) for r in profiles.recogniser_models(spark.createDataFrame(log, "run long, seq long, message string")).collect()}
+    assert got == {1: ("c_det_3.onnx", "b-rec.2.onnx"), 2: (None, None)}
 
 
 def test_resume(spark, tmp_path):
