@@ -9,7 +9,7 @@ estimate and half the product of its children's, and prediction mixes the
 estimates along the path by the resulting posterior weights.
 
 Every gram of DEPTH + 1 bytes takes part. Documents are dealt into blocks by a
-hash of the id, and each block sends its distinct grams once, packed, with
+hash of id and text, and each block sends its distinct grams once, packed, with
 their counts in training texts. They go to buckets by their nearest ``SPLIT``
 context bytes, so that a bucket holds whole subtrees below that depth. A first
 pass over the buckets sums what the nodes above need, which the byte alphabet
@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
@@ -356,24 +356,26 @@ def score(docs: DataFrame, learn, block_bytes: int = 8_000_000) -> DataFrame:
 
     A null text counts as empty: one end token. Without training rows nothing
     is known, and each binary decision has probability one half. Repeated rows
-    are learnt and scored each; a null doc_id is scored like any other.
+    are learnt and scored each, in one block; a null doc_id is scored like any
+    other. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = internal(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("learn", F.coalesce(learn(F.col("doc_id")), F.lit(False)))
     blocks = -(-(rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 1) // block_bytes)
     buckets = -(-blocks // 4)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
     asks = stored(dealt.groupBy("block").applyInArrow(_block_asks(buckets), "block int, word long, n long, bucket int, grams binary, counts binary"), "lm-asks")
     asked = asks.where("bucket IS NOT NULL").select("block", "bucket", "grams", "counts").groupBy("bucket")
     sums = asked.applyInArrow(_bucket_top, "product boolean, key long, value double").groupBy("product", "key").agg(F.sum("value").alias("value"))
     top = spark.sparkContext.broadcast(_top(sums.toArrow()).pack())
     values = asked.applyInArrow(_bucket_values(top), "block int, bucket int, scores binary")
-    whole = Window.partitionBy("word")
-    vocabulary = asks.where("bucket IS NULL").select("block", "word", "n").withColumn("c", F.sum("n").over(whole)).select("block", "word", "n", "c", (F.min("block").over(whole) == F.col("block")).alias("first"))
-    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("first") & (F.col("c") > 0)).alias("v"))
-    totals = sums.select("train_tokens", "v", F.explode(F.sequence(F.lit(0), F.lit(int(blocks) - 1))).alias("block"))
+    words = asks.where("bucket IS NULL").select("block", "word", "n")
+    # A common word has a row in every block: it is summed before it is exchanged, and the join back can be split.
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    train_tokens, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    vocabulary = words.select("block", "word").join(counts, "word")
     told = vocabulary.select("block", "word", "c").unionByName(values, allowMissingColumns=True)
     scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_block_scorer(buckets), "block int, doc_id long, n_tokens long, n_known long, n_bytes long, log_counts double, score double")
-    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("v") + 1)
-    return scored.join(totals, "block").select("doc_id", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score", "n_bytes", (-F.col("score") / (F.col("n_bytes") * math.log10(2))).alias("bits_per_byte"))
+    base = F.col("log_counts") - F.col("n_tokens") * math.log10(train_tokens + v + 1)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / (F.col("n_bytes") * math.log10(2))).alias("bits_per_byte"))
