@@ -453,6 +453,83 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def plain_bayes(train, asked):
+    """(language, posterior) by dictionaries, one character after another."""
+    prime, full = 2654435761, 1 << 32
+
+    def found(text):
+        t = " " + re.sub(r"[\W\d_]+", " ", text.lower()) + " "
+        ones = [(ord(c) + 1) * prime % full for c in t]
+        twos = [ones[0]] + [(a * 31 + b + 7) * prime % full for a, b in zip(ones, ones[1:])]
+        threes = [ones[0], twos[1]] + [(a * 131 + b + 13) * prime % full for a, b in zip(twos[1:], ones[2:])]
+        return collections.Counter(h >> 16 for hs in (ones, twos, threes) for h in hs)
+
+    counts = collections.defaultdict(collections.Counter)
+    for text, lang in train:
+        counts[lang].update(found(text))
+    out = []
+    for text in asked:
+        bag = found(text)
+        logs = {k: sum(n * math.log((c[g] + 0.5) / (c.total() + 0.5 * langid.BUCKETS)) for g, n in bag.items()) / 3 for k, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        out.append((best, 1 / sum(math.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def test_language_id_equals_plain_counts(spark):
+    rng = random.Random(61)
+    rows = [(i, prose(rng, rng.randrange(1, 9)) + rng.choice(["", " schön ß", " çà et là", " 中文"]), rng.choice(["en", "de", "fr"]), "a") for i in range(120)]
+    rows += [(5, rows[5][1], "de", "a"), (5, rows[5][1], "de", "a"), (700, None, "en", "a"), (701, "12 !", "en", "a")]
+    model = langid.train(table(spark, rows))
+    asked = [t for _, t, *_ in rows[:120]]
+    want = plain_bayes([(t, lang) for _, t, lang, _ in rows if t], asked)
+    best, top = model.scores(asked)
+    assert [model.langs[b] for b in best] == [k for k, _ in want]
+    assert np.allclose(top, [p for _, p in want], atol=1e-3)
+    assert langid.predict(table(spark, []), model).count() == 0
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(table(spark, [(i, "text", f"l{i}", "a") for i in range(langid.MAX_LANGUAGES + 1)]))
+
+
+def test_every_query_on_odd_tables(spark, tmp_path):
+    from captionmill.llm import queries
+
+    rows = odd_rows() + [(10, "another text under one id", None, None)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "one two"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, i % 2, i % 3 and None) for i in range(20)] + [(None, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, query in queries.queries().items():
+        got = query(spark, str(tmp_path))
+        if name == "op3_token_rollup":
+            assert got.agg(F.sum("n_docs")).first()[0] == len(rows)
+        elif name != "pipeline":
+            assert got.count() == len(rows), name
+
+
+def test_worker_memories_make_room():
+    from captionmill.llm import common
+    from captionmill.llm.encoding import piece_encoder
+
+    piece_encoder(tokenizer_path())
+    common.make_room(piece_encoder)
+    assert piece_encoder.cache_info().currsize == 1
+    common.make_room()
+    assert piece_encoder.cache_info().currsize == 0
+
+
+def test_a_chunk_whose_words_disagree_is_repaired(tok):
+    """An encoder that sees words in context: no chunk may be trusted, the text still comes out whole."""
+
+    class Odd(PieceEncoder):
+        def encode(self, texts, block=0):
+            own = [[len(t) % 7, *self.tokenizer.encode(t, add_special_tokens=False).ids] for t in texts]
+            return np.array([i for ids in own for i in ids], self.vocab.dtype), np.cumsum([0, *map(len, own)])
+
+    text = prose(random.Random(3), 400)
+    (got,) = chunks.ChunkEncoder(Odd(tokenizer_path()), bits=3, least=4, most=64).encode([text])
+    assert np.frombuffer(got, "<u2").tolist() == [len(text) % 7, *tok.encode(text, add_special_tokens=False).ids]
+
+
 def brute_components(rows, percent):
     def shingles(t):
         w = (t or "").encode().lower().split()
