@@ -245,10 +245,16 @@ def rendered_transcripts(spark, d):
     return body("txt").join(body("srt"), "video_id").join(body("md"), "video_id")
 
 
-@query()
+@query("""SELECT video_id, arg_min(language, seq) AS language, count(*) AS n_segments, md5(string_agg(concat_ws('~', text, source, language), '|' ORDER BY seq)) AS rows_md5, sum("start" + "end") AS total, count(*) FILTER (asr_logprob IS NULL) AS n_null FROM {turns} GROUP BY video_id""")
 def rendered_json(spark, d):
+    """The JSON documents, read back."""
     turns = load(spark, d, "turns")
-    return sinks.render(turns, "json", turns.groupBy("video_id").agg(F.min_by("language", "seq").alias("language")))
+    bodies = sinks.render(turns, "json", turns.groupBy("video_id").agg(F.min_by("language", "seq").alias("language")))
+    told = bodies.select("video_id", F.from_json("body", "segments array<struct<start:double,end:double,text:string,source:string,asr_logprob:double,ocr_confidence:double,language:string>>, language string").alias("j")).select("video_id", "j.*")
+    return told.select(
+        "video_id", "language", F.size("segments").cast("long").alias("n_segments"), F.expr("md5(array_join(transform(segments, s -> concat_ws('~', s.text, s.source, s.language)), '|'))").alias("rows_md5"),
+        F.expr("aggregate(segments, cast(0 AS double), (t, s) -> t + s.start + s.end)").alias("total"), F.expr("cast(size(filter(segments, s -> s.asr_logprob IS NULL)) AS long)").alias("n_null"),
+    )
 
 
 _ANSWER = "CASE seq % 5 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(text, text, text) WHEN 3 THEN concat(text, 'z', chr(13)) ELSE text END"
