@@ -73,6 +73,20 @@ def test_languages(spark):
     assert row(s="classic", lang="arabic", rec_version="PP-OCRv6")["error"] and row(s="classic", lang="en", det_type="tiny")["error"]
 
 
+#: Boxes on screen and in reading order: Hebrew and Latin letters, Western and Arabic digits, marks.
+ORDERS = """x y z > x y z | 7 8 > 7 8 | 你 世 7 > 你 世 7 | ב א > א ב | ב 7 א > א 7 ב | x y ב א > א ב x y | ג 8 7 ב > ב 7 8 ג | u v ג x y ב > ב x y ג u v
+| : x א > א x : | ב ! x א > א x ! ב | : x 7 א > א x 7 : | x y 7 א > א x y 7 | ٣ x א > א x ٣ | y ٣ x א > א x ٣ y | x א y z > x א y z | x א y 7 > x א y 7
+| x ב א y > x א ב y | x 7 א y > x א 7 y | x 8 7 א y > x א 7 8 y | x ב 7 א y > x א 7 ב y | x א ٣ y > x ٣ א y | x א ! ٣ y > x ٣ ! א y | x א 7 y > x א 7 y
+| x א y ! > x א y ! | x א y ב z > x א y ב z | x 7 א > א x 7 | x 8 7 א > א x 8 7 | x ב א > א ב x | y א x > y א x"""
+
+
+def test_reading_orders(spark):
+    rows = [tuple(side.split() for side in row.split(" > ")) for row in ORDERS.replace("\n", " ").split(" | ")] + [([], [])]
+    assert [bidi.order(a) for a, _ in rows] == [b for _, b in rows]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select(bidi.in_reading_order(F.col("a")).alias("o"), "b").collect()
+    assert [r["o"] for r in got] == [r["b"] for r in got]
+
+
 def test_reading_order():
     ar, he = "مرحبا", "שלום"
     assert bidi.order(["Hello", "2024"]) == ["Hello", "2024"]
