@@ -17,27 +17,34 @@ from captionmill.llm.queries import tokenizer_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a clear language go."""
+    """Documents without a letter (nulls and empty texts too) or without a clear
+    language go. Repeated rows are judged alike; an empty table stays empty."""
     return langid.keep_known(docs, langid.train(langid.training_rows(docs)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier one go; a document goes when no word is left."""
+    """Lines like an earlier one go; a document goes when no word is left. Null and
+    empty texts and rows without a doc_id stay as they are; repeated rows come
+    out alike; texts that share a doc_id are documents of their own."""
     return linededup.without_repeated_lines(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates, that of the least id, stays;
+    of rows alike in id and text one. Texts without a word and rows without a
+    doc_id all stay."""
     return neardup.without_near_duplicates(docs, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, each row judged by its
+    text. Null and empty texts stay; an empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the ids and the digests of ids and decoded text."""
+    """doc_id, n_tokens, the ids and the digests of ids and decoded text of every
+    row; null and empty texts have no ids."""
     done = chunks.encode_documents(docs, tokenizer_path(), outputs=("ids_le",))
     return done.select("doc_id", "n_tokens", "ids_le", "ids_sha256", "decoded_sha256")
 
