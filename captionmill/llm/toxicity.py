@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from captionmill.llm.chunks import _slices
 from captionmill.llm.common import internal, make_room, stored, word_numbers
+from captionmill.llm.ctw import _pack, _unpack
 from captionmill.llm.decontaminate import _FOLD
 
 BLOCK, LONG, FLOOR = 64, 1024, 0.05
@@ -64,6 +65,21 @@ class Index:
     blank: float  # score of texts without a word of the vocabulary
     curve: tuple[float, float] = (1.0, 0.0)
 
+    def __getstate__(self) -> dict:
+        """The fields alone, the entries compressed: what a broadcast writes to
+        every executor's disk."""
+        own = {f.name: getattr(self, f.name) for f in dataclasses.fields(self)}
+        return own | {"terms": _pack(np.diff(self.terms.astype(np.int64), prepend=0)), "weights": _pack(self.weights.astype(np.float32))}
+
+    def __setstate__(self, own: dict) -> None:
+        self.__dict__.update(own | {"terms": np.cumsum(_unpack(own["terms"], np.int64)), "weights": _unpack(own["weights"], np.float32)})
+
+    def shared(self, spark):
+        """One broadcast of this index, made once."""
+        if not hasattr(self, "_told"):
+            self._told = spark.sparkContext.broadcast(self)
+        return self._told
+
     def lists(self) -> Index:
         """Build the inverted lists, once for each process."""
         if not hasattr(self, "start"):
@@ -273,6 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_char
 
     rows = sample.select("doc_id", "label", "text").mapInArrow(vectors, "doc_id long, label int, terms array<int>, weights array<float>").orderBy("doc_id").toArrow()
     index = _laid_out(empty, rows)
+    known.destroy()
+    told.destroy()
     if len(index.ids) > 1 and 0 < index.labels.sum() < len(index.labels):
         index.curve = _calibrated(sample, index)
     return index
@@ -281,7 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_char
 def _laid_out(empty: Index, rows: pa.Table) -> Index:
     size = np.array([len(x) for x in rows["terms"]], int)
     terms, weights = (np.concatenate([c.values.to_numpy() if not c.offset else c.flatten().to_numpy() for c in rows[x].chunks] or [np.zeros(0)]) for x in ("terms", "weights"))
-    terms, weights = terms.astype(int), weights.astype(np.float32)
+    by_term = np.lexsort((terms, np.repeat(np.arange(len(size)), size)))
+    terms, weights = terms[by_term].astype(int), weights[by_term].astype(np.float32)
     y, ids, full = rows["label"].to_numpy().astype(float), rows["doc_id"].to_numpy(), size > 0
     order = np.flatnonzero(full)[layout(size[full], terms, weights, len(empty.words))]
     place = _spread((np.cumsum(size) - size)[order], size[order])
@@ -290,7 +309,7 @@ def _laid_out(empty: Index, rows: pa.Table) -> Index:
 
 
 def _calibrated(sample: DataFrame, index: Index) -> tuple[float, float]:
-    told = sample.sparkSession.sparkContext.broadcast(index)
+    told = index.shared(sample.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -312,11 +331,12 @@ def score(docs: DataFrame, index: Index, evidence: int = 3) -> DataFrame:
     without a word of any example, get the label rate of the examples without
     a word, and no evidence. An empty table gives an empty result.
     """
-    told = docs.sparkSession.sparkContext.broadcast(index)
+    told, curve = index.shared(docs.sparkSession), index.curve
 
     def run(batches):
         make_room()
         own = told.value
+        own.curve = curve  # fitted after the index was sent
         for batch in batches:
             for part in _slices(batch, 2_000_000, 1):
                 p, top, who = own.scores(part.column(1).cast(pa.large_string()))
