@@ -59,3 +59,25 @@ c AS (SELECT u AS doc_id, min(least(u, v)) AS c FROM reach GROUP BY u)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, w.doc_id) AS component_id, w.doc_id = coalesce(c.c, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+OP11 = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS a FROM grams GROUP BY lang, k, g),
+n AS (SELECT lang, cast(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cuts AS MATERIALIZED (SELECT *, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:k], ' ') AS tail FROM (SELECT lang, k, g, a, w, unnest(range(1, k)) AS cut FROM cand)),
+heads AS MATERIALIZED (SELECT c.*, f.a AS l FROM cuts c JOIN f ON f.lang = c.lang AND f.g = c.head),
+scored AS MATERIALIZED (
+  SELECT c.*, f.a AS r, cast(1000000 * c.a::HUGEINT * c.a // (l::HUGEINT * f.a) AS BIGINT) AS score FROM heads c JOIN f ON f.lang = c.lang AND f.g = c.tail),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, g ORDER BY score, cut) = 1),
+around AS (SELECT lang, g, max(a) AS most FROM (
+  SELECT lang, a, array_to_string(w[1:2], ' ') AS g FROM cand WHERE k = 3 UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE k = 3) GROUP BY lang, g),
+kept AS (SELECT least.* FROM least LEFT JOIN around ON least.k = 2 AND least.lang = around.lang AND least.g = around.g WHERE most IS NULL OR 100 * most < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionmill.llm import chunks, ctw, decontaminate, hostrules, langid, linededup, neardup, oracles, records, rollups, toxicity
+from captionmill.llm import chunks, collocations, conversations, ctw, decontaminate, hostrules, langid, linededup, neardup, oracles, quality, records, rollups, toxicity
 from captionmill.llm.common import fold_of, scratch, stored, table
 
 
@@ -95,6 +97,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", (fold_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), min_count=10, longest=3, top=2000)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold_of(labels["doc_id"], 4) != 2))
+    told = quality.score(docs, model, least=0.7)
+    return told.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage, with the digest of its repaired turns; one
+    that lost all its rows has zeros, an empty audit and the empty string's digest."""
+    given = table(spark, sf_dir, "conversations")
+    rows = conversations.damage(given)
+    seen = stored(conversations.inspect(rows), "inspected")
+    sha = conversations.digests(conversations.repaired(rows, seen))
+    out = conversations.one_row_each(given.select("conv_id").distinct(), seen, sha)
+    figures = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    whole = out.na.fill(0, figures).na.fill("", ["audit"]).na.fill(hashlib.sha256().hexdigest(), ["repaired_sha256"])
+    return whole.select("conv_id", *figures, "audit", "repaired_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,8 +128,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_records, op2_line_dedup, op3_token_rollup, op4_lm_scores, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_token_records, op2_line_dedup, op3_token_rollup, op4_lm_scores, op5_decontamination, op6_host_rules, op7_language_id, op8_bpe_chunks, op9_near_duplicates, op10_toxicity, op11_collocations, op12_quality, op13_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9}
+    return {"op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9, "op11_collocations": oracles.OP11}
