@@ -131,18 +131,18 @@ def leading(ids: list[np.ndarray]) -> np.ndarray:
 
 def packed(ids: list[np.ndarray]) -> np.ndarray:
     """Keys as rows of big-endian bytes."""
-    return np.stack([leading(ids), *ids[1:]], axis=1).astype(">u8").view(np.uint8).reshape(len(ids[0]), -1)
+    return np.stack([leading(ids), *ids[1:]], axis=1).astype(">u8").view(np.uint8).reshape(-1, 8 * len(ids))
 
 
 def unpacked(keys: np.ndarray) -> list[np.ndarray]:
-    own = [np.ascontiguousarray(c) for c in keys.reshape(len(keys), -1).copy().view(">u8").astype(np.uint64).reshape(len(keys), -1).T]
+    own = [np.ascontiguousarray(c) for c in np.ascontiguousarray(keys).view(">u8").astype(np.uint64).T]
     own[0] = leading(own)
     return own
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
     """The order of fixed-width byte keys, 16 bits a pass from the last to the first."""
-    digits = keys.reshape(len(keys), -1).view(">u2").astype(np.uint16)
+    digits = np.ascontiguousarray(keys).view(">u2").astype(np.uint16)
     order = np.arange(len(keys), dtype=np.int64)
     for d in reversed(range(digits.shape[1])):
         order = order[np.argsort(digits[order, d], kind="stable")]  # numpy's stable sort of 16-bit numbers is a radix sort
@@ -181,7 +181,7 @@ def _phrases(size: int, seed: int, ranges: int, words, pairs):
                 numbers = numbers.astype(np.uint64)
             _, one, n = np.unique(numbers * np.uint64(max(len(names), 1)) + which[at + size - 1].astype(np.uint64), return_index=True, return_counts=True)
             keys = packed([ids[which[at[one] + k]] for k in range(size)])
-            top = np.ascontiguousarray(keys[:, :8]).view(">u8").astype(np.uint64).reshape(-1)
+            top = np.ascontiguousarray(keys[:, :8]).view(">u8").astype(np.uint64)[:, 0]
             order = np.argsort(top)
             part = (top[order] >> shift).astype(np.int64) if ranges else np.zeros(len(top), np.int64)
             cut = np.flatnonzero(np.diff(part, prepend=-1))
@@ -203,8 +203,8 @@ def _summed(size: int, least: int):
         all_keys = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 8 * size)
         keys, n = run_lengths(all_keys, np.frombuffer(b"".join(counts), "<i4").astype(np.int64))
         keys, n = keys[n >= least], n[n >= least]
-        ids = unpacked(keys) if len(keys) else [np.zeros(0, np.uint64)] * size
-        lead = leading(ids) if len(keys) else ids[0]
+        ids = unpacked(keys)
+        lead = leading(ids)
         for i in range(0, len(n), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].view(np.int64)) for x in (lead, *ids)] + [pa.array(n[i : i + 100_000])], names=["lead", *names, "n"])
 

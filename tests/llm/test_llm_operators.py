@@ -498,11 +498,14 @@ def test_every_query_on_odd_tables(spark, tmp_path):
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "one two"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(i, i % 2, i % 3 and None) for i in range(20)] + [(None, 1, 1)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 0, "user", "Hello."), (None, None, None, None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     for name, query in queries.queries().items():
         got = query(spark, str(tmp_path))
         if name == "op3_token_rollup":
             assert got.agg(F.sum("n_docs")).first()[0] == len(rows)
-        elif name != "pipeline":
+        elif name == "op13_conversation_repair":
+            assert got.count() == 2
+        elif name not in ("pipeline", "op11_collocations"):
             assert got.count() == len(rows), name
 
 
