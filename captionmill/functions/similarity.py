@@ -1,19 +1,22 @@
 """String similarity: normalised Indel ratio and a weighted ratio.
 
 ``ratio`` is 2 * LCS / (n + m) of the lower-cased strings, two empty strings
-being equal. The production form is an Arrow-batched function with a bit-
-parallel LCS on Python integers; the SQL form is for plans without Python
-workers and for short strings. ``ratio_bound`` is the best ratio that the
+being equal. The production form compares the pairs of an Arrow batch side by
+side (``lanes``); ``lcs`` is the plain bit-parallel row for a single pair, and the
+SQL form is for plans without Python workers and for short strings. ``ratio_bound`` is the best ratio that the
 lengths allow, a cheap filter to put in front.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from captionmill.functions import lanes
+
 
 def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -36,17 +39,19 @@ def indel(a: str, b: str) -> float:
     return 1.0 if not a and not b else 2 * lcs(a, b) / (len(a) + len(b))
 
 
-def _ratio(a: str | None, b: str | None) -> float | None:
-    if a is None or b is None:
-        return None
-    a, b = a.lower(), b.lower()
-    return 1.0 if a == b else indel(a, b)
+def _of_known(a: pd.Series, b: pd.Series, of) -> pd.Series:
+    """``of`` over the pairs without a null; null for the others."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    if known.any():
+        out[known] = of(a[known].tolist(), b[known].tolist())
+    return pd.Series(out).astype(object).where(pd.Series(known), None)
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel ratio in 0..1; null if either side is."""
-    return pd.Series([_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return _of_known(a, b, lanes.ratios)
 
 
 def ratio_bound(a, b) -> Column:
@@ -76,59 +81,15 @@ def ratio_sql(a, b) -> Column:
     return F.when(n == 0, 1.0).otherwise(2.0 * common / F.greatest(n, F.lit(1)))
 
 
-def _partial(a: str, b: str) -> float:
-    """Best ratio of the shorter string with any stretch of the longer one."""
-    if len(a) > len(b):
-        a, b = b, a
-    n, m = len(a), len(b)
-    if not n:
-        return 1.0 if not m else 0.0
-    best, held = 0.0, set(a)
-    spans = [(0, k) for k in range(1, n)] + [(i, i + n) for i in range(m - n + 1)] + [(m - k, m) for k in range(n - 1, 0, -1)]
-    for i, j in spans:
-        edge = b[j - 1] if i == 0 and j < n else b[i] if j == m and j - i < n else b[j - 1]
-        if edge in held and 2 * min(n, j - i) / (n + j - i) > best:
-            best = max(best, indel(a, b[i:j]))
-    return best
-
-
-def _token_ratio(a: str, b: str, of) -> float:
-    """The best of sorted tokens and of shared tokens against each side."""
-    x, y = a.split(), b.split()
-    if not x or not y:
-        return 0.0
-    both = sorted(set(x) & set(y))
-    da, db = sorted(set(x) - set(y)), sorted(set(y) - set(x))
-    ordered = of(" ".join(sorted(x)), " ".join(sorted(y)))
-    if of is _partial:
-        return 1.0 if both else max(ordered, _partial(" ".join(da), " ".join(db)))
-    if both and (not da or not db):
-        return 1.0
-    core = " ".join(both)
-    left, right = " ".join([core] * bool(core) + da), " ".join([core] * bool(core) + db)
-    return max(ordered, indel(left, right), *([indel(core, left), indel(core, right)] if core else []))
-
-
 def weighted(a: str | None, b: str | None) -> float | None:
-    """Weighted ratio in 0..1. Strings of like length (under 1.5 times) take
-    the ratio or 0.95 of the token ratio; others 0.9 of the partial ratio (0.6
-    beyond 8 times) or 0.95 of that of the partial token ratio."""
-    if a is None or b is None:
-        return None
-    a, b = a.lower(), b.lower()
-    if not a or not b:
-        return 0.0
-    long = max(len(a), len(b)) / min(len(a), len(b))
-    best = indel(a, b)
-    if long < 1.5:
-        return max(best, 0.95 * _token_ratio(a, b, indel))
-    scale = 0.9 if long <= 8 else 0.6
-    return max(best, scale * _partial(a, b), 0.95 * scale * _token_ratio(a, b, _partial))
+    """The weighted ratio in 0..1 of one pair."""
+    return None if a is None or b is None else float(lanes.weighted_ratios([a], [b])[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def wratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([weighted(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Weighted ratio in 0..1 (see ``lanes.weighted_ratios``); null if either side is."""
+    return _of_known(a, b, lanes.weighted_ratios)
 
 
 def register(spark) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from captionmill.functions import similarity
 from captionmill.functions.text import cue, full_key, overlaps
+from captionmill.operators.clusters import cluster_keys
 from captionmill.schema import BOTH, ON_SCREEN, SPEECH
 
 COLUMNS = ["video_id", "seq", "start", "end", "text", "source", "asr_logprob", "ocr_confidence", "language"]
@@ -46,34 +47,6 @@ def key_counts(segments: DataFrame) -> DataFrame:
     return keyed.where("key <> ''").groupBy("video_id", "key").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-def cluster_keys(keys: DataFrame, threshold: float = 0.9, group: str = "video_id") -> DataFrame:
-    """(video_id, key, cluster): keys in order of ``first_seq`` join the first
-    cluster with a similar member, or open one. Clusters are never fused, so
-    the fold is sequential in a video's distinct keys, of which there are few."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seq", "key"], kind="stable")
-        clusters: list[list[str]] = []
-        own = []
-        for key in pdf["key"]:
-            low = key.lower()
-            at = next((i for i, c in enumerate(clusters) if any(_close(low, k, threshold) for k in c)), len(clusters))
-            if at == len(clusters):
-                clusters.append([])
-            clusters[at].append(low)
-            own.append(at)
-        return pd.DataFrame({group: pdf[group], "key": pdf["key"], "cluster": own})
-
-    return keys.groupBy(group).applyInPandas(fold, f"{group} string, key string, cluster int")
-
-
-def _close(a: str, b: str, threshold: float) -> bool:
-    n = len(a) + len(b)
-    if n and 2 * min(len(a), len(b)) / n < threshold:  # the ratio cannot reach it
-        return False
-    return similarity.indel(a, b) >= threshold
-
-
 def drop_recurring(segments: DataFrame, frames: DataFrame, threshold: float = 0.95, fuzzy: float = 90.0, least_frames: int = 0) -> DataFrame:
     """Without on-screen rows whose key cluster holds ``threshold`` times as
     many rows as the video has frames, or more. ``frames`` (video_id,

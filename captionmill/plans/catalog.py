@@ -115,7 +115,34 @@ def similarity_ratio(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(similarity.ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
-@query()
+# The weighted ratio by its definition: every stretch of the longer string, all pairs of token strings.
+_JOINED = "list_aggregate(list_sort({}), 'string_agg', ' ')"
+_WEIGHTED = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT lower(p_name) AS a, lower(p_type) AS b FROM part),
+t AS MATERIALIZED (SELECT a, b, x, y, list_filter(list_distinct(x), lambda c: list_contains(y, c)) AS core, list_filter(list_distinct(x), lambda c: NOT list_contains(y, c)) AS dx, list_filter(list_distinct(y), lambda c: NOT list_contains(x, c)) AS dy,
+  greatest(length(a), length(b)) / least(length(a), length(b)) AS far FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM p)),
+k AS MATERIALIZED (SELECT *, CASE WHEN far < 1.5 THEN 1.0 WHEN far <= 8 THEN 0.9 ELSE 0.6 END AS scale, coalesce({_JOINED.format("x")}, '') AS jx, coalesce({_JOINED.format("y")}, '') AS jy, coalesce({_JOINED.format("core")}, '') AS jc,
+  coalesce({_JOINED.format("dx")}, '') AS jdx, coalesce({_JOINED.format("dy")}, '') AS jdy FROM t),
+j AS MATERIALIZED (SELECT a, b, 1.0 AS f, FALSE AS part, a AS s, b AS t FROM k
+  UNION ALL SELECT a, b, 0.95, FALSE, jx, jy FROM k WHERE far < 1.5
+  UNION ALL SELECT a, b, 0.95, FALSE, trim(concat(jc, ' ', jdx)), trim(concat(jc, ' ', jdy)) FROM k WHERE far < 1.5
+  UNION ALL SELECT a, b, 0.95, FALSE, jc, trim(concat(jc, ' ', jdx)) FROM k WHERE far < 1.5 AND jc <> ''
+  UNION ALL SELECT a, b, 0.95, FALSE, jc, trim(concat(jc, ' ', jdy)) FROM k WHERE far < 1.5 AND jc <> ''
+  UNION ALL SELECT a, b, scale, TRUE, a, b FROM k WHERE far >= 1.5
+  UNION ALL SELECT a, b, 0.95 * scale, TRUE, jx, jy FROM k WHERE far >= 1.5
+  UNION ALL SELECT a, b, 0.95 * scale, TRUE, jdx, jdy FROM k WHERE far >= 1.5),
+o AS MATERIALIZED (SELECT a, b, f, part, s, t FROM j WHERE NOT part OR length(s) <= length(t) UNION ALL SELECT a, b, f, part, t, s FROM j WHERE part AND length(s) >= length(t)),
+w AS MATERIALIZED (SELECT a, b, f, s, t AS u FROM o WHERE NOT part
+  UNION ALL SELECT a, b, f, s, substr(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) FROM (SELECT *, unnest(range(1 - length(s), length(t))) AS i FROM o WHERE part)),
+q AS MATERIALIZED (SELECT DISTINCT s, u FROM w),
+l(s, u, n, v) AS (SELECT s, u, 0, (CAST(1 AS HUGEINT) << length(s)) - 1 FROM q
+  UNION ALL SELECT s, u, n + 1, ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << length(s)) - 1) FROM (SELECT *, coalesce(list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN substr(s, i + 1, 1) = substr(u, n + 1, 1) THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)), 0)::HUGEINT AS m FROM l WHERE n < length(u))),
+r AS MATERIALIZED (SELECT s, u, CASE WHEN length(s) + length(u) = 0 THEN 1.0 ELSE 2.0 * (length(s) - bit_count(v)) / (length(s) + length(u)) END AS r FROM l WHERE n = length(u)),
+best AS (SELECT a, b, max(f * r) AS best FROM w JOIN r USING (s, u) GROUP BY a, b),
+e AS (SELECT k.a, k.b, CASE WHEN len(core) > 0 AND (far >= 1.5 OR jdx = '' OR jdy = '') THEN greatest(best, 0.95 * scale) ELSE best END AS w FROM k JOIN best ON best.a = k.a AND best.b = k.b)
+SELECT p_partkey, round(w, 6) AS wratio FROM part JOIN e ON e.a = lower(p_name) AND e.b = lower(p_type)"""
+
+
+@query(_WEIGHTED)
 def similarity_weighted(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(similarity.wratio(F.col("p_name"), F.col("p_type")), 6).alias("wratio"))
 
@@ -203,10 +230,20 @@ def cross_frame_dedup(spark, d):
     return segments.dedup(load(spark, d, "points")).select("video_id", "seq", "start", "end", "text", "source", F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
-@query()
+# A cluster is that of the least first key that a chain of earlier neighbours leads to.
+@query("""WITH RECURSIVE k AS MATERIALIZED (SELECT p_type AS video_id, lower(p_name) AS key, min(p_partkey) AS first_seq FROM part GROUP BY ALL),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM k),
+q AS MATERIALIZED (SELECT DISTINCT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key),
+l(s, u, n, v) AS (SELECT s, u, 0, (CAST(1 AS HUGEINT) << length(s)) - 1 FROM q
+  UNION ALL SELECT s, u, n + 1, ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << length(s)) - 1) FROM (SELECT *, coalesce(list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN substr(s, i + 1, 1) = substr(u, n + 1, 1) THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)), 0)::HUGEINT AS m FROM l WHERE n < length(u))),
+near AS MATERIALIZED (SELECT s, u FROM l WHERE n = length(u) AND 2.0 * (length(s) - bit_count(v)) / (length(s) + length(u)) >= 0.75),
+e AS MATERIALIZED (SELECT x.video_id, x.pos AS i, y.pos AS j FROM n x JOIN near ON near.s = x.key JOIN n y ON y.video_id = x.video_id AND y.key = near.u WHERE y.pos < x.pos),
+reach(video_id, i, j) AS (SELECT video_id, pos, pos FROM n UNION SELECT reach.video_id, reach.i, e.j FROM reach JOIN e ON e.video_id = reach.video_id AND e.i = reach.j),
+f AS (SELECT video_id, i, min(j) AS first FROM reach GROUP BY ALL)
+SELECT n.video_id, n.key, CAST(dense_rank() OVER (PARTITION BY n.video_id ORDER BY first) - 1 AS INTEGER) AS cluster FROM n JOIN f ON f.video_id = n.video_id AND f.i = n.pos""")
 def clustered_keys(spark, d):
-    types = load(spark, d, "part").select(F.lit("all").alias("video_id"), F.lower("p_type").alias("key"), "p_partkey").groupBy("video_id", "key").agg(F.min("p_partkey").alias("first_seq"))
-    return segments.cluster_keys(types, 0.85)
+    keys = load(spark, d, "part").select(F.col("p_type").alias("video_id"), F.lower("p_name").alias("key"), "p_partkey").groupBy("video_id", "key").agg(F.min("p_partkey").alias("first_seq"))
+    return segments.cluster_keys(keys, 0.75)
 
 
 @query("""WITH m AS (SELECT s.video_id, s.seq, o.seq AS o_seq, least(s."start", o."start") AS "start", greatest(s."end", o."end") AS "end" FROM {speech} s JOIN {captions} o ON s.video_id = o.video_id AND o.seq = s.seq + 1000 WHERE s.seq % 6 IN (0, 2)),
