@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captionmill.functions.text import cue, markdown_escape, minute_second, srt_time
+from captionmill.sources.whole_files import write_files
 
 FORMATS = ("json", "txt", "srt", "md")
 
@@ -45,8 +46,7 @@ def render(segments: DataFrame, form: str, languages: DataFrame | None = None) -
     return json(segments, languages) if form == "json" else {"txt": txt, "srt": srt, "md": md}[form](segments)
 
 
-def write(bodies: DataFrame, folder: str) -> None:
-    """A folder of one text file for each video id. The sink ends a row with a
-    line feed, which takes the place of the body's last one."""
-    rows = bodies.select(F.regexp_replace("body", "\n\\z", "").alias("value"), "video_id")
-    rows.write.mode("overwrite").partitionBy("video_id").text(folder)
+def write(bodies: DataFrame, folder: str, form: str) -> None:
+    """One file a video, ``<video_id>.<form>``, with the body's own bytes. A file is
+    there whole or not at all; see ``sources.whole_files``."""
+    write_files(bodies.select(F.concat("video_id", F.lit(f".{form}")).alias("name"), "body"), folder)

@@ -7,14 +7,18 @@ it), or there is none and the tests hold the operator against a loop.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from captionmill.functions import languages, similarity, text
 from captionmill.operators import audio, boxes, cleanup, evaluation, frames, manifest, profiles, segments, sinks
-from captionmill.sources import media
+from captionmill.operators.stored import shared_folder, stored
+from captionmill.sources import images, media, whole_files
 from captionmill.sources.derived import load, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -282,6 +286,16 @@ def rendered_transcripts(spark, d):
     return body("txt").join(body("srt"), "video_id").join(body("md"), "video_id")
 
 
+@query(f"""WITH s AS (SELECT video_id, seq, {_CUE.format('text')} AS t FROM {{turns}})
+SELECT video_id || '.txt' AS name, md5(string_agg(t || chr(10), '' ORDER BY seq)) AS body_md5 FROM s GROUP BY video_id""")
+def transcript_files(spark, d):
+    """Plain transcripts as one file a video, read back."""
+    folder = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    sinks.write(sinks.render(load(spark, d, "turns"), "txt"), folder, "txt")
+    read = spark.read.format("binaryFile").load(folder)
+    return read.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.md5("content").alias("body_md5"))
+
+
 @query("""SELECT video_id, arg_min(language, seq) AS language, count(*) AS n_segments, md5(string_agg(concat_ws('~', text, source, language), '|' ORDER BY seq)) AS rows_md5, sum("start" + "end") AS total, count(*) FILTER (asr_logprob IS NULL) AS n_null FROM {turns} GROUP BY video_id""")
 def rendered_json(spark, d):
     """The JSON documents, read back."""
@@ -322,10 +336,54 @@ def block_difference(spark, d):
     return lagged.select("vec_id", F.round(frames.vector_difference(F.col("e"), F.col("p"), 16, 1.0), 5).alias("diff"))
 
 
-@query()
+# A frame of the queries below: a row of 16 blocks of two equal pixels, from the first 16 numbers of a vector.
+_PIXEL = "65 + CAST(floor(abs(CAST(embedding[{}] AS DOUBLE)) * 60) AS INTEGER) % 60"
+
+
+def _frames(spark, d) -> DataFrame:
+    gray = F.expr("cast(array_join(transform(slice(embedding, 1, 16), x -> repeat(chr(65 + cast(floor(abs(cast(x AS double)) * 60) AS int) % 60), 2)), '') AS binary)")
+    e = load(spark, d, "embeddings")
+    return e.select(F.col("label").cast("string").alias("video_id"), F.col("vec_id").alias("frame_idx"), F.lit(25.0).alias("native_fps"), F.lit(1).alias("height"), F.lit(32).alias("width"), gray.alias("gray"))
+
+
+# The choice as a recursion: each step looks at the next frame with the last chosen one in hand.
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT CAST(label AS VARCHAR) AS video_id, vec_id AS frame_idx, list_transform(range(1, 17), lambda i: {_PIXEL.format("i")}) AS px, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, count(*) OVER (PARTITION BY label) AS total FROM embeddings),
+w(video_id, n, total, last, since, take, held) AS (SELECT video_id, n, total, px, 0, TRUE, CAST(0 AS DOUBLE) FROM f WHERE n = 1
+  UNION ALL SELECT video_id, n, total, CASE WHEN take THEN px ELSE last END, CASE WHEN take THEN 0 ELSE since END, take, CASE WHEN take THEN 0 ELSE d END FROM (
+    SELECT *, d >= 0.05 OR since >= 10 AS take FROM (SELECT w.video_id, f.n, f.total, w.last, f.px, w.since + 1 AS since, list_max(list_transform(range(1, 17), lambda i: abs(f.px[i] - w.last[i]))) / 255 AS d FROM w JOIN f ON f.video_id = w.video_id AND f.n = w.n + 1)))
+SELECT video_id, frame_idx FROM w JOIN f USING (video_id, n) WHERE take OR (n = f.total AND held > 0)""")
 def scene_changes(spark, d):
-    e = load(spark, d, "embeddings").select(F.col("label").cast("string").alias("video_id"), F.col("vec_id").alias("frame_idx"), F.lit(1).alias("height"), F.size("embedding").alias("width"), F.expr("cast(array_join(transform(embedding, x -> chr(65 + cast(abs(x) * 50 AS int) % 60)), '') AS binary)").alias("gray"))
-    return frames.scene_changes(e)
+    return frames.scene_changes(_frames(spark, d))
+
+
+@query(f"""SELECT CAST(label AS VARCHAR) AS video_id, count(*) AS n_frames, max(25.0) AS native_fps, CAST(sum(2 * list_sum(list_transform(range(1, 17), lambda i: {_PIXEL.format("i")}))) AS BIGINT) AS pixels,
+  md5(string_agg(array_to_string(list_transform(range(1, 17), lambda i: repeat(chr({_PIXEL.format("i")}), 2)), ''), '' ORDER BY vec_id)) AS gray_md5 FROM embeddings GROUP BY label""")
+def frame_files(spark, d):
+    """Frames written as one sequence a video and read back in small splits."""
+    folder = f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}"
+    whole_files.write_frames(_frames(spark, d), folder)
+    read = whole_files.read_frames(spark, folder, split_bytes=2000)
+    pixels = F.expr("aggregate(sequence(1, length(gray)), 0L, (s, i) -> s + ascii(substring(gray, i, 1)))")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("frame_idx", F.col("gray").cast("string").alias("g")))), lambda r: r["g"]), "")
+    return read.groupBy("video_id").agg(F.count("*").alias("n_frames"), F.max("native_fps").alias("native_fps"), F.sum(pixels).alias("pixels"), F.md5(rows).alias("gray_md5"))
+
+
+def _encoded(batches):
+    """Every other frame as PNG, the others as PGM; some are cut, garbage or empty."""
+    for batch in batches:
+        out = []
+        for i, gray in zip(batch["frame_idx"].to_pylist(), batch["gray"].to_pylist()):
+            whole = images.encode_png(np.frombuffer(gray, np.uint8).reshape(4, 8)) if i % 2 else b"P5\n8 4\n255\n" + gray
+            out.append(whole[:-5] if i % 7 == 0 else b"GIF89a" if i % 11 == 0 else b"" if i % 13 == 0 else None if i % 17 == 0 else whole)
+        yield pa.RecordBatch.from_arrays([batch["video_id"], batch["frame_idx"], pa.array(out, pa.binary())], names=["video_id", "frame_idx", "content"])
+
+
+@query(f"""WITH e AS (SELECT CAST(label AS VARCHAR) AS video_id, CASE WHEN vec_id % 7 = 0 OR vec_id % 11 = 0 THEN 'unreadable' WHEN vec_id % 13 = 0 OR vec_id % 17 = 0 THEN 'empty' ELSE 'ok' END AS status, 2 * list_sum(list_transform(range(1, 17), lambda i: {_PIXEL.format("i")})) AS px FROM embeddings)
+SELECT video_id, status, count(*) AS n, coalesce(CAST(sum(px) FILTER (status = 'ok') AS BIGINT), 0) AS pixels FROM e GROUP BY video_id, status""")
+def decoded_images(spark, d):
+    content = _frames(spark, d).mapInArrow(_encoded, "video_id string, frame_idx long, content binary")
+    pixels = F.expr("aggregate(sequence(1, length(gray)), 0L, (s, i) -> s + ascii(substring(gray, i, 1)))")
+    return images.decoded(content).groupBy("video_id", "status").agg(F.count("*").alias("n"), F.coalesce(F.sum(pixels), F.lit(0)).alias("pixels"))
 
 
 @query("""WITH n AS (SELECT o_custkey % 50 AS video_id, o_orderkey AS image_no, CASE WHEN o_custkey % 2 = 0 THEN 90.0 END AS d, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey % 50) AS n FROM orders)

@@ -304,9 +304,8 @@ def test_sinks(spark, tmp_path):
     assert body("srt") == "1\n00:00:00,000 --> 00:00:01,500\na b|\n\n2\n00:01:01,000 --> 00:01:02,000\nc\n"
     assert body("md") == "**[SPEECH] 0:00–0:01** a b\\|\n**[ON-SCREEN] 1:01–1:02** c\n"
     assert '"asr_logprob" : null' in body("json") and '"language" : "en"' in body("json")
-    sinks.write(sinks.render(s, "txt"), str(tmp_path / "out"))
-    (part,) = (tmp_path / "out").glob("video_id=v/part-*")
-    assert part.read_text() == "a b|\nc\n"
+    sinks.write(sinks.render(s, "txt"), str(tmp_path / "out"), "txt")
+    assert [(f.name, f.read_text()) for f in (tmp_path / "out").iterdir()] == [("v.txt", "a b|\nc\n")]
     with pytest.raises(ValueError):
         sinks.render(s, "pdf")
 
