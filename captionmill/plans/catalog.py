@@ -119,13 +119,27 @@ def similarity_ratio(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(similarity.ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
+def _lcs_of(name: str, pairs: str) -> str:
+    """Expressions ``name`` (s, u, r): the ratio of the lower-case pairs (s, u) of a query."""
+    bit = "CASE WHEN substr(s, i + 1, 1) = substr(u, n + 1, 1) THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END"
+    full = "((CAST(1 AS HUGEINT) << length(s)) - 1)"
+    return f"""{name}_q AS MATERIALIZED (SELECT DISTINCT s, u FROM ({pairs})),
+{name}_l(s, u, n, v) AS (SELECT s, u, 0, {full} FROM {name}_q
+  UNION ALL SELECT s, u, n + 1, ((v + (v & m)) | (v - (v & m))) & {full} FROM (SELECT *, coalesce(list_sum(list_transform(range(0, length(s)), lambda i: {bit})), 0)::HUGEINT AS m FROM {name}_l WHERE n < length(u))),
+{name} AS MATERIALIZED (SELECT s, u, CASE WHEN length(s) + length(u) = 0 THEN CAST(1 AS DOUBLE) ELSE 2.0::DOUBLE * (length(s) - bit_count(v)) / (length(s) + length(u)) END AS r FROM {name}_l WHERE n = length(u))"""
+
+
 # The weighted ratio by its definition: every stretch of the longer string, all pairs of token strings.
 _JOINED = "list_aggregate(list_sort({}), 'string_agg', ' ')"
-_WEIGHTED = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT lower(p_name) AS a, lower(p_type) AS b FROM part),
-t AS MATERIALIZED (SELECT a, b, x, y, list_filter(list_distinct(x), lambda c: list_contains(y, c)) AS core, list_filter(list_distinct(x), lambda c: NOT list_contains(y, c)) AS dx, list_filter(list_distinct(y), lambda c: NOT list_contains(x, c)) AS dy,
+
+
+def _weighted_of(pairs: str) -> str:
+    """Expressions that end with ``weighed`` (a, b, w) for the lower-case pairs (a, b) of a query."""
+    return f"""p AS MATERIALIZED ({pairs}),
+tok AS MATERIALIZED (SELECT a, b, x, y, list_filter(list_distinct(x), lambda c: list_contains(y, c)) AS core, list_filter(list_distinct(x), lambda c: NOT list_contains(y, c)) AS dx, list_filter(list_distinct(y), lambda c: NOT list_contains(x, c)) AS dy,
   greatest(length(a), length(b)) / least(length(a), length(b)) AS far FROM (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM p)),
 k AS MATERIALIZED (SELECT *, CASE WHEN far < 1.5 THEN 1.0 WHEN far <= 8 THEN 0.9 ELSE 0.6 END AS scale, coalesce({_JOINED.format("x")}, '') AS jx, coalesce({_JOINED.format("y")}, '') AS jy, coalesce({_JOINED.format("core")}, '') AS jc,
-  coalesce({_JOINED.format("dx")}, '') AS jdx, coalesce({_JOINED.format("dy")}, '') AS jdy FROM t),
+  coalesce({_JOINED.format("dx")}, '') AS jdx, coalesce({_JOINED.format("dy")}, '') AS jdy FROM tok),
 j AS MATERIALIZED (SELECT a, b, 1.0 AS f, FALSE AS part, a AS s, b AS t FROM k
   UNION ALL SELECT a, b, 0.95, FALSE, jx, jy FROM k WHERE far < 1.5
   UNION ALL SELECT a, b, 0.95, FALSE, trim(concat(jc, ' ', jdx)), trim(concat(jc, ' ', jdy)) FROM k WHERE far < 1.5
@@ -137,16 +151,13 @@ j AS MATERIALIZED (SELECT a, b, 1.0 AS f, FALSE AS part, a AS s, b AS t FROM k
 o AS MATERIALIZED (SELECT a, b, f, part, s, t FROM j WHERE NOT part OR length(s) <= length(t) UNION ALL SELECT a, b, f, part, t, s FROM j WHERE part AND length(s) >= length(t)),
 w AS MATERIALIZED (SELECT a, b, f, s, t AS u FROM o WHERE NOT part
   UNION ALL SELECT a, b, f, s, substr(t, greatest(i, 0) + 1, least(i + length(s), length(t)) - greatest(i, 0)) FROM (SELECT *, unnest(range(1 - length(s), length(t))) AS i FROM o WHERE part)),
-q AS MATERIALIZED (SELECT DISTINCT s, u FROM w),
-l(s, u, n, v) AS (SELECT s, u, 0, (CAST(1 AS HUGEINT) << length(s)) - 1 FROM q
-  UNION ALL SELECT s, u, n + 1, ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << length(s)) - 1) FROM (SELECT *, coalesce(list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN substr(s, i + 1, 1) = substr(u, n + 1, 1) THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)), 0)::HUGEINT AS m FROM l WHERE n < length(u))),
-r AS MATERIALIZED (SELECT s, u, CASE WHEN length(s) + length(u) = 0 THEN 1.0 ELSE 2.0 * (length(s) - bit_count(v)) / (length(s) + length(u)) END AS r FROM l WHERE n = length(u)),
+{_lcs_of("r", "SELECT s, u FROM w")},
 best AS (SELECT a, b, max(f * r) AS best FROM w JOIN r USING (s, u) GROUP BY a, b),
-e AS (SELECT k.a, k.b, CASE WHEN len(core) > 0 AND (far >= 1.5 OR jdx = '' OR jdy = '') THEN greatest(best, 0.95 * scale) ELSE best END AS w FROM k JOIN best ON best.a = k.a AND best.b = k.b)
-SELECT p_partkey, round(w, 6) AS wratio FROM part JOIN e ON e.a = lower(p_name) AND e.b = lower(p_type)"""
+weighed AS MATERIALIZED (SELECT k.a, k.b, CASE WHEN len(core) > 0 AND (far >= 1.5 OR jdx = '' OR jdy = '') THEN greatest(best, 0.95 * scale) ELSE best END AS w FROM k JOIN best ON best.a = k.a AND best.b = k.b)"""
 
 
-@query(_WEIGHTED)
+@query(f"""WITH RECURSIVE {_weighted_of("SELECT DISTINCT lower(p_name) AS a, lower(p_type) AS b FROM part")}
+SELECT p_partkey, round(w, 6) AS wratio FROM part JOIN weighed e ON e.a = lower(p_name) AND e.b = lower(p_type)""")
 def similarity_weighted(spark, d):
     return load(spark, d, "part").select("p_partkey", F.round(similarity.wratio(F.col("p_name"), F.col("p_type")), 6).alias("wratio"))
 
@@ -235,12 +246,10 @@ def cross_frame_dedup(spark, d):
 
 
 # A cluster is that of the least first key that a chain of earlier neighbours leads to.
-@query("""WITH RECURSIVE k AS MATERIALIZED (SELECT p_type AS video_id, lower(p_name) AS key, min(p_partkey) AS first_seq FROM part GROUP BY ALL),
+@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT p_type AS video_id, lower(p_name) AS key, min(p_partkey) AS first_seq FROM part GROUP BY ALL),
 n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM k),
-q AS MATERIALIZED (SELECT DISTINCT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key),
-l(s, u, n, v) AS (SELECT s, u, 0, (CAST(1 AS HUGEINT) << length(s)) - 1 FROM q
-  UNION ALL SELECT s, u, n + 1, ((v + (v & m)) | (v - (v & m))) & ((CAST(1 AS HUGEINT) << length(s)) - 1) FROM (SELECT *, coalesce(list_sum(list_transform(range(0, length(s)), lambda i: CASE WHEN substr(s, i + 1, 1) = substr(u, n + 1, 1) THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE 0 END)), 0)::HUGEINT AS m FROM l WHERE n < length(u))),
-near AS MATERIALIZED (SELECT s, u FROM l WHERE n = length(u) AND 2.0 * (length(s) - bit_count(v)) / (length(s) + length(u)) >= 0.75),
+{_lcs_of("r", "SELECT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key")},
+near AS MATERIALIZED (SELECT s, u FROM r WHERE r >= 0.75),
 e AS MATERIALIZED (SELECT x.video_id, x.pos AS i, y.pos AS j FROM n x JOIN near ON near.s = x.key JOIN n y ON y.video_id = x.video_id AND y.key = near.u WHERE y.pos < x.pos),
 reach(video_id, i, j) AS (SELECT video_id, pos, pos FROM n UNION SELECT reach.video_id, reach.i, e.j FROM reach JOIN e ON e.video_id = reach.video_id AND e.i = reach.j),
 f AS (SELECT video_id, i, min(j) AS first FROM reach GROUP BY ALL)
@@ -258,6 +267,20 @@ def channel_merge(spark, d):
     return segments.merge(load(spark, d, "speech"), load(spark, d, "captions")).select("video_id", "seq", "start", "end", "source")
 
 
+# Rows of both channels vie for one another: the spoken rows of a video choose one after another.
+@query(f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM {{marks}} WHERE source = 'SPEECH'), sc AS MATERIALIZED (SELECT * FROM {{marks}} WHERE source = 'ON-SCREEN'),
+{_weighted_of("SELECT DISTINCT lower(x.text) AS a, lower(y.text) AS b FROM sp x, sc y")},
+c AS MATERIALIZED (SELECT sp.video_id, sp.n, list(sc.seq ORDER BY w DESC, sc."start", sc.seq) AS likes FROM sp JOIN sc ON sc.video_id = sp.video_id AND sp."start" <= sc."end" AND sc."start" <= sp."end" JOIN weighed e ON e.a = lower(sp.text) AND e.b = lower(sc.text) WHERE w >= 0.85 GROUP BY ALL),
+g(video_id, n, taken, got) AS (SELECT video_id, 0, CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM sp WHERE n = 1
+  UNION ALL SELECT video_id, n, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT g.video_id, sp.n, g.taken, list_filter(coalesce(c.likes, []), lambda x: NOT list_contains(g.taken, x))[1] AS pick FROM g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n + 1 LEFT JOIN c ON c.video_id = sp.video_id AND c.n = sp.n)),
+e2 AS (SELECT sp.video_id, sp.seq, least(sp."start", coalesce(sc."start", sp."start")) AS "start", greatest(sp."end", coalesce(sc."end", sp."end")) AS "end", CASE WHEN got IS NULL THEN 'SPEECH' ELSE 'BOTH' END AS source, 0 AS ch FROM g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n LEFT JOIN sc ON sc.video_id = g.video_id AND sc.seq = got
+  UNION ALL SELECT sc.video_id, sc.seq, "start", "end", source, 1 FROM sc WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.video_id = sc.video_id AND g.got = sc.seq))
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY "start", ch, seq) AS seq, "start", "end", source FROM e2""")
+def contended_merge(spark, d):
+    m = load(spark, d, "marks")
+    return segments.merge(m.where("source = 'SPEECH'"), m.where("source = 'ON-SCREEN'")).select("video_id", "seq", "start", "end", "source")
+
+
 @query("""WITH c AS (SELECT conv_id AS v, turn AS n, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn END AS k FROM conversations)
 SELECT CAST(v AS VARCHAR) AS video_id, coalesce(arg_min(concat('l', n), n) FILTER (k > 0), 'en') AS language FROM c GROUP BY v""")
 def chunk_languages(spark, d):
@@ -434,6 +457,61 @@ def noise_metrics(spark, d):
     return evaluation.noise(_heard(spark, d), expected)
 
 
+# Texts spread over two or three rows, several appearances and short noise: the definition step by step.
+_BEST = f"""m AS MATERIALIZED (SELECT * FROM {{marks}}), g AS MATERIALIZED (SELECT * FROM {{sought}}),
+near AS MATERIALIZED (SELECT g.video_id, gt_seq, g.text AS gt_text, m.seq, m."start" AS st, m."end" AS en, m.text AS t FROM m JOIN g ON g.video_id = m.video_id AND (g."start" IS NULL OR m."end" >= g."start") AND (g."end" IS NULL OR m."start" <= g."end")),
+two AS MATERIALIZED (SELECT a.video_id, a.gt_seq, a.gt_text, a.seq AS i, b.seq AS j, a.st AS i_st, b.st AS j_st, a.t AS i_t, b.t AS j_t FROM near a JOIN near b ON a.video_id = b.video_id AND a.gt_seq = b.gt_seq AND a.seq < b.seq AND abs(a.st - b.st) <= 2),
+{_lcs_of("r", "SELECT lower(t) AS s, lower(gt_text) AS u FROM near UNION ALL SELECT lower(concat(i_t, ' ', j_t)), lower(gt_text) FROM two UNION ALL SELECT lower(concat(j_t, ' ', i_t)), lower(gt_text) FROM two")},
+one AS MATERIALIZED (SELECT video_id, gt_seq, count(*) AS n, arg_max(struct_pack(sim := r, t := t), struct_pack(sim := r, k := -seq)) AS o FROM near JOIN r ON s = lower(t) AND u = lower(gt_text) GROUP BY ALL),
+pair AS MATERIALIZED (SELECT video_id, gt_seq, gt_text, arg_max(struct_pack(sim := greatest(x.r, y.r), t := CASE WHEN x.r >= y.r THEN concat(i_t, ' ', j_t) ELSE concat(j_t, ' ', i_t) END, i := i, j := j, i_st := i_st, j_st := j_st, i_t := i_t, j_t := j_t), struct_pack(sim := greatest(x.r, y.r), a := -i, b := -j)) AS p
+  FROM two JOIN r x ON x.s = lower(concat(i_t, ' ', j_t)) AND x.u = lower(gt_text) JOIN r y ON y.s = lower(concat(j_t, ' ', i_t)) AND y.u = lower(gt_text) GROUP BY ALL HAVING max(greatest(x.r, y.r)) > 0),
+told AS MATERIALIZED (SELECT one.video_id, one.gt_seq, n, CASE WHEN o.sim > 0 THEN o.sim ELSE 0 END AS s1, CASE WHEN o.sim > 0 THEN o.t END AS t1, p, coalesce(p.sim > CASE WHEN o.sim > 0 THEN o.sim ELSE 0 END, FALSE) AS by2 FROM one LEFT JOIN pair ON pair.video_id = one.video_id AND pair.gt_seq = one.gt_seq),
+three AS MATERIALIZED (SELECT near.video_id, near.gt_seq, near.gt_text, near.seq, p.i AS i, p.j AS j, unnest(range(0, 6)) AS nth, unnest([concat_ws(' ', t, p.i_t, p.j_t), concat_ws(' ', t, p.j_t, p.i_t), concat_ws(' ', p.i_t, t, p.j_t), concat_ws(' ', p.i_t, p.j_t, t), concat_ws(' ', p.j_t, t, p.i_t), concat_ws(' ', p.j_t, p.i_t, t)]) AS joined
+  FROM near JOIN told ON told.video_id = near.video_id AND told.gt_seq = near.gt_seq WHERE by2 AND p.sim < 0.85 AND n >= 3 AND near.seq <> p.i AND near.seq <> p.j AND greatest(st, p.i_st, p.j_st) - least(st, p.i_st, p.j_st) <= 2),
+{_lcs_of("r3", "SELECT lower(joined) AS s, lower(gt_text) AS u FROM three")},
+triple AS MATERIALIZED (SELECT video_id, gt_seq, arg_max(struct_pack(sim := r, t := joined, i := i, j := j, k := seq), struct_pack(sim := r, a := -seq, b := -nth)) AS q FROM three JOIN r3 ON s = lower(joined) AND u = lower(gt_text) GROUP BY ALL HAVING max(r) > 0),
+each AS (SELECT g.video_id, g.gt_seq, g.text, g.required, CASE WHEN by3 THEN list_sort([q.i, q.j, q.k]) WHEN by2 THEN [p.i, p.j] ELSE [] END AS used, CASE WHEN by3 THEN q.t ELSE s2t END AS best, CASE WHEN by3 THEN q.sim ELSE coalesce(s2, 0) END AS sim FROM g
+  LEFT JOIN (SELECT told.*, q, CASE WHEN by2 THEN p.sim ELSE s1 END AS s2, CASE WHEN by2 THEN p.t ELSE t1 END AS s2t, coalesce(q.sim > CASE WHEN by2 THEN p.sim ELSE s1 END, FALSE) AS by3 FROM told LEFT JOIN triple ON triple.video_id = told.video_id AND triple.gt_seq = told.gt_seq) x ON x.video_id = g.video_id AND x.gt_seq = g.gt_seq),
+res AS MATERIALIZED (SELECT video_id, gt_seq, text, required, last_value(used) OVER w AS used, last_value(best) OVER w AS best, last_value(sim) OVER w AS sim FROM each WINDOW w AS (PARTITION BY video_id, text ORDER BY gt_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+hit AS MATERIALIZED (SELECT DISTINCT video_id, seq FROM near JOIN r ON s = lower(t) AND u = lower(gt_text) WHERE r >= 0.85)"""
+
+
+@query(f"""WITH RECURSIVE {_BEST}
+SELECT video_id, gt_seq, text AS expected_text, best AS best_candidate, round(sim, 6) AS similarity, array_to_string(used, ',') AS used, sim >= 0.85 AS matched, sim >= 0.5 AND sim < 0.85 AS near_miss FROM res""")
+def joined_texts(spark, d):
+    """Best single rows, pairs and triples of rows for each expected text."""
+    r = evaluation.per_text(load(spark, d, "marks"), load(spark, d, "sought"))
+    return r.select("video_id", "gt_seq", "expected_text", "best_candidate", F.round("similarity", 6).alias("similarity"), F.array_join("used", ",").alias("used"), "matched", "near_miss")
+
+
+@query(f"""WITH RECURSIVE {_BEST},
+ph AS (SELECT video_id, seq FROM hit UNION SELECT video_id, unnest(used) FROM res WHERE sim >= 0.85),
+rc AS (SELECT video_id, count(*) FILTER (required) AS need, count(*) FILTER (required AND sim >= 0.85) AS found, avg(sim) FILTER (required AND sim >= 0.85) AS mean FROM res GROUP BY video_id),
+n AS (SELECT video_id, count(*) AS n FROM m GROUP BY video_id), h AS (SELECT video_id, count(*) AS h FROM ph GROUP BY video_id)
+SELECT coalesce(rc.video_id, n.video_id) AS video_id, round(CASE WHEN need > 0 THEN found / need ELSE 1 END, 6) AS recall, round(CASE WHEN n > 0 THEN coalesce(h, 0) / n ELSE 1 END, 6) AS "precision", round(mean, 6) AS mean_match_similarity
+FROM rc FULL JOIN n ON rc.video_id = n.video_id LEFT JOIN h ON h.video_id = coalesce(rc.video_id, n.video_id)""")
+def joined_scores(spark, d):
+    r = evaluation.score(load(spark, d, "marks"), load(spark, d, "sought"))
+    return r.select("video_id", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mean_match_similarity")])
+
+
+@query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT * FROM {{marks}}), o AS (SELECT * FROM m WHERE source <> 'SPEECH'), g AS MATERIALIZED (SELECT * FROM {{sought}}),
+w AS MATERIALIZED (SELECT video_id, gt_seq, text, 0 AS nth, "start" AS a, "end" AS b FROM g WHERE required UNION ALL SELECT video_id, gt_seq, text, 1, "start" + 30, "end" + 30 FROM g WHERE required AND gt_seq % 2 = 0),
+{_lcs_of("r", "SELECT x.t AS s, y.t AS u FROM (SELECT DISTINCT lower(text) AS t FROM m) x, (SELECT DISTINCT lower(text) AS t FROM g) y")},
+seen AS (SELECT DISTINCT w.video_id, gt_seq, nth FROM w JOIN m ON m.video_id = w.video_id AND (a IS NULL OR m."end" >= a) AND (b IS NULL OR m."start" <= b) JOIN r ON s = lower(m.text) AND u = lower(w.text) WHERE r >= 0.85),
+kept AS (SELECT w.video_id, count(seen.nth) / count(*) AS k FROM w LEFT JOIN seen ON seen.video_id = w.video_id AND seen.gt_seq = w.gt_seq AND seen.nth = w.nth GROUP BY w.video_id),
+ok AS (SELECT DISTINCT o.video_id, o.seq FROM o JOIN g ON g.video_id = o.video_id AND (g."start" IS NULL OR o."end" >= g."start") AND (g."end" IS NULL OR o."start" <= g."end") JOIN r ON s = lower(o.text) AND u = lower(g.text) WHERE r >= 0.85),
+n AS (SELECT o.video_id, count(*) AS total, count(*) FILTER (ok.seq IS NULL) AS bad, count(*) FILTER (ok.seq IS NULL AND "end" - "start" < 1.5) AS junk FROM o LEFT JOIN ok ON ok.video_id = o.video_id AND ok.seq = o.seq GROUP BY o.video_id)
+SELECT coalesce(n.video_id, kept.video_id) AS video_id, coalesce(total, 0) AS total_segments, coalesce(junk, 0) AS junk_count, coalesce(bad, 0) AS unmatched_count, round(coalesce(k, 1), 6) AS retained_overlay_recall, round(CASE WHEN total > 0 THEN junk / total ELSE 0 END, 6) AS junk_rate, round(CASE WHEN total > 0 THEN bad / total ELSE 0 END, 6) AS unmatched_rate
+FROM n FULL JOIN kept ON kept.video_id = n.video_id""")
+def appearance_noise(spark, d):
+    """Noise with short rows, and texts that appear twice."""
+    again = "array(named_struct('start', start, 'end', end), named_struct('start', start + 30, 'end', end + 30))"
+    g = load(spark, d, "sought").withColumn("appearances", F.expr(f"CASE WHEN gt_seq % 2 = 0 THEN {again} END"))
+    r = evaluation.noise(load(spark, d, "marks"), g)
+    return r.select("video_id", "total_segments", "junk_count", "unmatched_count", *[F.round(c, 6).alias(c) for c in ("retained_overlay_recall", "junk_rate", "unmatched_rate")])
+
+
 @query("""SELECT video_id, "key" AS canonical_key, arg_min(text, seq) AS canonical_text, count(*) AS occurrence_count, round(avg(normalized_height), 6) AS mean_normalized_height,
   round(CASE WHEN count(*) > 1 THEN sqrt(var_pop(x_center_norm) + var_pop(y_center_norm)) END, 6) AS position_stability, bool_or(matched) AS matched FROM {geometry} GROUP BY video_id, "key" """)
 def spatial_stats(spark, d):

@@ -24,6 +24,11 @@ VIEWS = {
         CAST(l_partkey % 640 AS DOUBLE) AS x0, CAST(l_quantity * 4 AS DOUBLE) AS y0, CAST(l_partkey % 640 + 40 + l_linenumber * 9 AS DOUBLE) AS x1, CAST(l_quantity * 4 + 20 + l_partkey % 5 AS DOUBLE) AS y1,
         concat(l_returnflag, l_linestatus) AS text, 1 - l_discount * 5 AS score FROM {lineitem}""",
     "expected": """SELECT video_id, seq AS gt_seq, concat(text, CASE WHEN seq % 8 = 0 THEN '.' ELSE '' END) AS text, CASE WHEN seq % 8 = 4 THEN NULL ELSE "start" END AS "start", CASE WHEN seq % 8 = 4 THEN NULL ELSE "end" END AS "end", seq % 8 <> 6 AS required FROM {speech}""",
+    "marks": """SELECT CAST(user_id % 25 AS VARCHAR(20)) AS video_id, event_id AS seq, CAST(event_id % 97 AS DOUBLE) AS "start", CAST(event_id % 97 + 1 + event_id % 3 AS DOUBLE) AS "end",
+        CASE WHEN event_id % 5 = 0 THEN upper(event_type) WHEN event_id % 11 = 0 THEN concat(event_type, '!') WHEN event_id % 13 = 0 THEN concat('a ', event_type) WHEN event_id % 17 = 0 THEN concat(event_type, 's and more than that') ELSE event_type END AS text,
+        CASE WHEN event_id % 4 = 1 THEN 'SPEECH' ELSE 'ON-SCREEN' END AS source, CAST(NULL AS DOUBLE) AS asr_logprob, CAST(NULL AS DOUBLE) AS ocr_confidence, 'en' AS language FROM {events} WHERE event_id % 4 < 2""",
+    "sought": """SELECT CAST(user_id % 25 AS VARCHAR(20)) AS video_id, event_id AS gt_seq, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN concat(event_type, ' view') WHEN 2 THEN concat('click ', event_type, ' error') WHEN 3 THEN concat(event_type, 'x error, view') ELSE 'Nothing of this' END AS text,
+        CASE WHEN event_id % 71 = 0 THEN NULL ELSE CAST(event_id % 97 - 2 AS DOUBLE) END AS "start", CASE WHEN event_id % 89 = 0 THEN NULL ELSE CAST(event_id % 97 + 2 AS DOUBLE) END AS "end", event_id % 7 <> 0 AS required FROM {events} WHERE event_id % 43 = 0""",
     "records": """SELECT concat('clip', CAST(o_custkey % 7 AS VARCHAR(20))) AS clip, CASE WHEN o_orderkey % 5 = 0 THEN 'de' WHEN o_orderkey % 5 = 1 THEN 'en' WHEN o_orderkey % 5 = 2 THEN 'fr' ELSE 'es' END AS language,
         CASE WHEN o_custkey % 2 = 0 THEN 'base' ELSE 'new' END AS ocr_model_set, o_orderkey % 9 AS expected, (o_orderkey % 9) * (o_custkey % 4) // 4 AS matched, o_orderkey % 50 + 1 AS segments, (o_orderkey % 50 + 1) * (o_custkey % 3) // 4 AS unmatched, CAST(o_custkey % 10 AS DOUBLE) / 10 AS raw_recall FROM {orders}""",
     "geometry": """SELECT CAST(l_suppkey % 20 AS VARCHAR(20)) AS video_id, l_orderkey * 10 + l_linenumber AS seq, concat(l_returnflag, l_linestatus, CAST(l_partkey % 9 AS VARCHAR(20))) AS text, lower(concat(l_returnflag, l_linestatus, CAST(l_partkey % 9 AS VARCHAR(20)))) AS "key",
