@@ -12,6 +12,7 @@ Latin or number box.
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
 
 import pandas as pd
@@ -38,26 +39,20 @@ def order(texts: list[str]) -> list[str]:
     return [texts[i] for i in at]
 
 
+#: A stretch in letters of ``_letter``: right-to-left boxes with what lies between them,
+#: from the first number of the neutral boxes before it to the last Arabic number behind it.
+_STRETCH = re.compile("(?:[AE][AEN]*)?R(?:[AEN]*R)*(?:[AEN]*A)?")
+
+
+def _letter(kinds: set[str]) -> str:
+    """R or L for a box with such letters, A or E for one with numbers only, else N."""
+    return next((letter for kind, letter in (("R", "R"), ("L", "L"), ("AN", "A"), ("EN", "E")) if kind in kinds), "N")
+
+
 def _turned_stretches(kinds: list[set[str]]) -> list[int]:
-    at, n, i = list(range(len(kinds))), len(kinds), 0
-    while i < n:
-        if "R" not in kinds[i]:
-            i += 1
-            continue
-        last, j = i, i + 1
-        while j < n and ("R" in kinds[j] or not kinds[j] & {"L", "R"}):
-            last = j if "R" in kinds[j] else last
-            j += 1
-        first, end = i, last
-        k = i - 1
-        while k >= 0 and not kinds[k] & {"L", "R"}:  # numbers before the stretch
-            first = k if kinds[k] & {"EN", "AN"} else first
-            k -= 1
-        for k in range(last + 1, j):  # Arabic numbers behind it
-            end = k if "AN" in kinds[k] else end
-        # A stretch before this one may hold numbers between the two already.
-        at[first : end + 1] = at[first : end + 1][::-1]
-        i = last + 1
+    at = list(range(len(kinds)))
+    for m in _STRETCH.finditer("".join(map(_letter, kinds))):
+        at[m.start() : m.end()] = at[m.start() : m.end()][::-1]
     return at
 
 

@@ -2,8 +2,8 @@
 
 A key, in order of first appearance, joins the first cluster that has a similar
 member, or opens one. Clusters count in the order of their first keys, so a key's
-cluster is the least cluster of its earlier neighbours: a key is settled as soon as
-they are. Neighbours come from a self-join on the rarest characters of the keys (two
+cluster is the least cluster of its earlier neighbours, and a key without any opens
+one. Neighbours come from a self-join on the rarest characters of the keys (two
 strings of ratio t share at least n t / (2 - t) characters, so they meet in one of
 the n - n t / (2 - t) + 1 rarest of either), with a bound by length, and the ratio
 itself. Nothing is gathered by group, and the keys of a group are never all paired.
@@ -37,26 +37,21 @@ def neighbours(nodes: DataFrame, group: str, threshold: float, ratio=similarity.
 
 
 def settle(nodes: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """(group, pos, first): the first key of each key's cluster. A round settles the
-    keys whose earlier neighbours are settled; what these pass on is their least
-    cluster, and the edges of settled keys go. A round is one table, and there are as
-    many as the longest chain of keys that settle one after another."""
-    to = Window.partitionBy(group, "i")
-    passed = lambda e, known: stored(
-        e.join(known.select(group, F.col("pos").alias("j"), F.col("first").alias("own")), [group, "j"], "left").withColumn("first", F.coalesce("first", "own"))
-        .select(group, "i", "j", "first", F.count_if(F.col("first").isNull()).over(to).alias("waits"), F.min("first").over(to).alias("least")), "cluster-round"
-    )
-    settled = lambda r: r.where("waits = 0").groupBy(group, F.col("i").alias("pos")).agg(F.first("least").alias("first"))
-    edges = stored(edges.withColumn("first", F.lit(None).cast("long")), "cluster-edges")
-    done = nodes.select(group, "pos").join(edges.select(group, F.col("i").alias("pos")), [group, "pos"], "left_anti").withColumn("first", F.col("pos"))
-    rounds = [passed(edges, done)]
-    while not (rest := rounds[-1].where("waits > 0")).isEmpty():
-        rounds.append(passed(rest.drop("waits", "least"), settled(rounds[-1])))
-    for r in rounds:
-        done = done.unionByName(settled(r))
-    out = stored(done, "settled")
-    dropped(edges, *rounds)
-    return out
+    """(group, pos, first): the first key of each key's cluster, the least of the keys
+    without an earlier neighbour that a chain of earlier neighbours leads to. Such keys
+    pass their number on, and in each round the keys that have got a lesser one pass it
+    on in turn, until none has; a family of keys that are all alike takes two rounds."""
+    edges = stored(edges, "cluster-edges")
+    follow = edges.select(group, F.col("i").alias("pos"), F.lit(True).alias("follows")).distinct()
+    began = nodes.select(group, "pos").join(follow, [group, "pos"], "left").select(group, "pos", F.when(F.col("follows").isNull(), F.col("pos")).alias("first"), F.col("follows").isNull().alias("new"))
+    state = stored(began, "clusters")
+    while not state.where("new").isEmpty():
+        told = edges.join(state.where("new").select(group, F.col("pos").alias("j"), F.col("first").alias("via")), [group, "j"]).groupBy(group, F.col("i").alias("pos")).agg(F.min("via").alias("via"))
+        better = F.coalesce(F.col("via") < F.col("first"), F.col("via").isNotNull())
+        last, state = state, stored(state.join(told, [group, "pos"], "left").select(group, "pos", F.least("first", "via").alias("first"), better.alias("new")), "clusters")
+        dropped(last)
+    dropped(edges)
+    return state
 
 
 def cluster_keys(keys: DataFrame, threshold: float = 0.9, group: str = "video_id", ratio=similarity.ratio) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionmill.functions.text import LINE_END, is_url, output_stem, strip
+from captionmill.operators.stored import stored
 from captionmill.schema import MANIFEST
 
 
@@ -35,7 +36,7 @@ def expand(sources: DataFrame) -> DataFrame:
     """Playlists (column ``expanded``, null for single items) put in place of
     their line, one level deep; order kept, ``seq`` renumbered."""
     n = F.size(F.coalesce("expanded", F.array("source")))
-    dealt = sources.withColumn("n", n).repartitionByRange("line_no").withColumn("part", F.spark_partition_id()).persist()
+    dealt = stored(sources.withColumn("n", n).repartitionByRange("line_no").withColumn("part", F.spark_partition_id()), "playlists")  # a recomputed id may differ
     # One row a partition: the running total goes over partitions, not over rows.
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = dealt.groupBy("part").agg(F.sum("n").alias("total")).select("part", F.coalesce(before, F.lit(0)).alias("offset"))
@@ -58,8 +59,9 @@ def _exists(spark, path: str) -> bool:
 def read_manifest(spark, path: str, version: int = 1) -> DataFrame:
     """The manifest at ``path`` (JSON lines with a version), or an empty one if
     it is missing, broken or of another version: a run then starts afresh. After
-    a stop within ``write_manifest`` the new manifest is read where it lies."""
-    path = path if _exists(spark, path) or not _exists(spark, f"{path}.new/_SUCCESS") else f"{path}.new"
+    a stop within ``write_manifest`` the new manifest is put in its place first, so
+    that what is derived from the rows read can be written over them."""
+    _recover(spark, path)
     empty = spark.createDataFrame([], MANIFEST)
     if not _exists(spark, path):
         return empty
@@ -68,13 +70,19 @@ def read_manifest(spark, path: str, version: int = 1) -> DataFrame:
     return raw.select("seq", "source", "status", "output_path", "error") if fine else empty
 
 
+def _recover(spark, path: str) -> None:
+    """Finish the renames of a writer that stopped between them."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at) and fs.exists(_fs(spark, f"{path}.new/_SUCCESS")[1]):
+        fs.rename(_fs(spark, f"{path}.new")[1], at)
+
+
 def write_manifest(manifest: DataFrame, path: str, version: int = 1) -> None:
     """Write the manifest aside, then put it in place by renames; at every
     moment either the old or the new one can be read."""
     spark = manifest.sparkSession
     (fs, at), new, old = _fs(spark, path), _fs(spark, f"{path}.new")[1], _fs(spark, f"{path}.old")[1]
-    if not fs.exists(at) and fs.exists(_fs(spark, f"{path}.new/_SUCCESS")[1]):
-        fs.rename(new, at)  # an earlier stop
+    _recover(spark, path)
     manifest.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").json(f"{path}.new")
     fs.delete(old, True)
     if fs.exists(at):

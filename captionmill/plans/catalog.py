@@ -245,15 +245,20 @@ def cross_frame_dedup(spark, d):
     return segments.dedup(load(spark, d, "points")).select("video_id", "seq", "start", "end", "text", "source", F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
 
-# A cluster is that of the least first key that a chain of earlier neighbours leads to.
-@query(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT p_type AS video_id, lower(p_name) AS key, min(p_partkey) AS first_seq FROM part GROUP BY ALL),
-n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM k),
-{_lcs_of("r", "SELECT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key")},
-near AS MATERIALIZED (SELECT s, u FROM r WHERE r >= 0.75),
-e AS MATERIALIZED (SELECT x.video_id, x.pos AS i, y.pos AS j FROM n x JOIN near ON near.s = x.key JOIN n y ON y.video_id = x.video_id AND y.key = near.u WHERE y.pos < x.pos),
-reach(video_id, i, j) AS (SELECT video_id, pos, pos FROM n UNION SELECT reach.video_id, reach.i, e.j FROM reach JOIN e ON e.video_id = reach.video_id AND e.i = reach.j),
-f AS (SELECT video_id, i, min(j) AS first FROM reach GROUP BY ALL)
-SELECT n.video_id, n.key, CAST(dense_rank() OVER (PARTITION BY n.video_id ORDER BY first) - 1 AS INTEGER) AS cluster FROM n JOIN f ON f.video_id = n.video_id AND f.i = n.pos""")
+def _clusters_of(keys: str, threshold: float) -> str:
+    """Expressions that end with ``clustered`` (video_id, key, first): a key's cluster is that of
+    the least first key that a chain of earlier neighbours leads to. ``keys``: video_id, key, first_seq."""
+    return f"""k AS MATERIALIZED ({keys}),
+kn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM k),
+{_lcs_of("kr", "SELECT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key")},
+near_keys AS MATERIALIZED (SELECT s, u FROM kr WHERE r >= {threshold}),
+earlier AS MATERIALIZED (SELECT x.video_id, x.pos AS i, y.pos AS j FROM kn x JOIN near_keys ON near_keys.s = x.key JOIN kn y ON y.video_id = x.video_id AND y.key = near_keys.u WHERE y.pos < x.pos),
+reach(video_id, i, j) AS (SELECT video_id, pos, pos FROM kn UNION SELECT reach.video_id, reach.i, earlier.j FROM reach JOIN earlier ON earlier.video_id = reach.video_id AND earlier.i = reach.j),
+clustered AS MATERIALIZED (SELECT kn.video_id, kn.key, min(j) AS first FROM kn JOIN reach ON reach.video_id = kn.video_id AND reach.i = kn.pos GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_clusters_of("SELECT p_type AS video_id, lower(p_name) AS key, min(p_partkey) AS first_seq FROM part GROUP BY ALL", 0.75)}
+SELECT video_id, key, CAST(dense_rank() OVER (PARTITION BY video_id ORDER BY first) - 1 AS INTEGER) AS cluster FROM clustered""")
 def clustered_keys(spark, d):
     keys = load(spark, d, "part").select(F.col("p_type").alias("video_id"), F.lower("p_name").alias("key"), "p_partkey").groupBy("video_id", "key").agg(F.min("p_partkey").alias("first_seq"))
     return segments.cluster_keys(keys, 0.75)
@@ -267,6 +272,18 @@ def channel_merge(spark, d):
     return segments.merge(load(spark, d, "speech"), load(spark, d, "captions")).select("video_id", "seq", "start", "end", "source")
 
 
+@query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, {_KEY.format("text")} AS key FROM {{marks}}),
+{_clusters_of("SELECT video_id, key, min(seq) AS first_seq FROM m WHERE source = 'ON-SCREEN' AND key <> '' GROUP BY ALL", 0.8)},
+n AS (SELECT video_id, first, count(*) AS n FROM m JOIN clustered USING (video_id, key) WHERE source = 'ON-SCREEN' GROUP BY ALL), f AS (SELECT video_id, count(DISTINCT "start") AS f FROM m GROUP BY video_id),
+often AS (SELECT video_id, key FROM clustered JOIN n USING (video_id, first) JOIN f USING (video_id) WHERE n / f >= 0.2)
+SELECT m.video_id, m.seq, m.text FROM m WHERE source <> 'ON-SCREEN' OR NOT EXISTS (SELECT 1 FROM often o WHERE o.video_id = m.video_id AND o.key = m.key)""")
+def recurring_families(spark, d):
+    """Recurrence over families of similar keys."""
+    m = load(spark, d, "marks")
+    counts = m.groupBy("video_id").agg(F.count_distinct("start").alias("frame_count"))
+    return segments.drop_recurring(m, counts, 0.2, 80.0).select("video_id", "seq", "text")
+
+
 # Rows of both channels vie for one another: the spoken rows of a video choose one after another.
 @query(f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM {{marks}} WHERE source = 'SPEECH'), sc AS MATERIALIZED (SELECT * FROM {{marks}} WHERE source = 'ON-SCREEN'),
 {_weighted_of("SELECT DISTINCT lower(x.text) AS a, lower(y.text) AS b FROM sp x, sc y")},
@@ -520,6 +537,16 @@ def spatial_stats(spark, d):
     return own.select("video_id", F.col("cluster").alias("canonical_key"), "canonical_text", "occurrence_count", F.round("mean_normalized_height", 6).alias("mean_normalized_height"), F.round("position_stability", 6).alias("position_stability"), "matched")
 
 
+@query(f"""WITH RECURSIVE geo AS MATERIALIZED (SELECT * FROM {{geometry}}),
+{_clusters_of('SELECT video_id, "key" AS key, min(seq) AS first_seq FROM geo GROUP BY ALL', 0.6)}
+SELECT video_id, arg_min(text, seq) AS canonical_text, count(*) AS occurrence_count, round(avg(normalized_height), 6) AS mean_normalized_height, round(CASE WHEN count(*) > 1 THEN sqrt(var_pop(x_center_norm) + var_pop(y_center_norm)) END, 6) AS position_stability, bool_or(matched) AS matched FROM geo JOIN clustered USING (video_id, key) GROUP BY video_id, first""")
+def spatial_clusters(spark, d):
+    g = load(spark, d, "geometry")
+    keys = g.groupBy("video_id", "key").agg(F.min("seq").alias("first_seq"))
+    own = evaluation.spatial(g, segments.cluster_keys(keys, 0.6))
+    return own.select("video_id", "canonical_text", "occurrence_count", F.round("mean_normalized_height", 6).alias("mean_normalized_height"), F.round("position_stability", 6).alias("position_stability"), "matched")
+
+
 @query("""SELECT matched, count(*) AS n, min(normalized_height) AS min_height, max(normalized_height) AS max_height, round(avg(normalized_height), 6) AS mean_height FROM {geometry} GROUP BY matched""")
 def height_separation(spark, d):
     return evaluation.heights(load(spark, d, "geometry")).withColumn("mean_height", F.round("mean_height", 6))
