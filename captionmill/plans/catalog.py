@@ -206,9 +206,12 @@ def _profiles_of(spark, d) -> DataFrame:
     return profiles.resolve(videos)
 
 
-@query(f"""SELECT video_id, seq, text FROM {{points}} WHERE NOT (source = 'ON-SCREEN' AND (
+_FITS = f"""NOT (source = 'ON-SCREEN' AND (
   (CAST(video_id AS INTEGER) % 3 = 0 AND (regexp_matches({_STRIP.format('text')}, '^@[\\w.]+$') OR regexp_matches({_STRIP.format('text')}, '^\\d+(\\.\\d+)?[KkMm]?$')))
-  OR (CAST(video_id AS INTEGER) % 3 = 1 AND regexp_matches({_STRIP.format('text')}, '^@[\\w.\\-]+$'))))""")
+  OR (CAST(video_id AS INTEGER) % 3 = 1 AND regexp_matches({_STRIP.format('text')}, '^@[\\w.\\-]+$'))))"""
+
+
+@query(f"SELECT video_id, seq, text FROM {{points}} WHERE {_FITS}")
 def pattern_filter(spark, d):
     return segments.drop_patterns(load(spark, d, "points"), _profiles_of(spark, d)).select("video_id", "seq", "text")
 
@@ -219,28 +222,16 @@ def _frames_read(points) -> DataFrame:
     return frames.frame_counts(last.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame_idx")))
 
 
-_FREQ = f"""k AS (SELECT *, CASE WHEN source = 'ON-SCREEN' THEN {_KEY.format('text')} END AS key FROM {{points}}),
-f AS (SELECT video_id, CAST(floor(max("end")) AS BIGINT) + 1 AS frame_count FROM {{points}} GROUP BY 1),
-c AS (SELECT video_id, CASE WHEN key LIKE '@%' AND length(key) >= 6 THEN substr(key, 2) ELSE key END AS c, count(*) AS n FROM k WHERE key IS NOT NULL GROUP BY ALL)"""
-
-
-@query(f"""WITH {_FREQ} SELECT k.video_id, k.seq, k.text FROM k JOIN f USING (video_id)
-LEFT JOIN c ON c.video_id = k.video_id AND c.c = CASE WHEN key LIKE '@%' AND length(key) >= 6 THEN substr(key, 2) ELSE key END WHERE key IS NULL OR frame_count < 10 OR n / frame_count < 0.1""")
-def recurrence_filter(spark, d):
-    points = load(spark, d, "points")
-    counts = _frames_read(points)
-    return segments.drop_recurring(points, counts, threshold=0.1, least_frames=10).select("video_id", "seq", "text")
-
-
 #: Keys are equal, so texts differ in case or by a leading space: their common subsequence is the shorter one.
-_DEDUP = f"""k AS (SELECT *, {_KEY.format('text')} AS key FROM {{points}} WHERE source = 'ON-SCREEN'),
-l AS (SELECT *, lag(text) OVER w AS pt, lag("end") OVER w AS pe FROM k WHERE key <> '' WINDOW w AS (PARTITION BY video_id, key ORDER BY "start", seq)),
-b AS (SELECT *, sum(CASE WHEN pt IS NULL OR 2.0 * least(length(text), length(pt)) / (length(text) + length(pt)) < 0.85 OR "start" - pe > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, key ORDER BY "start", seq) AS island FROM l),
-dd AS (SELECT video_id, min(seq) AS seq, min("start") AS "start", arg_max("end", ("start", seq)) AS "end", arg_min(text, ("start", seq)) AS text, 'ON-SCREEN' AS source, avg(ocr_confidence) AS ocr_confidence FROM b GROUP BY video_id, key, island
-  UNION ALL SELECT video_id, seq, "start", "end", text, source, ocr_confidence FROM {{points}} WHERE source = 'SPEECH')"""
+def _dedup_of(rows: str) -> str:
+    return f"""dk AS (SELECT *, {_KEY.format('text')} AS dkey FROM {rows} WHERE source = 'ON-SCREEN'),
+dl AS (SELECT *, lag(text) OVER w AS pt, lag("end") OVER w AS pe FROM dk WHERE dkey <> '' WINDOW w AS (PARTITION BY video_id, dkey ORDER BY "start", seq)),
+db AS (SELECT *, sum(CASE WHEN pt IS NULL OR 2.0 * least(length(text), length(pt)) / (length(text) + length(pt)) < 0.85 OR "start" - pe > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, dkey ORDER BY "start", seq) AS island FROM dl),
+dd AS MATERIALIZED (SELECT video_id, min(seq) AS seq, min("start") AS "start", arg_max("end", ("start", seq)) AS "end", arg_min(text, ("start", seq)) AS text, 'ON-SCREEN' AS source, avg(ocr_confidence) AS ocr_confidence FROM db GROUP BY video_id, dkey, island)"""
 
 
-@query(f'WITH {_DEDUP} SELECT video_id, min_seq AS seq, "start", "end", text, source, round(ocr_confidence, 6) AS ocr_confidence FROM (SELECT *, seq AS min_seq FROM dd)')
+@query(f"""WITH {_dedup_of("{points}")} SELECT video_id, seq, "start", "end", text, source, round(ocr_confidence, 6) AS ocr_confidence FROM dd
+UNION ALL SELECT video_id, seq, "start", "end", text, source, round(ocr_confidence, 6) FROM {{points}} WHERE source = 'SPEECH'""")
 def cross_frame_dedup(spark, d):
     return segments.dedup(load(spark, d, "points")).select("video_id", "seq", "start", "end", "text", "source", F.round("ocr_confidence", 6).alias("ocr_confidence"))
 
@@ -248,9 +239,9 @@ def cross_frame_dedup(spark, d):
 def _clusters_of(keys: str, threshold: float) -> str:
     """Expressions that end with ``clustered`` (video_id, key, first): a key's cluster is that of
     the least first key that a chain of earlier neighbours leads to. ``keys``: video_id, key, first_seq."""
-    return f"""k AS MATERIALIZED ({keys}),
-kn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM k),
-{_lcs_of("kr", "SELECT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM k) x, (SELECT DISTINCT key FROM k) y WHERE x.key <> y.key")},
+    return f"""ck AS MATERIALIZED ({keys}),
+kn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY first_seq, key) AS pos FROM ck),
+{_lcs_of("kr", "SELECT x.key AS s, y.key AS u FROM (SELECT DISTINCT key FROM ck) x, (SELECT DISTINCT key FROM ck) y WHERE x.key <> y.key")},
 near_keys AS MATERIALIZED (SELECT s, u FROM kr WHERE r >= {threshold}),
 earlier AS MATERIALIZED (SELECT x.video_id, x.pos AS i, y.pos AS j FROM kn x JOIN near_keys ON near_keys.s = x.key JOIN kn y ON y.video_id = x.video_id AND y.key = near_keys.u WHERE y.pos < x.pos),
 reach(video_id, i, j) AS (SELECT video_id, pos, pos FROM kn UNION SELECT reach.video_id, reach.i, earlier.j FROM reach JOIN earlier ON earlier.video_id = reach.video_id AND earlier.i = reach.j),
@@ -272,32 +263,53 @@ def channel_merge(spark, d):
     return segments.merge(load(spark, d, "speech"), load(spark, d, "captions")).select("video_id", "seq", "start", "end", "source")
 
 
-@query(f"""WITH RECURSIVE m AS MATERIALIZED (SELECT *, {_KEY.format("text")} AS key FROM {{marks}}),
-{_clusters_of("SELECT video_id, key, min(seq) AS first_seq FROM m WHERE source = 'ON-SCREEN' AND key <> '' GROUP BY ALL", 0.8)},
-n AS (SELECT video_id, first, count(*) AS n FROM m JOIN clustered USING (video_id, key) WHERE source = 'ON-SCREEN' GROUP BY ALL), f AS (SELECT video_id, count(DISTINCT "start") AS f FROM m GROUP BY video_id),
-often AS (SELECT video_id, key FROM clustered JOIN n USING (video_id, first) JOIN f USING (video_id) WHERE n / f >= 0.2)
-SELECT m.video_id, m.seq, m.text FROM m WHERE source <> 'ON-SCREEN' OR NOT EXISTS (SELECT 1 FROM often o WHERE o.video_id = m.video_id AND o.key = m.key)""")
-def recurring_families(spark, d):
-    """Recurrence over families of similar keys."""
-    m = load(spark, d, "marks")
-    counts = m.groupBy("video_id").agg(F.count_distinct("start").alias("frame_count"))
-    return segments.drop_recurring(m, counts, 0.2, 80.0).select("video_id", "seq", "text")
+def _merge_of(speech: str, screen: str) -> str:
+    """Expressions that end with ``merged`` (video_id, seq, start, end, text, source, o_conf): rows of
+    both channels vie for one another, and the spoken rows of a video choose one after another."""
+    return f"""sp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM {speech}), sc AS MATERIALIZED (SELECT * FROM {screen}),
+{_weighted_of("SELECT DISTINCT lower(x.text) AS a, lower(y.text) AS b FROM (SELECT DISTINCT text FROM sp) x, (SELECT DISTINCT text FROM sc) y")},
+likes AS MATERIALIZED (SELECT sp.video_id, sp.n, list(sc.seq ORDER BY w DESC, sc."start", sc.seq) AS likes FROM sp JOIN sc ON sc.video_id = sp.video_id AND sp."start" <= sc."end" AND sc."start" <= sp."end" JOIN weighed e ON e.a = lower(sp.text) AND e.b = lower(sc.text) WHERE w >= 0.85 GROUP BY ALL),
+got(video_id, n, taken, got) AS (SELECT video_id, 0, CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM sp WHERE n = 1
+  UNION ALL SELECT video_id, n, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT g.video_id, sp.n, g.taken, list_filter(coalesce(c.likes, []), lambda x: NOT list_contains(g.taken, x))[1] AS pick FROM got g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n + 1 LEFT JOIN likes c ON c.video_id = sp.video_id AND c.n = sp.n)),
+every AS (SELECT sp.video_id, sp.seq, least(sp."start", coalesce(sc."start", sp."start")) AS "start", greatest(sp."end", coalesce(sc."end", sp."end")) AS "end", CASE WHEN got IS NULL THEN sp.text ELSE {_CUE.format("sp.text")} END AS text, CASE WHEN got IS NULL THEN 'SPEECH' ELSE 'BOTH' END AS source, CASE WHEN got IS NULL THEN sp.ocr_confidence END AS o_conf, 0 AS ch FROM got g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n LEFT JOIN sc ON sc.video_id = g.video_id AND sc.seq = got
+  UNION ALL SELECT sc.video_id, sc.seq, "start", "end", text, source, ocr_confidence, 1 FROM sc WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.video_id = sc.video_id AND g.got = sc.seq)),
+merged AS (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN both_ THEN "start" END, ch, seq) AS seq, "start", "end", text, source, o_conf FROM (SELECT *, min(ch) OVER v <> max(ch) OVER v AS both_ FROM every WINDOW v AS (PARTITION BY video_id)))"""
 
 
-# Rows of both channels vie for one another: the spoken rows of a video choose one after another.
-@query(f"""WITH RECURSIVE sp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seq) AS n FROM {{marks}} WHERE source = 'SPEECH'), sc AS MATERIALIZED (SELECT * FROM {{marks}} WHERE source = 'ON-SCREEN'),
-{_weighted_of("SELECT DISTINCT lower(x.text) AS a, lower(y.text) AS b FROM sp x, sc y")},
-c AS MATERIALIZED (SELECT sp.video_id, sp.n, list(sc.seq ORDER BY w DESC, sc."start", sc.seq) AS likes FROM sp JOIN sc ON sc.video_id = sp.video_id AND sp."start" <= sc."end" AND sc."start" <= sp."end" JOIN weighed e ON e.a = lower(sp.text) AND e.b = lower(sc.text) WHERE w >= 0.85 GROUP BY ALL),
-g(video_id, n, taken, got) AS (SELECT video_id, 0, CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM sp WHERE n = 1
-  UNION ALL SELECT video_id, n, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, pick FROM (SELECT g.video_id, sp.n, g.taken, list_filter(coalesce(c.likes, []), lambda x: NOT list_contains(g.taken, x))[1] AS pick FROM g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n + 1 LEFT JOIN c ON c.video_id = sp.video_id AND c.n = sp.n)),
-e2 AS (SELECT sp.video_id, sp.seq, least(sp."start", coalesce(sc."start", sp."start")) AS "start", greatest(sp."end", coalesce(sc."end", sp."end")) AS "end", CASE WHEN got IS NULL THEN 'SPEECH' ELSE 'BOTH' END AS source, 0 AS ch FROM g JOIN sp ON sp.video_id = g.video_id AND sp.n = g.n LEFT JOIN sc ON sc.video_id = g.video_id AND sc.seq = got
-  UNION ALL SELECT sc.video_id, sc.seq, "start", "end", source, 1 FROM sc WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.video_id = sc.video_id AND g.got = sc.seq))
-SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY "start", ch, seq) AS seq, "start", "end", source FROM e2""")
+@query(f"""WITH RECURSIVE {_merge_of("{marks} WHERE source = 'SPEECH'", "{marks} WHERE source = 'ON-SCREEN'")} SELECT video_id, seq, "start", "end", source FROM merged""")
 def contended_merge(spark, d):
     m = load(spark, d, "marks")
     return segments.merge(m.where("source = 'SPEECH'"), m.where("source = 'ON-SCREEN'")).select("video_id", "seq", "start", "end", "source")
 
 
+def _recurring_of(rows: str, frames: str, share: float, fuzzy: float, least: int = 0) -> str:
+    """Expressions that end with ``kept``: ``rows`` without recurring families of keys, given
+    ``frames`` (video_id, f)."""
+    return f"""m AS MATERIALIZED (SELECT *, CASE WHEN source = 'ON-SCREEN' THEN {_KEY.format("text")} END AS key FROM {rows}), frames AS ({frames}),
+{_clusters_of("SELECT video_id, key, min(seq) AS first_seq FROM m WHERE key <> '' GROUP BY ALL", fuzzy)},
+families AS (SELECT video_id, first, count(*) AS n FROM m JOIN clustered USING (video_id, key) GROUP BY ALL),
+often AS (SELECT video_id, key FROM clustered JOIN families USING (video_id, first) JOIN frames USING (video_id) WHERE f >= {least} AND n / f >= {share} UNION ALL SELECT video_id, key FROM m JOIN frames USING (video_id) WHERE key = '' GROUP BY video_id, key, f HAVING f >= {least} AND count(*) / f >= {share}),
+kept AS MATERIALIZED (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.video_id = m.video_id AND o.key = m.key))"""
+
+
+_READ = 'SELECT video_id, CAST(floor(max("end")) AS BIGINT) + 1 AS f FROM {points} GROUP BY 1'
+
+
+@query(f"WITH RECURSIVE {_recurring_of('{points}', _READ, 0.1, 0.9, 10)} SELECT video_id, seq, text FROM kept")
+def recurrence_filter(spark, d):
+    points = load(spark, d, "points")
+    counts = _frames_read(points)
+    return segments.drop_recurring(points, counts, threshold=0.1, least_frames=10).select("video_id", "seq", "text")
+
+
+@query(f"""WITH RECURSIVE {_recurring_of("{marks}", 'SELECT video_id, count(DISTINCT "start") AS f FROM {marks} GROUP BY video_id', 0.2, 0.8)} SELECT video_id, seq, text FROM kept""")
+def recurring_families(spark, d):
+    """Recurrence over families of similar keys."""
+    m = load(spark, d, "marks")
+    counts = m.groupBy("video_id").agg(F.count_distinct("start").alias("frame_count"))
+    return segments.drop_recurring(m, counts, 0.2, 80.0).select("video_id", "seq", "text")
+
+
 @query("""WITH c AS (SELECT conv_id AS v, turn AS n, CASE WHEN turn % 3 = 0 THEN 0 ELSE turn END AS k FROM conversations)
 SELECT CAST(v AS VARCHAR) AS video_id, coalesce(arg_min(concat('l', n), n) FILTER (k > 0), 'en') AS language FROM c GROUP BY v""")
 def chunk_languages(spark, d):
@@ -650,11 +662,16 @@ def list_lines(spark, d):
 # The whole chain ----------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH RECURSIVE fits AS MATERIALIZED (SELECT * FROM {{points}} WHERE {_FITS}),
+{_recurring_of("fits", _READ, 0.95, 0.9)},
+{_dedup_of("kept")},
+{_merge_of("{points} WHERE source = 'SPEECH'", "dd")}
+SELECT video_id, seq, "start", "end", text, source, round(o_conf, 6) AS ocr_confidence FROM merged""")
 def transcript_chain(spark, d):
     """Pattern filter, recurrence filter, dedup and merge, in this order."""
     points = load(spark, d, "points")
     counts = _frames_read(points)
     shown = segments.drop_recurring(segments.drop_patterns(points, _profiles_of(spark, d)), counts)
     told = segments.dedup(shown.where(F.col("source") == "ON-SCREEN"))
-    return segments.merge(points.where("source = 'SPEECH'").select(*segments.COLUMNS), told)
+    merged = segments.merge(points.where("source = 'SPEECH'").select(*segments.COLUMNS), told)
+    return merged.select("video_id", "seq", "start", "end", "text", "source", F.round("ocr_confidence", 6).alias("ocr_confidence"))
