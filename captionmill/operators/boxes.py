@@ -53,7 +53,11 @@ def group_lines(boxes: DataFrame, y_ratio: float = 0.5) -> DataFrame:
     """Each box with its line, its place in the line and the frame's mean
     height. A box joins the line while it lies within ``y_ratio`` mean heights
     of the line's running mean."""
-    framed = _frames(boxes).withColumn("mean_height", F.expr("aggregate(boxes, 0D, (s, b) -> s + b.height) / size(boxes)"))
+    return _lined(_frames(boxes), y_ratio)
+
+
+def _lined(frames: DataFrame, y_ratio: float) -> DataFrame:
+    framed = frames.withColumn("mean_height", F.expr("aggregate(boxes, 0D, (s, b) -> s + b.height) / size(boxes)"))
     by_y = framed.withColumn("sorted", F.expr("array_sort(boxes, (l, r) -> CASE WHEN l.y_center < r.y_center THEN -1 WHEN l.y_center > r.y_center THEN 1 ELSE l.pos - r.pos END)"))
     numbered = by_y.withColumn("line", F.expr(_lines(f"mean_height * {y_ratio}D")))
     return numbered.select(*FRAME, "mean_height", F.posexplode(F.arrays_zip(F.col("sorted").alias("b"), "line")).alias("place", "z")).select(*FRAME, "mean_height", "place", F.col("z.line").alias("line"), "z.b.*")
@@ -76,7 +80,8 @@ def split_columns(lined: DataFrame, x_ratio: float = 2.0) -> DataFrame:
 def aggregate_boxes(boxes: DataFrame, min_confidence: float = 0.6, y_ratio: float = 0.5, x_ratio: float = 2.0) -> DataFrame:
     """Boxes (video_id, frame_ts, pos, box, text, score) to lines."""
     sure = with_bounds(boxes.where(F.col("score") >= min_confidence))
-    return split_columns(group_lines(drop_nested(sure), y_ratio), x_ratio)
+    kept = _frames(sure).select(*FRAME, F.expr(_ACCEPT).alias("boxes"))  # gathered once for both folds
+    return split_columns(_lined(kept, y_ratio), x_ratio)
 
 
 def normalized(lines: DataFrame, frames: DataFrame) -> DataFrame:

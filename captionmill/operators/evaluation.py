@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from captionmill.functions import similarity
 from captionmill.functions.text import in_window
+from captionmill.operators.stored import stored
 from captionmill.schema import BOTH, ON_SCREEN
 
 #: Fixed values of the evaluation.
@@ -97,7 +98,7 @@ def per_text(segments: DataFrame, expected: DataFrame, threshold: float = 0.85,
     pair, then triple, each only if strictly better), the indices that a pair
     or triple used, matched and near_miss. Expected rows that share a text get
     the last one's result."""
-    near = candidates(segments, expected)
+    near = stored(candidates(segments, expected), "candidates")  # singles, pairs and triples read it
     single = near.withColumn("sim", ratio(F.col("s_text"), F.col("gt_text"))).groupBy("video_id", "gt_seq").agg(
         F.count("*").alias("n"), F.max_by(F.struct("sim", F.col("s_text").alias("text")), F.struct("sim", F.negative("seq"))).alias("one")
     )
@@ -191,6 +192,18 @@ def overall_recall(summaries: DataFrame) -> DataFrame:
     return sums.where("expected > 0").select("ocr_model_set", (F.col("matched") / F.col("expected")).alias("recall"))
 
 
+def summary_levels(records: DataFrame) -> DataFrame:
+    """Sums and ratios by language and model set, by model set, and over all, in one
+    pass of grouping sets. ``level`` is 0, 1 (all languages) or 3 (all sets too); the
+    columns summed over are null, and so is the recall of a set without expected texts."""
+    sums = records.groupingSets([["language", "ocr_model_set"], ["ocr_model_set"], []], "language", "ocr_model_set").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("clips"), *[F.sum(c).alias(c) for c in ("expected", "matched", "segments", "unmatched")],
+    )
+    level = F.when(F.col("level") == 2, 1).otherwise(F.col("level")).alias("level")
+    recall = F.when(F.col("level") == 0, share("matched", "expected", 1.0)).otherwise(F.when(F.col("expected") > 0, F.col("matched") / F.greatest("expected", F.lit(1))))
+    return sums.select("language", "ocr_model_set", level, "clips", "expected", "matched", "segments", "unmatched", recall.alias("recall"), share("unmatched", "segments", 0.0).alias("unmatched_rate"))
+
+
 def eval_records(raw: DataFrame) -> DataFrame:
     """Counts of evaluation results read from JSON (schema EVAL_JSON); required
     texts alone count, and absent flags mean required."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from captionmill.functions import similarity
 from captionmill.functions.text import cue, full_key, overlaps
 from captionmill.operators.clusters import cluster_keys
+from captionmill.operators.stored import stored
 from captionmill.schema import BOTH, ON_SCREEN, SPEECH
 
 COLUMNS = ["video_id", "seq", "start", "end", "text", "source", "asr_logprob", "ocr_confidence", "language"]
@@ -131,7 +132,7 @@ def merge(speech: DataFrame, screen: DataFrame, threshold: float = 0.85, score=s
     other rows stay. Only the candidates, not the rows, go through the
     sequential choice. ``seq`` is renumbered in the order of the result: by
     start, speech first; a video with one channel keeps that channel's order."""
-    pairs = merge_candidates(speech, screen, threshold, score=score).groupBy("video_id").applyInPandas(_resolve, "video_id string, s_seq long, o_seq long")
+    pairs = stored(merge_candidates(speech, screen, threshold, score=score).groupBy("video_id").applyInPandas(_resolve, "video_id string, s_seq long, o_seq long"), "merge-pairs")
     o = screen.select("video_id", F.col("seq").alias("o_seq"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
     met = pairs.join(o, ["video_id", "o_seq"]).withColumnRenamed("s_seq", "seq")
     both = speech.join(met, ["video_id", "seq"], "left")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from captionmill.functions import languages, similarity, text
 from captionmill.operators import audio, boxes, cleanup, evaluation, frames, manifest, profiles, segments, sinks
 from captionmill.operators.stored import shared_folder, stored
+from captionmill.plans import chain
 from captionmill.sources import images, media, whole_files
 from captionmill.sources.derived import load, with_views
 
@@ -170,13 +171,13 @@ def _boxes(spark, d) -> DataFrame:
     return load(spark, d, "rects").selectExpr("video_id", "frame_ts", "pos", f"{corners} AS box", "text", "score")
 
 
-_KEPT = """o AS (SELECT *, (x0 + x1) / 2 AS xc, (y0 + y1) / 2 AS yc, y1 - y0 AS h, row_number() OVER (PARTITION BY video_id, frame_ts ORDER BY pos) AS n FROM {rects} WHERE score >= 0.6),
-kept(video_id, frame_ts, n, acc) AS (SELECT video_id, frame_ts, 1, [struct_pack(n := n, x0 := x0, x1 := x1, y0 := y0, y1 := y1, t := text)] FROM o WHERE n = 1
+_KEPT = """bx AS (SELECT *, (x0 + x1) / 2 AS xc, (y0 + y1) / 2 AS yc, y1 - y0 AS h, row_number() OVER (PARTITION BY video_id, frame_ts ORDER BY pos) AS n FROM {rects} WHERE score >= 0.6),
+kept(video_id, frame_ts, n, acc) AS (SELECT video_id, frame_ts, 1, [struct_pack(n := n, x0 := x0, x1 := x1, y0 := y0, y1 := y1, t := text)] FROM bx WHERE n = 1
   UNION ALL SELECT k.video_id, k.frame_ts, o.n, CASE WHEN len(list_filter(acc, lambda q: q.t = o.text AND q.x0 < o.x1 AND o.x0 < q.x1 AND q.y0 < o.y1 AND o.y0 < q.y1)) > 0 THEN acc
-    ELSE list_append(acc, struct_pack(n := o.n, x0 := o.x0, x1 := o.x1, y0 := o.y0, y1 := o.y1, t := o.text)) END FROM kept k JOIN o ON o.video_id = k.video_id AND o.frame_ts = k.frame_ts AND o.n = k.n + 1),
-best AS (SELECT video_id, frame_ts, arg_max(acc, n) AS acc FROM kept GROUP BY video_id, frame_ts),
-fin AS (SELECT video_id, frame_ts, unnest(list_transform(acc, lambda q: q.n)) AS n FROM best),
-sv AS (SELECT o.*, avg(h) OVER (PARTITION BY o.video_id, o.frame_ts) AS mh, row_number() OVER (PARTITION BY o.video_id, o.frame_ts ORDER BY yc, pos) AS r FROM o JOIN fin USING (video_id, frame_ts, n)),
+    ELSE list_append(acc, struct_pack(n := o.n, x0 := o.x0, x1 := o.x1, y0 := o.y0, y1 := o.y1, t := o.text)) END FROM kept k JOIN bx o ON o.video_id = k.video_id AND o.frame_ts = k.frame_ts AND o.n = k.n + 1),
+accepted AS (SELECT video_id, frame_ts, arg_max(acc, n) AS acc FROM kept GROUP BY video_id, frame_ts),
+fin AS (SELECT video_id, frame_ts, unnest(list_transform(acc, lambda q: q.n)) AS n FROM accepted),
+sv AS (SELECT o.*, avg(h) OVER (PARTITION BY o.video_id, o.frame_ts) AS mh, row_number() OVER (PARTITION BY o.video_id, o.frame_ts ORDER BY yc, pos) AS r FROM bx o JOIN fin USING (video_id, frame_ts, n)),
 ln(video_id, frame_ts, r, c, m, line) AS (SELECT video_id, frame_ts, r, 1, yc, 0 FROM sv WHERE r = 1
   UNION ALL SELECT sv.video_id, sv.frame_ts, sv.r, CASE WHEN abs(yc - m) <= mh * 0.5 THEN c + 1 ELSE 1 END, CASE WHEN abs(yc - m) <= mh * 0.5 THEN (m * c + yc) / (c + 1) ELSE yc END, CASE WHEN abs(yc - m) <= mh * 0.5 THEN line ELSE line + 1 END
   FROM ln JOIN sv ON sv.video_id = ln.video_id AND sv.frame_ts = ln.frame_ts AND sv.r = ln.r + 1)"""
@@ -608,14 +609,35 @@ def model_set_verdict(spark, d):
     return evaluation.verdict(evaluation.summarize(load(spark, d, "records")), "base", "new")
 
 
-@query("""WITH c AS (SELECT 1 AS stage_no, 'raw' AS stage, count(*) AS n FROM {points} UNION ALL SELECT 2, 'on_screen', count(*) FROM {points} WHERE source = 'ON-SCREEN' UNION ALL SELECT 3, 'sure', count(*) FROM {points} WHERE source = 'ON-SCREEN' AND ocr_confidence >= 0.6)
-SELECT stage_no, stage, n, round(CASE WHEN lag(n) OVER (ORDER BY stage_no) > 0 THEN (lag(n) OVER (ORDER BY stage_no) - n) * 100.0 / lag(n) OVER (ORDER BY stage_no) END, 6) AS drop_percent FROM c""")
+_SHOP = "CASE WHEN text = 'RF' THEN '@shop' ELSE text END"
+_CUT_LINES = """g AS (SELECT sv.*, ln.line, x0 - lag(x1) OVER (PARTITION BY sv.video_id, sv.frame_ts, line ORDER BY xc, sv.r) > mh * 2.0 AS cut FROM sv JOIN ln USING (video_id, frame_ts, r)),
+q AS (SELECT *, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, frame_ts, line ORDER BY xc, r) AS INTEGER) AS chunk FROM g),
+lines AS MATERIALIZED (SELECT video_id, frame_ts, line, chunk, string_agg(text, ' ' ORDER BY xc, r) AS text, avg(score) AS score FROM q GROUP BY ALL)"""
+
+
+@query("WITH RECURSIVE " + _KEPT.replace("{rects}", f"(SELECT * REPLACE ({_SHOP} AS text) FROM {{rects}})") + f""",
+{_CUT_LINES},
+shown AS MATERIALIZED (SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_ts, line, chunk) - 1 AS seq, frame_ts AS "start", frame_ts AS "end", text, 'ON-SCREEN' AS source, score AS ocr_confidence FROM lines),
+fits AS MATERIALIZED (SELECT * FROM shown WHERE {_FITS}),
+{_recurring_of("fits", "SELECT video_id, count(DISTINCT frame_ts) AS f FROM {rects} GROUP BY video_id", 0.3, 0.9)},
+{_dedup_of("kept2")},
+{_merge_of("{marks} WHERE source = 'SPEECH'", "dd")},
+n AS (SELECT 1 AS stage_no, 'raw_bboxes' AS stage, count(*) AS n FROM {{rects}} UNION ALL SELECT 2, 'post_aggregation', count(*) FROM lines UNION ALL SELECT 3, 'post_extract', count(*) FROM shown UNION ALL SELECT 4, 'post_pattern_filter', count(*) FROM fits
+  UNION ALL SELECT 5, 'post_frequency_filter', count(*) FROM kept2 UNION ALL SELECT 6, 'post_dedup', count(*) FROM dd UNION ALL SELECT 7, 'final_on_screen_both', count(*) FROM merged WHERE source <> 'SPEECH')
+SELECT stage_no, stage, n, round(CASE WHEN lag(n) OVER (ORDER BY stage_no) > 0 THEN (lag(n) OVER (ORDER BY stage_no) - n) * 100.0 / lag(n) OVER (ORDER BY stage_no) END, 6) AS drop_percent FROM n""".replace("kept AS MATERIALIZED (SELECT * FROM m", "kept2 AS MATERIALIZED (SELECT * FROM m"))
 def funnel_report(spark, d):
-    p = load(spark, d, "points")
-    on, sure = F.col("source") == "ON-SCREEN", F.col("ocr_confidence") >= 0.6
-    one = p.agg(F.count("*").alias("raw"), F.count_if(on).alias("on_screen"), F.count_if(on & sure).alias("sure"))
-    counts = one.select(F.expr("stack(3, 1, 'raw', raw, 2, 'on_screen', on_screen, 3, 'sure', sure) AS (stage_no, stage, n)"))
-    return evaluation.funnel(counts).withColumn("drop_percent", F.round("drop_percent", 6))
+    """All seven counters of one run from boxes to the merged transcript."""
+    found = _boxes(spark, d).withColumn("text", F.expr(_SHOP))
+    seen = found.groupBy("video_id").agg(F.count_distinct("frame_ts").alias("frame_count"))
+    _, funnel = chain.transcript(found, load(spark, d, "marks").where("source = 'SPEECH'"), _profiles_of(spark, d), seen, share=0.3)
+    return funnel.counts(spark).withColumn("drop_percent", F.round("drop_percent", 6))
+
+
+@query("""SELECT language, ocr_model_set, CASE WHEN grouping(ocr_model_set) = 1 THEN 3 WHEN grouping(language) = 1 THEN 1 ELSE 0 END AS level, count(*) AS clips, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(segments) AS BIGINT) AS segments, CAST(sum(unmatched) AS BIGINT) AS unmatched,
+  round(CASE WHEN sum(expected) > 0 THEN sum(matched) / sum(expected) WHEN grouping(language) = 0 THEN 1.0 END, 6) AS recall, round(CASE WHEN sum(segments) > 0 THEN sum(unmatched) / sum(segments) ELSE 0.0 END, 6) AS unmatched_rate FROM {records} GROUP BY GROUPING SETS ((language, ocr_model_set), (ocr_model_set), ())""")
+def summary_levels(spark, d):
+    s = evaluation.summary_levels(load(spark, d, "records"))
+    return s.withColumns({c: F.round(c, 6) for c in ("recall", "unmatched_rate")})
 
 
 # Batch manifest ---------------------------------------------------------------------
@@ -672,6 +694,6 @@ def transcript_chain(spark, d):
     points = load(spark, d, "points")
     counts = _frames_read(points)
     shown = segments.drop_recurring(segments.drop_patterns(points, _profiles_of(spark, d)), counts)
-    told = segments.dedup(shown.where(F.col("source") == "ON-SCREEN"))
+    told = stored(segments.dedup(shown.where(F.col("source") == "ON-SCREEN")), "told")
     merged = segments.merge(points.where("source = 'SPEECH'").select(*segments.COLUMNS), told)
     return merged.select("video_id", "seq", "start", "end", "text", "source", F.round("ocr_confidence", 6).alias("ocr_confidence"))
