@@ -7,14 +7,18 @@ recurrence filter, stays a batch operator.
 
 from __future__ import annotations
 
+import itertools
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from captionmill.functions.similarity import indel
@@ -90,30 +94,80 @@ def dedup_stream(points: DataFrame, threshold: float = 0.85, gap: float = 2.0, m
     return keyed.groupBy("video_id", "key").applyInPandasWithState(step, CLUSTER, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def closed_video_stream(points: DataFrame) -> DataFrame:
-    """Rows of a video, held until its row with ``is_end`` (which carries no
-    text of its own) is in, and given on together with ``frame_count``, the
-    number of its frames: the whole video that a recurrence filter needs."""
-    kept = T.StructType([f for f in points.schema if f.name not in ("is_end", "frame_count")])
+class ClosedVideos(StatefulProcessor):
+    """Appends the rows of a video to a list, so a batch costs what it brings, and gives
+    the list on in parts when the end is in. A closed video is remembered as one number,
+    for ever or for ``keep_ms``, and its rows that come after go."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*(pickle.loads(state.get[0]) if state.exists else []), *batches])
-        over = rows[rows["is_end"].fillna(False).astype(bool)]
-        if not len(over):
-            state.update((pickle.dumps([rows]),))
-            return
-        if state.exists:
-            state.remove()
-        own = rows[~rows["is_end"].fillna(False).astype(bool)]
-        yield own.drop(columns="is_end").assign(frame_count=int(over["frame_count"].iloc[-1]))
+    def __init__(self, kept: T.StructType, keep_ms: int | None, part: int = 10_000):
+        self.kept, self.keep_ms, self.part = kept, keep_ms, part
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", self.kept)
+        self.closed = handle.getValueState("closed", "frame_count long", ttlDurationMs=self.keep_ms)
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame_count, gone = None, self.closed.exists()
+        for pdf in rows:
+            if gone:
+                continue
+            ends = pdf["is_end"].fillna(False).astype(bool)
+            own = pdf.loc[~ends, self.kept.names].astype(object)
+            if len(own):
+                self.rows.appendList([tuple(r) for r in own.where(own.notna(), None).itertuples(index=False)])
+            if ends.any():
+                frame_count = int(pdf.loc[ends, "frame_count"].iloc[-1])
+        if frame_count is None:
+            return
+        held = iter(self.rows.get()) if self.rows.exists() else iter(())
+        while part := list(itertools.islice(held, self.part)):
+            yield pd.DataFrame([tuple(r) for r in part], columns=self.kept.names).assign(frame_count=frame_count)
+        self.rows.clear()
+        self.closed.update((frame_count,))
+
+    def close(self) -> None:
+        pass
+
+
+def closed_video_stream(points: DataFrame, keep_ms: int | None = None) -> DataFrame:
+    """Rows of a video, held until its row with ``is_end`` (which carries no text of its
+    own) is in, and given on together with ``frame_count``, the number of its frames: the
+    whole video that a recurrence filter needs. State lies in RocksDB, which the session
+    must name as its state store; rows are appended to it, never read back before the
+    end. Rows that come after a video's end go. With ``keep_ms`` closed videos are
+    forgotten after that time, on a timer that wants a continuing trigger."""
+    kept = T.StructType([f for f in points.schema if f.name not in ("is_end", "frame_count")])
     schema = T.StructType([*kept, T.StructField("frame_count", T.LongType())])
-    return points.groupBy("video_id").applyInPandasWithState(step, schema, "own binary", "append", GroupStateTimeout.NoTimeout)
+    return points.groupBy("video_id").transformWithStateInPandas(ClosedVideos(kept, keep_ms), schema, "Append", "None" if keep_ms is None else "ProcessingTime")
 
 
 def resume_items(spark, folder: str, checkpoint: str, handle) -> None:
     """Hand each new item file of ``folder`` to ``handle(DataFrame, batch_id)``
     once; what a checkpoint holds as done is not handed over again. At least
-    once: ``handle`` sees a batch again if it failed inside it."""
+    once: ``handle`` sees a batch again if it failed inside it, so a handle that
+    writes should do so by ``append_once``."""
     items = spark.readStream.schema("seq long, source string").json(folder)
     items.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def append_once(rows: DataFrame, target: str, batch_id: int) -> bool:
+    """Add the rows of a batch to the Parquet table ``target``, once however often the
+    batch comes: they are written aside and put in place as ``batch_id=<id>`` by a rename
+    that fails if the place is taken. False if the batch was there already."""
+    spark = rows.sparkSession
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    aside, place = hadoop.Path(f"{target}/_pending-{batch_id}-{uuid.uuid4().hex}"), hadoop.Path(f"{target}/batch_id={batch_id}")
+    fs = place.getFileSystem(conf)
+    if fs.exists(place):
+        return False
+    rows.write.parquet(aside.toString())
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.NONE
+    try:
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(aside), fs.makeQualified(place), how)
+    except Py4JJavaError as e:
+        fs.delete(aside, True)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    return True

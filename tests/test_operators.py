@@ -366,12 +366,17 @@ def test_closed_videos(spark, tmp_path):
     from captionmill.streaming import sampler
 
     kinds = "video_id string, seq long, text string, is_end boolean, frame_count long"
-    for i, part in enumerate(([("v", 0, "a", False, None), ("w", 0, "b", False, None)], [("v", 1, "c", None, None), ("v", 2, None, True, 7)])):
+    parts = ([("v", 0, "a", False, None), ("w", 0, "b", False, None)], [("v", 1, None, None, None), ("v", 2, "d", True, 7), ("w", 1, "c", False, None)], [("v", 3, "late", False, None), ("x", None, None, True, 0)], [("w", 2, None, True, 3)])
+    for i, part in enumerate(parts):
         spark.createDataFrame(part, kinds).coalesce(1).write.parquet(str(tmp_path / "points" / f"n={i}"))
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "points" / "*"))
-    q = sampler.closed_video_stream(stream).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("closed").collect())) == [("v", 0, "a", 7), ("v", 1, "c", 7)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = sampler.closed_video_stream(stream).writeStream.format("memory").queryName("closed").outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(200)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(map(tuple, spark.table("closed").collect())) == [("v", 0, "a", 7), ("v", 1, None, 7), ("w", 0, "b", 3), ("w", 1, "c", 3)]
     rows = spark.createDataFrame([("v", 1), ("w", 1)], "video_id string, seq long")
     assert [r["video_id"] for r in segments.of_closed_videos(rows, spark.createDataFrame([("v",)], "video_id string")).collect()] == ["v"]
 
@@ -398,6 +403,27 @@ def test_resume(spark, tmp_path):
     assert seen == ["a", "b"]
 
 
+def test_a_batch_is_added_once(spark, tmp_path):
+    from captionmill.streaming import sampler
+
+    target = str(tmp_path / "table")
+    failing = []
+
+    def handle(df, batch_id):
+        sampler.append_once(df, target, batch_id)
+        if not failing:  # a stop after the data is in place and before the stream knows
+            failing.append(batch_id)
+            raise RuntimeError("stopped")
+
+    spark.createDataFrame([(0, "a"), (1, "b")], "seq long, source string").coalesce(1).write.json(str(tmp_path / "items"))
+    with pytest.raises(Exception, match="stopped"):
+        sampler.resume_items(spark, str(tmp_path / "items"), str(tmp_path / "done"), handle)
+    sampler.resume_items(spark, str(tmp_path / "items"), str(tmp_path / "done"), handle)
+    assert sorted(r["source"] for r in spark.read.parquet(target).collect()) == ["a", "b"]
+    assert not sampler.append_once(spark.range(3), target, 0) and sampler.append_once(spark.createDataFrame([(2, "c")], "seq long, source string"), target, 1)
+    assert spark.read.parquet(target).count() == 3 and not list((tmp_path / "table").glob("_pending*"))
+
+
 def test_views_hold_whole_texts(spark, tmp_path):
     from captionmill.plans import catalog
     from captionmill.sources.derived import load
