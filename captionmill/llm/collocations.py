@@ -36,7 +36,7 @@ from captionmill.llm.chunks import _slices
 from captionmill.llm.common import internal, make_room, release, stored
 
 BITS = 26  # places of a bitmap: 8 MB
-CHUNK, PER_RANGE, SALT = 12_000_000, 3_000_000, 64
+CHUNK, PER_RANGE, SALT = 6_000_000, 3_000_000, 64
 UNKNOWN = "und"
 #: White space, and what ends a piece besides; A-Z are folded to a-z.
 _ENDS = b".,;:!?\n\x0b\x0c\r"

@@ -58,7 +58,7 @@ def phrase_rows(rng, n=150):
     return [(i, rng.choice([text(), text(), text(), "new york city " * 3, None, ""]), rng.choice(["en", "en", "de", None, "und"])) for i in range(n)]
 
 
-@pytest.mark.parametrize("chunk", [300, 12_000_000])
+@pytest.mark.parametrize("chunk", [300, 6_000_000])
 def test_phrases_equal_plain_counts(spark, monkeypatch, chunk):
     monkeypatch.setattr(collocations, "CHUNK", chunk)
     rows = phrase_rows(random.Random(4))
