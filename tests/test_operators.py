@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from captionmill import schema
-from captionmill.functions import bidi, languages, similarity, text
+from captionmill.functions import bidi, lanes, languages, similarity, text
 from captionmill.operators import audio, boxes, cleanup, evaluation, frames, manifest, profiles, segments, sinks
 from captionmill.sources import media
 
@@ -27,9 +27,9 @@ def one(spark, column):
 
 def test_similarity_anchors(spark):
     for a, b, want in [("SUBSCRIBE!", "Subscribe.", 0.900), ("SUBSCRIBE!", "SUBSCRIBE", 0.947), ("Subscribe →", "SUBSCRIBE!", 0.857), ("", "", 1.0)]:
-        assert round(similarity._ratio(a, b), 3) == want
+        assert round(lanes.ratios([a], [b])[0], 3) == want
         assert round(one(spark, similarity.ratio_sql(F.lit(a), F.lit(b))), 3) == want
-    assert similarity._ratio("Hello world", "Random text") < 0.9
+    assert lanes.ratios(["Hello world"], ["Random text"])[0] < 0.9
     long = "Keine Kampfsporttechnik, keine Gewalt, sondern nur ein Wort und hier ist es"
     assert 0.85 <= similarity.weighted(long, "KEINE KAMPFSPORTTECHNIK KEINE") < 0.9
     assert similarity.weighted("I love this city", "Ich mag Berge sehr gern") < 0.85
@@ -106,7 +106,7 @@ def loop_dedup(rows, threshold, gap, least):
     for own in keys.values():
         cluster = []
         for r in [*sorted(own, key=lambda r: (r[2], r[1])), None]:
-            if r and cluster and similarity._ratio(r[4], cluster[-1][4]) >= threshold and r[2] - cluster[-1][3] <= gap:
+            if r and cluster and similarity.indel(r[4].lower(), cluster[-1][4].lower()) >= threshold and r[2] - cluster[-1][3] <= gap:
                 cluster.append(r)
                 continue
             if cluster and cluster[-1][3] - cluster[0][2] >= least:
