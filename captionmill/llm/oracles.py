@@ -81,3 +81,43 @@ kept AS (SELECT least.* FROM least LEFT JOIN around ON least.k = 2 AND least.lan
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
 """
+
+# The shortest path as a recursion over a conversation's rows: the least (cost, labels) of each
+# state of the role grammar, s0 at the start, s1 behind a system turn, s2 and s3 behind user and assistant.
+_STEP = "struct_pack(c := {0}.c + {1}, l := {0}.l || '{2}')"
+_FAR = "CASE WHEN {} THEN {} ELSE struct_pack(c := CAST(1000000000 AS BIGINT), l := '') END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _edit(state: str, cost: str, label: str, when: str) -> str:
+    return _FAR.format(when, _STEP.format(state, cost, label))
+
+
+_KEPT = {r: f"fault IN ('', 'truncated') AND initial = '{r}'" for r in "sua"}
+_MADE, _LATE = "fault IN ('', 'truncated')", "(CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END)"
+_TO_USER = [_edit(s, *e) for s in ("i0", "i1", "i3") for e in ((_LATE, "K", _KEPT["u"]), (f"2 + {_LATE}", "R", _MADE))]
+_I2 = _least("s2", *[_STEP.format(s, 2, "I") for s in ("s0", "s1", "s3")])
+_I3 = _least("s3", _STEP.format("s2", 2, "I"), *[_STEP.format(s, 4, "II") for s in ("s0", "s1")])
+_CRC = "xor(list_reduce(list_transform(string_split({}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(h, c)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+OP13 = rf"""
+WITH RECURSIVE h AS MATERIALIZED (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS h FROM conversations),
+d AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM d),
+r AS MATERIALIZED (SELECT *, left(role, 1) AS initial, CASE WHEN core = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(core, 1) IN ('.', '!', '?') THEN '' ELSE 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+w(conv_id, n, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), struct_pack(c := CAST(0 AS BIGINT), l := ''), z, z, z FROM (SELECT DISTINCT conv_id, struct_pack(c := CAST(1000000000 AS BIGINT), l := '') AS z FROM r)
+  UNION ALL SELECT conv_id, n, {_STEP.format("i0", 3, "D")}, {_least(_STEP.format("i1", 3, "D"), _edit("i0", _LATE, "K", _KEPT["s"]))}, {_least(_STEP.format("i2", 3, "D"), *_TO_USER)},
+    {_least(_STEP.format("i3", 3, "D"), _edit("i2", _LATE, "K", _KEPT["a"]), _edit("i2", "2 + " + _LATE, "R", _MADE))}
+  FROM (SELECT w.conv_id, r.n, r.initial, r.fault, s0 AS i0, s1 AS i1, {_I2} AS i2, {_I3} AS i3 FROM w JOIN r ON r.conv_id = w.conv_id AND r.n = w.n + 1)),
+e AS MATERIALIZED (SELECT conv_id, {_least("s0", _I3)} AS best FROM w QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+p AS MATERIALIZED (SELECT conv_id, best.l AS audit, unnest(string_split(best.l, '')) AS label, unnest(range(length(best.l))) AS pos FROM e WHERE best.l <> ''),
+q AS (SELECT conv_id, label, pos, sum(CASE WHEN label <> 'I' THEN 1 ELSE 0 END) OVER v AS n, sum(CASE WHEN label <> 'D' THEN 1 ELSE 0 END) OVER v - 1 AS place, (length(audit) - length(replace(audit, 'D', ''))) AS gone, length(audit) AS size FROM p WINDOW v AS (PARTITION BY conv_id ORDER BY pos)),
+t AS (SELECT q.conv_id, string_agg(CASE WHEN label = 'K' THEN role ELSE CASE WHEN (place + (size - gone) % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN label = 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) AS said FROM q LEFT JOIN r ON r.conv_id = q.conv_id AND r.n = q.n WHERE label <> 'D' GROUP BY q.conv_id),
+f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (n > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.l, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN f USING (conv_id) LEFT JOIN e USING (conv_id) LEFT JOIN t USING (conv_id)
+"""

@@ -132,4 +132,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9, "op11_collocations": oracles.OP11}
+    return {"op5_decontamination": oracles.OP5, "op6_host_rules": oracles.OP6, "op9_near_duplicates": oracles.OP9, "op11_collocations": oracles.OP11, "op13_conversation_repair": oracles.OP13}
