@@ -15,7 +15,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     a node to its least neighbour, small-star the smaller ones and itself.
 
     The least neighbour is found by an aggregate with partial sums and joined
-    back, so a node of any degree is never gathered in one place."""
+    back; that join brings all edges of a node, as rows, to one task."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     if large:
