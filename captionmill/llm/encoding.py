@@ -209,6 +209,6 @@ class PieceCounter:
 
 
 @held
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, limit: int = 700_000) -> PieceEncoder:
     """One encoder for each Python worker, kept while the worker is reused."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, limit)

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from captionmill.llm.chunks import _slices
 from captionmill.llm.common import internal, make_room
 from captionmill.llm.encoding import piece_encoder
 
@@ -96,6 +97,9 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 # Files ----------------------------------------------------------------------
 
+#: Pieces that a worker remembers, and bytes of text that it encodes and frames at a time.
+PIECES, SLICE = 350_000, 2_000_000
+
 
 def _open(path: str):
     """(file system, path in it) by URI, so that any store Arrow knows will do."""
@@ -113,16 +117,13 @@ def _frame(payloads: list[bytes]) -> list[bytes]:
 def _writer(path: str, tokenizer_path: str, end_id: int | None, block_bytes: int):
     def write(batches):
         make_room(piece_encoder)
-        encoder = piece_encoder(tokenizer_path)
+        encoder = piece_encoder(tokenizer_path, PIECES)
         wide, dtype = encoder.vocab.dtype.itemsize == 4, encoder.vocab.dtype
         tail = b"" if end_id is None else np.asarray([end_id], dtype).tobytes()
         shard, files, index, offset = TaskContext.get().partitionId(), None, [], 0
         blocks = []  # [offset, bytes, tokens]
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                if not part.num_rows:
-                    continue
+            for part in _slices(batch, SLICE):
                 if files is None:
                     stem = f"{path}/data/part-{shard:05d}-{uuid.uuid4().hex}"
                     where, local = _open(f"{stem}.rec")
@@ -213,6 +214,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     blocks = blocks.select("data", F.col("b.block_offset").alias("offset"), F.col("b.block_bytes").alias("bytes"), (F.col("before") + F.col("b.skip")).alias("start"))
 
     def read(batches):
+        make_room()
         for batch in batches:
             for row in batch.to_pylist():
                 where, local = _open(row["data"])
@@ -236,6 +238,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("data", "index")
 
     def entries(batches):
+        make_room()
         for batch in batches:
             for row in batch.to_pylist():
                 where, local = _open(row["index"])
@@ -244,6 +247,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"data": [row["data"]] * len(table), "offset": table["offset"].astype(np.int64), "bytes": table["length"].astype(np.int64)})
 
     def fetch(batches):
+        make_room()
         for batch in batches:
             out, opened = [], {}
             for row in batch.to_pylist():
