@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,37 +104,107 @@ def dedup(segments: DataFrame, threshold: float = 0.85, min_duration: float = 0.
 # Merge ------------------------------------------------------------------------
 
 
-def merge_candidates(speech: DataFrame, screen: DataFrame, threshold: float = 0.85, bucket: float = 60.0, score=similarity.wratio) -> DataFrame:
-    """Pairs (video_id, s_seq, o_seq, o_start, score) that overlap in time and
-    are similar. Time is cut into buckets for an equi-join, so that long videos
-    do not pair every row with every other; a pair is kept in the bucket where
-    the later of its starts lies."""
-    cut = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.greatest(a, b) / bucket)))
-    s = speech.select("video_id", F.col("seq").alias("s_seq"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), F.col("text").alias("s_text")).withColumn("bucket", cut("s_start", "s_end"))
-    o = screen.select("video_id", F.col("seq").alias("o_seq"), F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("text").alias("o_text")).withColumn("bucket", cut("o_start", "o_end"))
-    once = F.floor(F.greatest("s_start", "o_start") / bucket) == F.col("bucket")
-    near = s.join(o, ["video_id", "bucket"]).where(overlaps("s_start", "s_end", "o_start", "o_end") & once)
-    return near.withColumn("score", score(F.col("s_text"), F.col("o_text"))).where(F.col("score") >= threshold).select("video_id", "s_seq", "o_seq", "o_start", "score")
-
-
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    taken, pairs = set(), []
-    for s, own in pdf.sort_values(["s_seq", "score", "o_start", "o_seq"], ascending=[True, False, True, True], kind="stable").groupby("s_seq", sort=False):
-        o = next((o for o in own["o_seq"] if o not in taken), None)
-        if o is not None:
-            taken.add(o)
-            pairs.append((pdf["video_id"].iloc[0], s, o))
-    return pd.DataFrame(pairs, columns=["video_id", "s_seq", "o_seq"])
+def similar_texts(speech: DataFrame, screen: DataFrame, threshold: float = 0.85, bucket: float = 60.0, score=similarity.wratio) -> DataFrame:
+    """Pairs of texts (video_id, s_text, o_text, score) that are similar and may
+    stand in rows that overlap in time. Time is cut into buckets for an equi-join,
+    and a text enters a bucket once, with the span of its rows there, so that
+    texts which recur are compared once, not row by row."""
+
+    def spans(rows: DataFrame, side: str) -> DataFrame:
+        cut = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest("start", "end") / bucket)))
+        own = rows.select("video_id", F.col("text").alias(f"{side}_text"), "start", "end", cut.alias("bucket"))
+        return own.groupBy("video_id", "bucket", f"{side}_text").agg(F.min("start").alias(f"{side}_start"), F.max("end").alias(f"{side}_end"))
+
+    near = spans(speech, "s").join(spans(screen, "o"), ["video_id", "bucket"]).where(overlaps("s_start", "s_end", "o_start", "o_end"))
+    told = near.select("video_id", "s_text", "o_text").distinct().withColumn("score", score(F.col("s_text"), F.col("o_text")))
+    return told.where(F.col("score") >= threshold)
+
+
+class _Free:
+    """The rows of one text in the order (start, seq): a tree of the latest ends
+    of those not taken leads to the first one that reaches a time."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.start, self.seq, self.size = rows["start"].tolist(), rows["seq"].tolist(), 1 << (len(rows) - 1).bit_length()
+        levels = [np.concatenate([rows["end"].to_numpy(float), np.full(self.size - len(rows), -np.inf)])]
+        while len(levels[0]) > 1:
+            levels.insert(0, levels[0].reshape(-1, 2).max(1))
+        self.latest = [-np.inf, *np.concatenate(levels).tolist()]
+
+    def first(self, start: float, end: float) -> int | None:
+        """Place of the first free row that overlaps ``start`` to ``end``."""
+        latest, i = self.latest, 1
+        if latest[1] < start:
+            return None
+        while i < self.size:
+            i *= 2
+            i += latest[i] < start
+        i -= self.size
+        return i if self.start[i] <= end else None
+
+    def take(self, i: int) -> None:
+        latest, i = self.latest, i + self.size
+        latest[i] = -np.inf
+        while i := i // 2:
+            latest[i] = max(latest[2 * i], latest[2 * i + 1])
+
+
+def _resolve(video: pa.Table) -> pa.Table:
+    """The choice of one video's spoken rows, in order, from its rows and pairs of
+    texts. Its time and memory grow with these, not with the rows that overlap."""
+    rows = video.to_pandas()
+    names, _ = pd.factorize(pd.concat([rows["text"], rows["o_text"]]))
+    rows["name"], rows["o_name"] = names[: len(rows)], names[len(rows) :]
+    free = {n: _Free(own) for n, own in rows[rows["kind"] == "o"].sort_values(["start", "seq"]).groupby("name")}
+    places: dict[int, list] = {}
+    for f in free.values():
+        for i, seq in enumerate(f.seq):
+            places.setdefault(seq, []).append((f, i))
+    likes: dict[int, list] = {}  # per spoken text, the texts it may take by falling score, ties together
+    for (name, score), own in rows[rows["kind"] == "x"].sort_values("score", ascending=False).groupby(["name", "score"], sort=False):
+        likes.setdefault(name, []).append((-score, [free[o] for o in own["o_name"] if o in free]))
+    chosen, at, best = [], None, None
+    spoken = rows[rows["kind"] == "s"].sort_values("seq")[["seq", "start", "end", "name"]]
+    for seq, start, end, name in [*spoken.itertuples(index=False, name=None), (None, 0.0, 0.0, -1)]:
+        if seq != at:
+            if best is not None:
+                chosen.append((at, best[2]))
+                for f, i in places[best[2]]:
+                    f.take(i)
+            at, best = seq, None
+        for worse, texts in likes.get(name, ()):
+            found = [(worse, f.start[i], f.seq[i]) for f in texts if (i := f.first(start, end)) is not None]
+            if found:
+                best = min(found) if best is None else min(best, *found)
+                break
+    s_seq, o_seq = zip(*chosen) if chosen else ((), ())
+    return pa.table({"video_id": pa.array([rows["video_id"].iloc[0]] * len(chosen), pa.string()), "s_seq": pa.array(s_seq, pa.int64()), "o_seq": pa.array(o_seq, pa.int64())})
+
+
+def merge_pairs(speech: DataFrame, screen: DataFrame, threshold: float = 0.85, score=similarity.wratio) -> DataFrame:
+    """The rows that become one (video_id, s_seq, o_seq). Only rows whose text is
+    similar to one of the other channel go through the sequential choice, with
+    these texts; never the pairs of rows, which grow with the square of a video."""
+    alike = stored(similar_texts(speech, screen, threshold, score=score), "merge-texts")
+
+    def rows(of: DataFrame, kind: str) -> DataFrame:
+        known = of.join(alike.select("video_id", F.col(f"{kind}_text").alias("text")), ["video_id", "text"], "left_semi").dropna(subset=["seq", "start", "end"])
+        return known.select("video_id", F.lit(kind).alias("kind"), F.col("seq").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"), "text")
+
+    texts = alike.select("video_id", F.lit("x").alias("kind"), F.col("s_text").alias("text"), "o_text", "score")
+    every = rows(speech, "s").unionByName(rows(screen, "o")).unionByName(texts, allowMissingColumns=True)
+    # A number keeps adaptive execution from putting many videos, small but slow, into one task.
+    spread = every.repartition(int(speech.sparkSession.conf.get("spark.sql.shuffle.partitions")), "video_id")
+    return spread.groupBy("video_id").applyInArrow(_resolve, "video_id string, s_seq long, o_seq long")
 
 
 def merge(speech: DataFrame, screen: DataFrame, threshold: float = 0.85, score=similarity.wratio) -> DataFrame:
     """Speech rows, in order, take the best similar on-screen row that overlaps
     and is not taken (ties: earliest start, least seq) and become BOTH: the
     speech text on one line, the span of both, the speech confidence. All
-    other rows stay. Only the candidates, not the rows, go through the
-    sequential choice. ``seq`` is renumbered in the order of the result: by
+    other rows stay. ``seq`` is renumbered in the order of the result: by
     start, speech first; a video with one channel keeps that channel's order."""
-    pairs = stored(merge_candidates(speech, screen, threshold, score=score).groupBy("video_id").applyInPandas(_resolve, "video_id string, s_seq long, o_seq long"), "merge-pairs")
+    pairs = stored(merge_pairs(speech, screen, threshold, score), "merge-pairs")
     o = screen.select("video_id", F.col("seq").alias("o_seq"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
     met = pairs.join(o, ["video_id", "o_seq"]).withColumnRenamed("s_seq", "seq")
     both = speech.join(met, ["video_id", "seq"], "left")

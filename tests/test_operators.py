@@ -4,6 +4,7 @@ import unicodedata
 import wave
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,29 @@ def test_merge_equals_a_loop_under_contention(spark):
     assert sorted(got) == sorted(want) and [g[0] for g in got] == sorted(g[0] for g in got)
 
 
+def test_merge_compares_texts_not_rows(spark):
+    rng, asked = random.Random(6), spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:  # A-B and A-C are ties, B-C is worse, D is alone
+        asked.add(len(a))
+        return pd.Series([1.0 if x == y else 0.0 if "D" in x + y else 0.95 if "A" in x + y else 0.9 for x, y in zip(a, b)])
+
+    make = lambda src, own: [("v", i, s := rng.randrange(40), s + rng.randrange(6), rng.choice(own), src) for i in range(300)]
+    speech, screen = make("SPEECH", "ABCD"), make("ON-SCREEN", "ABCA")
+    score = lambda x, y: 1.0 if x == y else 0.0 if "D" in x + y else 0.95 if "A" in x + y else 0.9
+    taken, want = set(), []
+    for s in speech:
+        fit = sorted((-score(s[4], o[4]), o[2], o[1]) for o in screen if o[1] not in taken and s[2] <= o[3] and o[2] <= s[3] and score(s[4], o[4]) >= 0.85)
+        if fit:
+            taken.add(fit[0][2])
+            want.append((s[1], fit[0][2]))
+    got = segments.merge(seg(spark, *speech), seg(spark, *screen), score=alike)
+    assert asked.value <= 24  # 12 pairs of texts, similar ones again behind the filter; over 10,000 pairs of rows overlap
+    spans = [(min(speech[s][2], screen[o][2]), max(speech[s][3], screen[o][3])) for s, o in want]
+    assert sorted((r["start"], r["end"]) for r in got.where("source = 'BOTH'").collect()) == sorted(spans)
+
+
 def box(x0, y0, x1, y1):
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
 
