@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,41 +110,77 @@ def status_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: A stem that another stem's numbering may reach: that stem and the number, as numbering writes it.
+_NUMBERED = r"(?s)^(.*)\(([2-9]|[1-9]\d{1,17})\)$"
+
+
+def _parent(stem: str) -> tuple[Column, Column]:
+    return F.regexp_extract(stem, _NUMBERED, 1), F.nullif(F.regexp_extract(stem, _NUMBERED, 2), F.lit("")).cast("long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (stem, seq, item) with ``nth``, the items of the stem up to each by ``seq``;
+    a stem of many items is cut into stretches, so that no task counts it alone."""
+    dealt = stored(rows.repartitionByRange("stem", "seq").withColumn("part", F.spark_partition_id()), "stems")  # a recomputed id may differ
+    item = F.col("item").cast("long")
+    before = F.sum("total").over(Window.partitionBy("stem").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy("part", "stem").agg(F.sum(item).alias("total")).select("part", "stem", F.coalesce(before, F.lit(0)).alias("offset"))
+    here = F.sum(item).over(Window.partitionBy("part", "stem").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("here", here).join(offsets, ["part", "stem"]).withColumn("nth", F.col("offset") + F.col("here")).drop("part", "here", "offset")
+
+
 def output_paths(items: DataFrame, folder: str, suffix: str, taken: DataFrame | None = None) -> DataFrame:
     """A path for each item (seq, source, video_id), unique in the run and
     against ``taken`` (output_path): in the order of ``seq``, an item whose stem
-    is taken gets the first free of ``(2)`` to ``(999)``.
+    is taken gets the first free of ``(2)``, ``(3)``, ...
 
-    Only stems alike but for such numbers can meet, so each family of them is
-    numbered by itself; a family of one needs no numbering. Over 999 alike are
-    an error, which bounds a family.
+    A stem's items take its numbers in order, but for numbers that other names
+    hold: paths taken before, and the first item of a stem that ends in such a
+    number. Which those are is decided family by family (stems alike but for
+    numbers) from distinct names alone; items only count their place.
     """
-    root = lambda c: F.regexp_replace(c, r"(\(\d+\))+$", "")
-    stems = items.withColumn("stem", output_stem("source", "video_id")).withColumn("root", root("stem")).select("seq", "source", "stem", "root")
-    gone = None
+    own = items.select(F.col("seq").cast("long").alias("seq"), "source", output_stem("source", "video_id").alias("stem")).where("seq IS NOT NULL AND stem IS NOT NULL")
+    of, number = _parent("stem")
+    firsts = own.groupBy("stem").agg(F.min("seq").alias("seq")).withColumn("of", of).withColumn("k", number)
+    claims = firsts.where("k IS NOT NULL").join(firsts.select(F.col("stem").alias("of")), "of", "left_semi")
+    claims = claims.select(F.col("of").alias("stem"), "seq", F.col("stem").alias("child"), "k", F.lit(False).alias("item"))
+    placed = stored(_placed(own.withColumn("item", F.lit(True)).unionByName(claims, allowMissingColumns=True)), "placed")
+    names = placed.where("NOT item").select("child", F.col("stem").alias("of"), "k", "nth", "seq", F.lit(False).alias("gone"))
     if taken is not None:
         ours = taken.where(F.startswith("output_path", F.lit(folder + "/")) & F.endswith("output_path", F.lit(suffix)))
-        gone = ours.select(F.expr(f"substring(output_path, {len(folder) + 2}, length(output_path) - {len(folder) + 1 + len(suffix)})").alias("stem")).withColumn("root", root("stem"))
-    every = stems if gone is None else stems.unionByName(gone, allowMissingColumns=True)
-    family = every.groupBy("root").agg(F.count("*").alias("n"))
-    told = every.join(family, "root")
-    alone = told.where("n = 1 AND seq IS NOT NULL").select("seq", "source", F.col("stem").alias("name"))
-    named = told.where("n > 1").groupBy("root").applyInPandas(_numbered, "seq long, source string, name string")
-    return alone.withColumn("seq", F.col("seq").cast("long")).unionByName(named).select("seq", "source", F.concat(F.lit(folder + "/"), "name", F.lit(suffix)).alias("output_path"))
-
-
-def _numbered(family):
-    """Names of one family; rows without ``seq`` are names taken before the run."""
-    used, out = set(family.loc[family["seq"].isna(), "stem"]), []
-    free: dict[str, int] = {}  # the next number to try for a stem
-    for seq, source, stem in family.loc[family["seq"].notna(), ["seq", "source", "stem"]].sort_values("seq").itertuples(index=False):
-        name, n = stem, free.get(stem, 1)
-        while name in used:
-            n += 1
-            if n > 999:
-                raise ValueError(f"more than 999 items share the name {stem}")
-            name = f"{stem}({n})"
-        free[stem] = n
-        used.add(name)
-        out.append((int(seq), source, name))
-    return pd.DataFrame(out, columns=["seq", "source", "name"])
+        gone = ours.select(F.expr(f"substring(output_path, {len(folder) + 2}, length(output_path) - {len(folder) + 1 + len(suffix)})").alias("stem")).distinct()
+        names = names.unionByName(gone.select(F.col("stem").alias("child"), of.alias("of"), F.coalesce(number, F.lit(0)).alias("k"), F.lit(0).alias("nth"), F.lit(0).alias("seq"), F.lit(True).alias("gone")))
+    held = names.groupBy(F.regexp_replace("child", r"(\(\d+\))+$", "").alias("root")).applyInPandas(_held, "stem string, runs array<struct<v: bigint, j: bigint>>")
+    nth = placed.where("item").join(held, "stem", "left")
+    n = nth.withColumn("n", F.expr("nth + coalesce(array_max(transform(filter(runs, x -> x.v < nth), x -> x.j)), 0)"))
+    name = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("("), "n", F.lit(")")))
+    return n.select("seq", "source", F.concat(F.lit(folder + "/"), name, F.lit(suffix)).alias("output_path"))
+
+
+def _held(names: pd.DataFrame) -> pd.DataFrame:
+    """Numbers of one family's stems that others hold (1: the stem itself). ``names``: paths taken
+    before (``gone``; k is 0 without a number), and stems that another stem's numbering may reach, with the items of
+    that stem ahead of their first. ``runs``: the j-th number held, less j, is v; the last j of each v."""
+    held: dict[str, set[int]] = {}
+    for child, of, k in names.loc[names["gone"], ["child", "of", "k"]].itertuples(index=False):
+        held.setdefault(child, set()).add(1)
+        if k:
+            held.setdefault(of, set()).add(int(k))
+    claims = names[~names["gone"]]
+    claims = claims.assign(depth=claims["of"].str.len()).sort_values(["depth", "of", "seq"])  # a stem's own name is settled before its numbers
+    for of, own in claims.groupby("of", sort=False):
+        mine = held.setdefault(of, set())
+        ahead, passed = sorted(mine), 0  # a sorted list is a heap
+        for child, k, nth in own[["child", "k", "nth"]].itertuples(index=False):
+            while ahead and ahead[0] <= nth + passed:
+                heapq.heappop(ahead)
+                passed += 1
+            if k in mine:
+                continue
+            if nth and k <= nth + passed:
+                held.setdefault(child, set()).add(1)
+            else:
+                mine.add(int(k))
+                heapq.heappush(ahead, int(k))
+    runs = [(stem, {c - j: j for j, c in enumerate(sorted(ns), 1)}) for stem, ns in held.items() if ns]
+    return pd.DataFrame([(stem, [{"v": v, "j": j} for v, j in r.items()]) for stem, r in runs], columns=["stem", "runs"])

@@ -495,3 +495,23 @@ def test_scores_compare_texts_not_rows(spark):
     assert got == want
     assert asked.value <= 12 * (4 + 2 * 10 + 6 * 4)  # texts, pairs of them and orders of three, for each expected text
     assert abs(evaluation.score(heard, gt, ratio=ratio).first()["precision"] - len(found) / len(rows)) < 1e-9
+
+
+def test_output_paths_have_no_last_number(spark):
+    rng = random.Random(9)
+    stems = ["x"] * 1200 + ["x(2)"] * 3 + ["x(700)", "x(5)", "x(5)", "x(2)(2)", "x(02)", "x(1)", "y"] + [f"x({n})" for n in rng.sample(range(2, 1500), 100)]
+    rng.shuffle(stems)
+    taken = ["x(4)", "x(1201)", "x(2)(3)", "y", "z"] + [f"x({n})" for n in range(300, 340)]
+    for gone in ([], taken):
+        used, want = set(gone), []
+        for stem in stems:
+            name, n = stem, 1
+            while name in used:
+                n += 1
+                name = f"{stem}({n})"
+            used.add(name)
+            want.append(f"o/{name}.md")
+        items = spark.createDataFrame([(i, f"{s}.mp4", None) for i, s in enumerate(stems)], "seq long, source string, video_id string")
+        before = spark.createDataFrame([(f"o/{s}.md",) for s in gone], "output_path string") if gone else None
+        got = [r["output_path"] for r in manifest.output_paths(items, "o", ".md", before).orderBy("seq").collect()]
+        assert got == want
