@@ -183,6 +183,20 @@ def test_short_lines_take_part_in_line_dedup(spark):
     assert {r["doc_id"] for r in linededup.without_repeated_lines(table(spark, rows)).collect()} == {1, 2, 3}
 
 
+def test_prefix_words_of_lines(spark):
+    """Keys without nulls, which are sorted as numbers, and the bound on a
+    partner's words against the length and place filters it stands for."""
+    rows = spark.createDataFrame([(1, 0, "\tb  a\rb\n \nc"), (2, 0, " ".join(f"w{i}" for i in range(90)))], "doc_id long, tag long, text string")
+    classes = linededup.line_classes(rows)
+    assert not classes.schema["prefix"].dataType.containsNull
+    assert sorted((r["doc_id"], r["line"], r["n"], len(r["prefix"])) for r in classes.collect()) == [(1, 0, 2, 1), (1, 2, 1, 1), (2, 0, 90, 19)]
+    sizes = spark.createDataFrame([(i, 0, 0, n, 0, 0, list(range(n - -(-n * 4 // 5) + 1))) for i, n in enumerate([*range(1, 24), 80, 81, 100])], "doc_id long, tag long, line int, n int, bits long, more long, prefix array<long>")
+    posts = linededup._posts(sizes, 4, 5).select("n", "key", "most").collect()
+    for a, b in itertools.product(posts, posts):
+        plain = a["n"] * 5 >= b["n"] * 4 and b["n"] * 5 >= a["n"] * 4 and min(a["n"] - a["key"], b["n"] - b["key"]) * 9 >= 4 * (a["n"] + b["n"])
+        assert (a["n"] <= b["most"] and b["n"] <= a["most"]) == plain
+
+
 def test_line_dedup_odd_rows(spark):
     rows = odd_rows()
     out = linededup.without_repeated_lines(table(spark, rows))
