@@ -197,6 +197,18 @@ def test_prefix_words_of_lines(spark):
         assert (a["n"] <= b["most"] and b["n"] <= a["most"]) == plain
 
 
+def test_counts_behind_the_rarity_of_words(spark):
+    """Words over all lines and kinds of white space, from texts split once; the
+    session's settings are as before."""
+    rows = spark.createDataFrame([(1, 0, "a\tb  a\n\n \nc\rb\x0ba"), (2, 0, ""), (3, 0, "c\x0cd")], "doc_id long, tag long, text string")
+    counts = linededup._counts(rows)
+    assert sorted(r["n"] for r in counts.collect()) == [1, 2, 2, 3]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    before = spark.conf.get(linededup._ROOM, None)
+    linededup._rarity(rows)
+    assert spark.conf.get(linededup._ROOM, None) == before
+
+
 def test_line_dedup_odd_rows(spark):
     rows = odd_rows()
     out = linededup.without_repeated_lines(table(spark, rows))
