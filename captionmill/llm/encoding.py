@@ -11,6 +11,7 @@ before need not be encoded again.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -23,6 +24,8 @@ from captionmill.llm.common import held
 
 #: White space before U+0020 or U+000A, where a cut would not be safe.
 _ODD = r"\x00|[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][ \n]"
+#: Places of the table of pieces that came once.
+MARKS = 1 << 23
 _CUT = re.compile("(?<=[^\\s᠎])(?=[ \\n])")
 
 
@@ -66,8 +69,10 @@ def vocabulary(path: str) -> Vocabulary:
 class PieceEncoder:
     """``encode`` of the tokenizers library, with a bounded memory of pieces.
 
-    ``limit`` bounds the pieces held; beyond it the memory starts afresh, so
-    a worker's memory does not grow with the corpus.
+    A piece is kept when it comes a second time, as most never do: a table of
+    ``MARKS`` places by hash tells which came before. ``limit`` bounds the
+    pieces held; beyond it the memory starts afresh, so a worker's memory does
+    not grow with the corpus.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -78,7 +83,7 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.vocab = vocabulary(path)
-        self.limit, self.seen = limit, {}
+        self.limit, self.seen, self.marks = limit, {}, np.zeros(MARKS, np.bool_)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,8 +91,9 @@ class PieceEncoder:
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.vocab.dtype).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain, other = [], []
+    def _made(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of each of ``pieces``, by the library."""
+        plain, other, made = [], [], {}
         for p in pieces:
             simple = len(p) > 1 and p[0] in " \n" and not p[-1].isspace() and p[-1] != "᠎" and " " not in p[1:] and "\n" not in p[1:]
             (plain if simple else other).append(p)
@@ -100,20 +106,27 @@ class PieceEncoder:
                 continue
             packed, w = self._pack(ids), self.vocab.dtype.itemsize
             ends = [*(at[1:] * w).tolist(), len(packed)]
-            self.seen.update(zip(group, [packed[a:b] for a, b in zip((at * w).tolist(), ends)]))
+            made.update(zip(group, [packed[a:b] for a, b in zip((at * w).tolist(), ends)]))
         for p, ids in zip(other, self._raw(other) if other else []):
-            self.seen[p] = self._pack(ids)
+            made[p] = self._pack(ids)
+        return made
+
+    def _keep(self, made: dict[str, bytes]) -> None:
+        at = np.fromiter(map(hash, made), np.int64, len(made)) & (MARKS - 1)
+        again = self.marks[at]
+        self.marks[at] = True
+        if len(self.seen) + np.count_nonzero(again) > self.limit:
+            self.seen.clear()
+            self.marks[:] = False
+        else:
+            self.seen.update(itertools.compress(made.items(), again.tolist()))
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
-        get = self.seen.get
-        found = [get(p) for p in pieces]
+        found = list(map(self.seen.get, pieces))
         if None in found:
-            fresh = [p for p, v in zip(pieces, found) if v is None]
-            if len(self.seen) + len(fresh) > self.limit:
-                self.seen.clear()
-                fresh = pieces
-            self._learn(fresh)
-            found = [get(p) for p in pieces] if fresh is pieces else [get(p) if v is None else v for p, v in zip(pieces, found)]
+            made = self._made([p for p, v in zip(pieces, found) if v is None])
+            found = [made[p] if v is None else v for p, v in zip(pieces, found)]
+            self._keep(made)
         return found
 
     def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +139,9 @@ class PieceEncoder:
         rest = pc.replace_substring(pc.replace_substring(rest, "\n", "\x00\n"), " ", "\x00 ")
         lists = pc.split_pattern(rest, "\x00")
         coded = lists.flatten().dictionary_encode()
-        values = self._packed(coded.dictionary.to_pylist())
+        values = self._packed(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         dtype, which = self.vocab.dtype, coded.indices.to_numpy(zero_copy_only=False)
-        size = np.array([len(v) for v in values], np.int64) // dtype.itemsize
+        size = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
         start, n = np.cumsum(size) - size, size[which]
         done = np.concatenate([[0], np.cumsum(n)])
         place = np.repeat(start[which] - done[:-1], n) + np.arange(done[-1])

@@ -61,6 +61,22 @@ def test_piece_and_chunk_encoding_equal_the_library(tok):
     assert [small.encoder.vocab.decode(w) for w in want[:500]] == [tok.decode(w, skip_special_tokens=False) for w in want[:500]]
 
 
+def test_pieces_that_come_once_do_not_drive_out_the_others(tok):
+    class Told(PieceEncoder):
+        asked = ""
+
+        def _raw(self, texts):
+            self.asked += "".join(texts)
+            return super()._raw(texts)
+
+    own = Told(tokenizer_path(), limit=1000)
+    often = "".join(f" often{i}x" for i in range(300))
+    for k in range(20):
+        text = "a" + often + "".join(f" rare{k}y{i}x" for i in range(500))
+        assert own.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert own.asked.count(" often7x") <= 2 and len(own.seen) <= 1000
+
+
 def test_chunks_are_shared_between_documents():
     rng = random.Random(2)
     passage = prose(rng, 3000)
