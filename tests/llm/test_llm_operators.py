@@ -562,6 +562,20 @@ def test_worker_memories_make_room():
     assert piece_encoder.cache_info().currsize == 0
 
 
+def test_make_room_gives_free_memory_back_to_the_machine():
+    from captionmill.llm import common
+
+    def own_mb():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+    blocks = [np.ones(100_000, np.uint8) for _ in range(1500)]
+    last = blocks.pop()  # what lies above the others in the C heap
+    blocks.clear()
+    before = own_mb()
+    common.make_room()
+    assert own_mb() < before - 100 and last.all()
+
+
 def test_a_chunk_whose_words_disagree_is_repaired(tok):
     """An encoder that sees words in context: no chunk may be trusted, the text still comes out whole."""
 
