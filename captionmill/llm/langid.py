@@ -141,6 +141,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             for part in _slices(batch, 2_000_000, at):
                 best, top = told.value.scores([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array((best >= 0) & (top >= least)))
+        make_room()  # steps in the JVM may follow, during which workers only wait
 
     return docs.mapInArrow(run, docs.schema)
 
